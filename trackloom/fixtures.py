@@ -106,3 +106,39 @@ def sources(frames: DataFrame, fps: float = FPS) -> DataFrame:
     return frames.groupBy("source_id").agg((F.max("frame") + 1).alias("frame_count")).select(
         "source_id", "frame_count", F.lit(fps).alias("fps"),
         F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+
+
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One perspective matrix per supplier, shifted a little from source to source."""
+    shift = F.lit(-3.2) - (F.col("s_suppkey") % 5).cast("double") / 100.0
+    matrix = [F.lit(0.01), F.lit(0.001), shift, F.lit(0.0005), F.lit(0.02), F.lit(-3.6),
+              F.lit(0.00001), F.lit(0.0003), F.lit(1.0)]
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("source_id"), *[m.alias(f"h{i}") for i, m in enumerate(matrix)],
+        F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+
+
+def player_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-frame activity and feet of the two player slots, in pixels."""
+    q, pk = F.col("q"), F.col("pk")
+    return _supplier_rows(spark, sf_dir).select(
+        "source_id", F.col("rn").alias("frame"),
+        (q % 5 != 0).cast("double").alias("player1_valid"), (F.col("d") != 3).cast("double").alias("player2_valid"),
+        (pk % 640).cast("double").alias("player1_foot_x"), ((q * 7) % 180).cast("double").alias("player1_foot_y"),
+        ((pk * 3) % 640).cast("double").alias("player2_foot_x"), (180 + (q * 5) % 180).cast("double").alias("player2_foot_y"),
+        ((q % 20).cast("double") / 47.0).alias("player1_activity"), ((pk % 20).cast("double") / 47.0).alias("player2_activity"),
+        (((q % 20) + (pk % 20)).cast("double") / 47.0).alias("player_activity"))
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 keypoints per embedding; source = label, frame = rank of vec_id; every sixth pose is empty."""
+    rows = numbered(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("source_id"), "embedding"),
+                    ["source_id"], F.floor(F.col("vec_id") / 4096), ["vec_id"], "n")
+    value = lambda i: F.element_at("embedding", i).cast("double")
+    points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.struct(
+        j.cast("string").alias("key"), F.struct(
+            value(2 * j + 1).alias("x"), value(2 * j + 2).alias("y"),
+            (((F.col("vec_id") * 7 + j * 3) % 10).cast("double") / 10.0).alias("visibility")).alias("value")))
+    empty = F.expr("cast(map() as map<string, struct<x: double, y: double, visibility: double>>)")
+    return rows.select("source_id", (F.col("n") - 1).alias("frame"),
+                       F.when(F.col("vec_id") % 6 == 0, empty).otherwise(F.map_from_entries(points)).alias("keypoints"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.chunks import CHUNK, by_chunk, carry, own_rows, running, spread, with_chunk
+from trackloom.session import materialize
 from trackloom.settings import RallySettings
 
 DEFAULTS = RallySettings()
@@ -63,13 +64,12 @@ def require_valid(df: DataFrame) -> DataFrame:
 # -- cleaning ---------------------------------------------------------------------------------
 
 def _drop_point(df: DataFrame, when: Column, reason: str) -> DataFrame:
-    return (df.withColumn("drop_now", when)
-              .withColumn("cleaned", F.col("cleaned") & ~F.col("drop_now"))
-              .withColumn("removed", F.col("removed") | F.col("drop_now"))
-              .withColumn("removal_reason", F.when(F.col("drop_now"), reason).otherwise(F.col("removal_reason")))
-              .withColumn("x", F.when(F.col("cleaned"), F.col("x")))
-              .withColumn("y", F.when(F.col("cleaned"), F.col("y")))
-              .drop("drop_now"))
+    gone = F.col("drop_now")
+    return df.withColumn("drop_now", when).withColumns({
+        "cleaned": F.col("cleaned") & ~gone, "removed": F.col("removed") | gone,
+        "removal_reason": F.when(gone, reason).otherwise(F.col("removal_reason")),
+        "x": F.when(F.col("cleaned") & ~gone, F.col("x")), "y": F.when(F.col("cleaned") & ~gone, F.col("y")),
+    }).drop("drop_now")
 
 
 def _isolated(df: DataFrame, radius: int) -> DataFrame:
@@ -120,17 +120,14 @@ def clean_tracks(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFrame
 def _interpolated(df: DataFrame, max_gap: int) -> DataFrame:
     w = by_chunk()
     point = F.when(F.col("cleaned"), F.struct("frame", "x", "y"))
-    rows = (df.withColumn("pt", point)
-              .withColumn("before", F.last("pt", ignorenulls=True).over(running(w)))
-              .withColumn("after", F.first("pt", ignorenulls=True).over(w.rowsBetween(1, max(1, max_gap)))))
+    rows = df.withColumns({"before": F.last(point, ignorenulls=True).over(running(w)),
+                           "after": F.first(point, ignorenulls=True).over(w.rowsBetween(1, max(1, max_gap)))})
     a, b = F.col("before"), F.col("after")
     fill = ~F.col("cleaned") & a.isNotNull() & b.isNotNull() & (b.frame - a.frame - 1 <= max_gap)
     share = (F.col("frame") - a.frame) / (b.frame - a.frame)
-    rows = rows.withColumn("interpolated", F.coalesce(fill, F.lit(False)))
-    for axis in ("x", "y"):
-        value = a[axis] + share * (b[axis] - a[axis])
-        rows = rows.withColumn(axis, F.when(F.col("interpolated"), value).otherwise(F.col(axis)))
-    return rows.drop("pt", "before", "after")
+    value = lambda axis: F.when(fill, a[axis] + share * (b[axis] - a[axis])).otherwise(F.col(axis))
+    return rows.withColumns({"interpolated": F.coalesce(fill, F.lit(False)), "x": value("x"), "y": value("y")}).drop(
+        "before", "after")
 
 
 def interpolate_gaps(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFrame:
@@ -165,36 +162,38 @@ def _smoothed(df: DataFrame, window: int, order: int) -> DataFrame:
     w, reach = by_chunk(), window - 1
     here, frame = present(), F.col("frame")
     absent = F.when(~here, frame)
-    rows = (df.withColumn("gap_back", F.last(absent, ignorenulls=True).over(running(w)))
-              .withColumn("edge_back", F.first("frame").over(running(w)))
-              .withColumn("gap_ahead", F.first(absent, ignorenulls=True).over(w.rowsBetween(1, reach)))
-              .withColumn("rows_ahead", F.count(F.lit(1)).over(w.rowsBetween(1, reach))))
-    rows = (rows.withColumn("a", F.least(F.lit(reach), frame - F.coalesce(F.col("gap_back"), F.col("edge_back") - 1) - 1))
-                .withColumn("b", F.coalesce(F.col("gap_ahead") - frame - 1, F.col("rows_ahead"))))
-    rows = rows.withColumn("pt", F.struct("x", "y"))
-    for k in range(1, reach + 1):
-        rows = rows.withColumn(f"m{k}", F.lag("pt", k).over(w)).withColumn(f"p{k}", F.lead("pt", k).over(w))
-    length = F.col("a") + F.col("b") + 1
-    at = lambda axis, k: F.col("pt" if k == 0 else f"{'m' if k < 0 else 'p'}{abs(k)}")[axis]
-    sizes = [n for n in range(window, 2, -2) if n > order + 1]
-    for axis in ("x", "y"):
-        value = None
-        for n in sizes:
-            half, weights = n // 2, smoothing_matrix(n, order)
-            fits = length >= n
-            for j in range(n):
-                place = (F.col("a") == j if j < half else F.col("b") == n - 1 - j if j > half
-                         else (F.col("a") >= half) & (F.col("b") >= half))
-                # samples are accumulated in frame order
-                total = None
-                for i in range(n):
-                    term = F.lit(float(weights[j, i])) * at(axis, i - j)
-                    total = term if total is None else total + term
-                value = F.when(fits & place, total) if value is None else value.when(fits & place, total)
-        plain = F.col(axis)
-        rows = rows.withColumn(f"smooth_{axis}", F.when(here, plain if value is None else value.otherwise(plain)))
+    rows = df.withColumn("pt", F.struct("x", "y")).withColumns({
+        "gap_back": F.last(absent, ignorenulls=True).over(running(w)),
+        "edge_back": F.first("frame").over(running(w)),
+        "gap_ahead": F.first(absent, ignorenulls=True).over(w.rowsBetween(1, reach)),
+        "rows_ahead": F.count(F.lit(1)).over(w.rowsBetween(1, reach)),
+        **{f"m{k}": F.lag("pt", k).over(w) for k in range(1, reach + 1)},
+        **{f"p{k}": F.lead("pt", k).over(w) for k in range(1, reach + 1)}})
+    rows = rows.withColumns({
+        "a": F.least(F.lit(reach), frame - F.coalesce(F.col("gap_back"), F.col("edge_back") - 1) - 1),
+        "b": F.coalesce(F.col("gap_ahead") - frame - 1, F.col("rows_ahead"))})
+    # one coefficient row of 2*reach+1 weights per (window size, place in the window)
+    weights, cases, offset = [], [], 0
+    for n in (n for n in range(window, 2, -2) if n > order + 1):
+        half, fit = n // 2, smoothing_matrix(n, order)
+        for j in range(n):
+            row = [0.0] * (2 * reach + 1)
+            row[reach - j:reach - j + n] = fit[j].tolist()
+            weights += row
+        cases.append(f"WHEN a + b + 1 >= {n} THEN {offset} + CASE WHEN a < {half} THEN a WHEN b < {half} THEN {n - 1} - b ELSE {half} END")
+        offset += n
     helpers = [f"{s}{k}" for s in "mp" for k in range(1, reach + 1)]
-    return rows.drop("pt", "gap_back", "edge_back", "gap_ahead", "rows_ahead", "a", "b", *helpers)
+    if not cases:
+        smoothed = {f"smooth_{axis}": F.when(here, F.col(axis)) for axis in "xy"}
+    else:
+        rows = rows.withColumn("fit_row", F.expr(f"CASE {' '.join(cases)} END * {2 * reach + 1}"))
+        table = "array(" + ", ".join(f"{v!r}D" for v in weights) + ")"
+        at = lambda axis, k: (f"pt.{axis}" if k == 0 else f"{'m' if k < 0 else 'p'}{abs(k)}.{axis}")
+        total = lambda axis: " + ".join(
+            f"coalesce({table}[cast(fit_row as int) + {k + reach}] * {at(axis, k)}, 0D)" for k in range(-reach, reach + 1))
+        smoothed = {f"smooth_{axis}": F.when(here, F.expr(f"CASE WHEN fit_row IS NULL THEN {axis} ELSE {total(axis)} END"))
+                    for axis in "xy"}
+    return rows.withColumns(smoothed).drop("pt", "gap_back", "edge_back", "gap_ahead", "rows_ahead", "a", "b", "fit_row", *helpers)
 
 
 def smooth_tracks(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFrame:
@@ -205,17 +204,27 @@ def smooth_tracks(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFram
 
 # -- streaks and kinematics -------------------------------------------------------------------
 
+def _history(df: DataFrame, flag: str | None, distance: bool) -> DataFrame:
+    """Everything that looks back without bound, with one carry: streaks of ``flag`` and total distance."""
+    w, rows, out, drop = running(by_chunk()), with_chunk(df), {}, [CHUNK]
+    last, total, least = {}, {}, {}
+    if flag:
+        seen, unseen = F.when(F.col(flag), F.col("frame")), F.when(~F.col(flag), F.col("frame"))
+        last, least = {"seen_before": seen, "unseen_before": unseen}, {"first_frame": F.col("frame")}
+        since = lambda c, carried: F.col("frame") - F.coalesce(
+            F.last(c, ignorenulls=True).over(w), F.col(carried), F.col("first_frame") - 1)
+        out |= {"visible_streak": since(unseen, "unseen_before"), "missing_count": since(seen, "seen_before")}
+        drop += ["seen_before", "unseen_before", "first_frame"]
+    if distance:
+        total = {"so_far": F.col("speed")}
+        out |= {"cumulative_distance": F.col("so_far") + F.sum("speed").over(w)}
+        drop += ["so_far"]
+    return carry(rows, last=last, total=total, least=least).withColumns(out).drop(*drop)
+
+
 def visibility_streaks(df: DataFrame, flag: str = "cleaned") -> DataFrame:
     """``visible_streak`` and ``missing_count``: consecutive reliable / unreliable rows up to here."""
-    rows = with_chunk(df)
-    seen, unseen = F.when(F.col(flag), F.col("frame")), F.when(~F.col(flag), F.col("frame"))
-    rows = carry(rows, last={"seen_before": seen, "unseen_before": unseen},
-                 least={"first_frame": F.col("frame")})
-    last = lambda c, carried: F.coalesce(F.last(c, ignorenulls=True).over(running(by_chunk())),
-                                         F.col(carried), F.col("first_frame") - 1)
-    return (rows.withColumn("visible_streak", F.col("frame") - last(unseen, "unseen_before"))
-                .withColumn("missing_count", F.col("frame") - last(seen, "seen_before"))
-                .drop("seen_before", "unseen_before", "first_frame", CHUNK))
+    return _history(df, flag, False)
 
 
 def _speeds(df: DataFrame) -> DataFrame:
@@ -229,15 +238,9 @@ def _accelerations(df: DataFrame) -> DataFrame:
     return df.withColumn("acceleration", F.when(F.col("step").isNotNull(), change).otherwise(F.lit(0.0))).drop("step")
 
 
-def _distance(df: DataFrame) -> DataFrame:
-    rows = carry(with_chunk(df), total={"so_far": F.col("speed")})
-    inside = F.sum("speed").over(running(by_chunk()))
-    return rows.withColumn("cumulative_distance", F.col("so_far") + inside).drop("so_far", CHUNK)
-
-
 def kinematics(df: DataFrame) -> DataFrame:
     """speed, acceleration (both reset at span starts) and cumulative_distance over smoothed points."""
-    return _distance(own_rows(_accelerations(_speeds(spread(df, 2, 0)))))
+    return _history(own_rows(_accelerations(_speeds(spread(df, 2, 0)))), None, True)
 
 
 def recent_motion(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFrame:
@@ -250,14 +253,14 @@ def recent_motion(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFram
 def preprocess_tracks(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFrame:
     """Normalised tracks -> cleaned, interpolated, smoothed, with streaks and kinematics.
 
-    Two passes over the rows: the cleaning pass, then one halo wide enough for interpolation,
-    smoothing, speed and acceleration together.
+    Two passes over the rows: the cleaning pass, written once because the later carries read it again,
+    then one halo wide enough for interpolation, smoothing, speed and acceleration together.
     """
     gap, win = settings.interpolation_gap, settings.smoothing_window
-    rows = spread(clean_tracks(df, settings), gap + win + 4, gap + win + 2)
+    rows = spread(materialize(clean_tracks(df, settings), "clean"), gap + win + 4, gap + win + 2)
     rows = _smoothed(_interpolated(rows, gap), win, settings.smoothing_polyorder)
     rows = own_rows(_accelerations(_speeds(rows)))
-    return _distance(visibility_streaks(rows)).withColumn("reliable", F.col("cleaned"))
+    return _history(rows.withColumn("reliable", F.col("cleaned")), "cleaned", True)
 
 
 def kinematics7(df: DataFrame, samples: DataFrame) -> DataFrame:

@@ -41,7 +41,9 @@ def with_ctes(sql: str, needs: tuple[str, ...], recursive: bool = False) -> str:
         visit(n)
     if not ordered:
         return sql
-    parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
+    # each block once: recursive steps must not recompute what they join to
+    hint = lambda n: "" if f"FROM {n} m" in CTES[n][1] else "MATERIALIZED "
+    parts = ",\n".join(f"{n} AS {hint(n)}({CTES[n][1]})" for n in ordered)
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{sql}"
 
 
