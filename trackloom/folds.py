@@ -21,9 +21,9 @@ from trackloom.session import chunk_frames, materialize
 Machine = Callable[[pd.DataFrame, str], tuple[dict[str, list], str]]
 
 
-def _runner(machine: Machine, start: str, columns: Sequence[str], frame: str):
+def _runner(machine: Machine, start: str, columns: Sequence[str], order: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
+        pdf = pdf.sort_values(order)
         own = pdf[pdf[OWN]]
         if own.empty:
             return pd.DataFrame(columns=["source_id", CHUNK, "entry_state", "exit_state", *columns])
@@ -44,8 +44,8 @@ def _runner(machine: Machine, start: str, columns: Sequence[str], frame: str):
 
 
 def fold(evidence: DataFrame, machine: Machine, start: str, schema: str, warmup: int,
-         frame: str = "frame") -> tuple[DataFrame, DataFrame]:
-    """Run ``machine`` over each source in frame order.
+         frame: str = "frame", within: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Run ``machine`` over each source in frame order, rows of one frame ordered by ``within``.
 
     Returns its output rows (columns of ``schema``) and one (source_id, exit_state) row per source.
     """
@@ -53,7 +53,7 @@ def fold(evidence: DataFrame, machine: Machine, start: str, schema: str, warmup:
     columns = [part.split()[0] for part in schema.split(", ")]
     id_type = dict(evidence.dtypes)["source_id"]
     full = f"source_id {id_type}, {CHUNK} long, entry_state string, exit_state string, {schema}"
-    run = _runner(machine, start, columns, frame)
+    run = _runner(machine, start, columns, [frame, *within])
     key = ["source_id", CHUNK]
 
     rows = spread(evidence, min(warmup, chunk_frames(spark)), 0, frame)
