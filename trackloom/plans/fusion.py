@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 oracle("state_events_v2", f"""SELECT m.source_id, m.frame, st AS state, tr AS transition, round(least(1.0, trav/0.08::DOUBLE), 6) + 0.0 AS live_score, round(least(1.0, gap/15.0::DOUBLE), 6) + 0.0 AS end_score, {oracle_codes.format(c='rc', o='ro', x='')} AS reason_codes,
-    selected_hypothesis, ready AS player_readiness, round(activity, 6) + 0.0 AS player_activity, opposite_halves AS side_evidence, burst AS contact_evidence FROM fsm m JOIN fev e ON e.source_id = m.source_id AND e.frame = m.frame""", ("fsm", "fev"), recursive=True)
+    selected_hypothesis, ready AS player_readiness, round(round(activity, 8), 6) + 0.0 AS player_activity, opposite_halves AS side_evidence, burst AS contact_evidence FROM fsm m JOIN fev e ON e.source_id = m.source_id AND e.frame = m.frame""", ("fsm", "fev"), recursive=True)
 
 
 @query("decode_rallies_v2")
@@ -130,9 +130,9 @@ def _(spark, sf):
     return rounded(ops.decode_rallies_v2(evidence(spark, sf), FPS))
 
 
-oracle("decode_rallies_v2", f""", sp AS (SELECT source_id, es AS s, ee AS e, er AS r, ec AS c, eo AS o, false AS x, frame AS at FROM fsm WHERE es IS NOT NULL UNION ALL
+oracle("decode_rallies_v2", f""", sp AS (SELECT source_id, es AS s, ee AS e, er AS r, ec AS c, eo AS o, false AS x, frame AS at_f FROM fsm WHERE es IS NOT NULL UNION ALL
       SELECT source_id, coalesce(start, serve, since), coalesce(live, frame), resp, rc, ro, true, frame + 1 FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY frame DESC) AS n FROM fsm) WHERE n = 1 AND st IN ('START_PENDING', 'LIVE', 'END_PENDING')),
-    a AS (SELECT *, r AND NOT c AND NOT o AND NOT x AS ok, row_number() OVER (PARTITION BY source_id ORDER BY at) AS number FROM sp)
+    a AS (SELECT *, r AND NOT c AND NOT o AND NOT x AS ok, row_number() OVER (PARTITION BY source_id ORDER BY at_f) AS number FROM sp)
     SELECT source_id, source_id || '-' || lpad(number::VARCHAR, 4, '0') AS rally_id, s AS start_frame, greatest(s, e) AS end_frame, round(s/30.0::DOUBLE, 6) AS start_time, round(greatest(s, e)/30.0::DOUBLE, 6) AS end_time, CASE WHEN ok THEN 'accepted' ELSE 'review' END AS status,
       CASE WHEN ok THEN 0.85::DOUBLE ELSE 0.55::DOUBLE END AS confidence, CASE WHEN ok THEN 'high' ELSE 'medium' END AS confidence_band, {oracle_codes.format(c='c', o='o', x="CASE WHEN x THEN 'eof_unresolved' END, CASE WHEN NOT ok THEN 'manual_review_needed' END,")} AS flags,
       '' AS failure_reason, '' AS manual_start_frame, '' AS manual_end_frame, '' AS manual_decision FROM a""", ("fsm",), recursive=True)
@@ -155,4 +155,4 @@ def _(spark, sf):
 
 oracle("validate_rally_inputs", """WITH s AS (SELECT DISTINCT l_suppkey AS k FROM lineitem) SELECT k AS source_id, p AS problem FROM (
       SELECT k, 'missing_pose_cache' AS p FROM s WHERE k % 7 = 0 UNION ALL SELECT k, unnest(['calibration_size', 'candidate_size', 'assignment_size']) FROM s WHERE k % 4 = 1 UNION ALL SELECT k, unnest(['candidate_fps', 'assignment_fps']) FROM s WHERE k % 5 = 0
-      UNION ALL SELECT k, 'assignment_frame_count' FROM s WHERE k % 3 = 0 UNION ALL SELECT k, 'candidate_fingerprint' FROM s WHERE k % 11 = 0 UNION ALL SELECT k, 'tracklet_fingerprint' FROM s WHERE k % 9 = 0 UNION ALL SELECT k, 'raw_fingerprint' FROM s WHERE k % 8 = 0 AND k % 7 <> 0)""")
+      UNION ALL SELECT k, 'assignment_frame_count' FROM s WHERE k % 3 = 0 UNION ALL SELECT k, 'candidate_fingerprint' FROM s WHERE k % 11 = 0 AND k <> 0 UNION ALL SELECT k, 'tracklet_fingerprint' FROM s WHERE k % 9 = 0 AND k <> 0 UNION ALL SELECT k, 'raw_fingerprint' FROM s WHERE k % 8 = 0 AND k % 7 <> 0)""")
