@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.chunks import CHUNK, by_chunk, carry, own_rows, running, spread, with_chunk
@@ -35,9 +35,9 @@ def tracks_quality(df: DataFrame) -> DataFrame:
     ``df`` keeps file order in ``row_number`` (1-based data rows of the file), starting at 2.
     """
     rows = with_chunk(df, "row_number")
-    w = by_chunk(order=["row_number"])
+    before = by_chunk(order=["row_number"]).rowsBetween(Window.unboundedPreceding, -1)
     rows = carry(rows, last={"carried": F.col("frame")}, frame="row_number")
-    previous = F.coalesce(F.lag("frame").over(w), F.col("carried"))
+    previous = F.coalesce(F.last("frame", ignorenulls=True).over(before), F.col("carried"))  # last readable frame
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     frame = F.col("frame")
     rules = {
@@ -253,14 +253,14 @@ def recent_motion(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFram
 def preprocess_tracks(df: DataFrame, settings: RallySettings = DEFAULTS) -> DataFrame:
     """Normalised tracks -> cleaned, interpolated, smoothed, with streaks and kinematics.
 
-    Two passes over the rows: the cleaning pass, written once because the later carries read it again,
-    then one halo wide enough for interpolation, smoothing, speed and acceleration together.
+    Two passes over the rows: the cleaning pass, then one halo wide enough for interpolation, smoothing,
+    speed and acceleration together. Each is written once, because a carry reads its input twice.
     """
     gap, win = settings.interpolation_gap, settings.smoothing_window
     rows = spread(materialize(clean_tracks(df, settings), "clean"), gap + win + 4, gap + win + 2)
     rows = _smoothed(_interpolated(rows, gap), win, settings.smoothing_polyorder)
-    rows = own_rows(_accelerations(_speeds(rows)))
-    return _history(rows.withColumn("reliable", F.col("cleaned")), "cleaned", True)
+    rows = own_rows(_accelerations(_speeds(rows))).withColumn("reliable", F.col("cleaned"))
+    return _history(materialize(rows, "smooth"), "cleaned", True)
 
 
 def kinematics7(df: DataFrame, samples: DataFrame) -> DataFrame:
