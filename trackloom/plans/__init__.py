@@ -5,7 +5,7 @@ from importlib import import_module
 from trackloom.plans.base import ORACLES, QUERIES
 
 MODULES = ("tracks", "court", "rallies", "evaluation", "labels", "features", "candidates", "players",
-           "fusion", "sources", "streams")
+           "fusion", "sources", "streams", "training")
 
 
 def load() -> None:

@@ -1,12 +1,10 @@
 """Streaming queries: the tables are replayed as streams of several files, to completion."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from trackloom import fixtures
-from trackloom.operators import rallies
-from trackloom.plans import rallies as rally_plans
+from trackloom.operators import rallies, tracks
+from trackloom.plans import tracks as track_plans
 from trackloom.plans.base import oracle, query, rounded
 from trackloom.plans.labels import events
 from trackloom.session import scratch_path
@@ -41,12 +39,12 @@ oracle("stream_replay", """SELECT h.task, h.source_id, h.frame, h.revision_id AS
 @query("stream_segment")
 def _(spark, sf):
     """Intervals that ended within the stream."""
-    evidence = rallies.with_evidence(rally_plans.rally_frames(spark, sf))
+    evidence = rallies.with_evidence(tracks.preprocess_tracks(track_plans.normalized(spark, sf)))
     rows = drained(spark, segments.stream_segment(as_stream(spark, evidence, 4, "frame")), "segment")
     return rows.select("source_id", F.greatest(F.lit(0), "start_frame").alias("start_frame"), "end_frame", "at_frame")
 
 
-oracle("stream_segment", "SELECT source_id, es AS start_frame, ee AS end_frame, frame AS at_frame FROM r_sm WHERE es IS NOT NULL", ("r_sm",), recursive=True)
+oracle("stream_segment", "SELECT source_id, es AS start_frame, ee AS end_frame, frame AS at_frame FROM p_sm WHERE es IS NOT NULL", ("p_sm",), recursive=True)
 
 
 @query("stream_activity")
@@ -60,5 +58,9 @@ def _(spark, sf):
     rows.unionByName(rows.filter("event_id % 5 = 0")).coalesce(1).write.parquet(path)
     end.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
-    found = drained(spark, labels.stream_activity(stream, "6 hours", "3 hours", "400 days"), f"activity-{uuid.uuid4().hex[:6]}", "append")
-    return found
+    found = drained(spark, labels.stream_activity(stream, "6 hours", "3 hours", "2 days"), "activity")
+    return rounded(found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+
+oracle("stream_activity", """SELECT user_id AS source_id, w AS window_start, round(avg(value), 6) + 0.0 AS activity, count(*) AS n FROM (SELECT user_id, value, unnest([b, b - INTERVAL 3 HOUR]) AS w
+    FROM (SELECT *, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '2000-01-01') AS b FROM events)) GROUP BY ALL""")
