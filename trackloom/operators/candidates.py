@@ -366,7 +366,7 @@ def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame
         F.array_sort(F.collect_list(F.struct("head_first", "head_id", "motion", "gap_penalty", "edge_score"))).alias("links"))
     small = small.join(out, ["source_id", "tracklet_id"], "left")
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first_frame", "tracklet_id"])
         links = {t: [(e["head_id"], e["motion"], e["gap_penalty"], e["edge_score"]) for e in ls]
                  for t, ls in zip(pdf["tracklet_id"], pdf["links"]) if ls is not None}

@@ -214,7 +214,7 @@ def fit_calibrations(points: DataFrame, threshold: float = 3.0) -> DataFrame:
     ``points``: source_id, name, image_x, image_y, court_x, court_y. Names are unique per source and
     there are at most 32 (landmarks) or 24 (line intersections), so every group is small.
     """
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name")
         image, court = pdf[["image_x", "image_y"]].to_numpy(), pdf[["court_x", "court_y"]].to_numpy()
         row = dict.fromkeys(H) | {"source_id": key[0], "points": len(pdf), "inliers": 0,
