@@ -37,38 +37,37 @@ def pose_vectors(frames: DataFrame, poses: DataFrame, keypoints: int = KEYPOINTS
     return frames.join(found, ["source_id", "frame"], "left")
 
 
-def fill_pose_gaps(rows: DataFrame, column: str = "pose") -> DataFrame:
+def fill_pose_gaps(rows: DataFrame, width: int, column: str = "pose") -> DataFrame:
     """Missing rows become the mean of the previous and next valid rows, or the only one there is; 0 if none.
 
-    ``rows``: source_id, position, an array column.
+    ``rows``: source_id, position, an array column of ``width`` numbers.
     """
-    rows = carry(with_chunk(rows, "position"), last={"carried": F.col(column)}, following={"ahead": F.col(column)},
-                 greatest={"width": F.size(column)}, frame="position")
+    rows = carry(with_chunk(rows, "position"), last={"carried": F.col(column)}, following={"ahead": F.col(column)}, frame="position")
     w = by_chunk(order=["position"])
     down = by_chunk(order=[F.desc("position")]).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"prev": F.coalesce(F.last(column, ignorenulls=True).over(running(w)), F.col("carried")),
                              "next": F.coalesce(F.last(column, ignorenulls=True).over(down), F.col("ahead"))})
     both = F.zip_with("prev", "next", lambda a, b: (a + b) / 2)
-    empty = F.array_repeat(F.lit(0.0), F.greatest("width", F.lit(0)))
+    empty = F.array_repeat(F.lit(0.0), width)
     filled = F.coalesce(F.col(column), both, F.col("prev"), F.col("next"), empty)
-    return rows.withColumn(column, filled).drop("carried", "ahead", "width", "prev", "next", "chunk_no")
+    return rows.withColumn(column, filled).drop("carried", "ahead", "prev", "next", "chunk_no")
 
 
 def pose_features(frames: DataFrame, poses: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
     """Filled pose coordinates of the requested frames."""
-    return fill_pose_gaps(pose_vectors(frames, poses, keypoints))
+    return fill_pose_gaps(pose_vectors(frames, poses, keypoints), 2 * keypoints)
 
 
-def pose_features_legacy(rows: DataFrame, last_position: int) -> DataFrame:
+def pose_features_legacy(rows: DataFrame, last_position: int, width: int = 2 * KEYPOINTS) -> DataFrame:
     """Clip variant that fills while reading, so the row ahead still counts as zero: the k-th missing row after
     a pose is that pose over 2^k, leading rows are 0, and a missing last row repeats the one before it."""
     mark = F.when(F.col("pose").isNotNull(), F.struct("position", "pose"))
-    rows = carry(with_chunk(rows, "position"), last={"carried": mark}, greatest={"width": F.size("pose")}, frame="position")
+    rows = carry(with_chunk(rows, "position"), last={"carried": mark}, frame="position")
     last = F.coalesce(F.last(mark, ignorenulls=True).over(running(by_chunk(order=["position"]))), F.col("carried"))
     rows = rows.withColumn("src", last)
     gap = F.least(F.col("position"), F.lit(last_position - 1)) - F.col("src.position")
     faded = F.transform(F.col("src.pose"), lambda v: v / F.pow(F.lit(2.0), F.greatest(gap, F.lit(0))))
-    return rows.withColumn("pose", F.coalesce(faded, F.array_repeat(F.lit(0.0), F.greatest("width", F.lit(0))))).drop("carried", "width", "src", "chunk_no")
+    return rows.withColumn("pose", F.coalesce(faded, F.array_repeat(F.lit(0.0), width))).drop("carried", "src", "chunk_no")
 
 
 # -- per-frame features -----------------------------------------------------------------------

