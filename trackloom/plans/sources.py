@@ -233,15 +233,15 @@ oracle("read_box_labels", """SELECT CASE WHEN source_id % 5 = 0 THEN 'split=vali
 
 @query("read_hit_list")
 def _(spark, sf):
-    """``Kind: frames`` lines per source."""
+    """``Kind: frames`` lines, the sources gathered in 25 lists."""
     path = scratch_path(spark, "hits")
     rows = sides(spark, sf)[0].withColumn("kind", F.when(F.col("rally_id") % 2 == 0, "Smash").otherwise("clear"))
-    text = rows.groupBy("source_id", "kind").agg(F.array_join(F.array_sort(F.collect_list("start_frame")).cast("array<string>"), ", ").alias("v"))
-    by_source_text(text.select("source_id", F.concat("kind", F.lit(": "), "v", F.lit(", ")).alias("value")), path)
+    line = F.concat("kind", F.lit(": "), F.col("start_frame"), F.lit(", "), F.col("end_frame"), F.lit(", "))
+    by_source_text(rows.select((F.col("source_id") % 25).alias("source_id"), line.alias("value")), path)
     return as_id(io.read_hit_list(spark, path))
 
 
-oracle("read_hit_list", "SELECT source_id, CASE WHEN rally_id % 2 = 0 THEN 'smash' ELSE 'clear' END AS label, start_frame AS frame FROM v_intervals WHERE side = 'pred'", ("v_intervals",))
+oracle("read_hit_list", "SELECT source_id % 25 AS source_id, CASE WHEN rally_id % 2 = 0 THEN 'smash' ELSE 'clear' END AS label, unnest([start_frame, end_frame]) AS frame FROM v_intervals WHERE side = 'pred'", ("v_intervals",))
 
 
 def legacy_files(spark, sf):
