@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import documents, query, words
+from trackloom.llm.common import documents, materialize, query, words
 from trackloom.llm.toxicity import held_out, training_labels
 
 STATISTICS = ("log words", "mean word length", "distinct words", "commonest word", "word repeats the one before", "symbols per word",
@@ -101,22 +101,31 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: float
     return Discriminant(side(1), side(0))
 
 
+@F.pandas_udf("array<double>")
+def text_statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([statistics(t) for t in batch])
+
+
 def _sum_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task and class one row: count, sums and cross sums laid end to end."""
     k = len(STATISTICS)
     sums = {label: np.zeros(1 + k + k * k) for label in (0, 1)}
     for batch in batches:
-        for text, label in zip(batch["text"], batch["label"]):
-            x = statistics(text)
+        for x, label in zip(batch["statistics"], batch["label"]):
             sums[int(label > 0)] += np.concatenate([[1.0], x, np.outer(x, x).ravel()])
     yield pd.DataFrame({"label": list(sums), "sums": list(sums.values())})
 
 
-def train(docs: DataFrame, labels: DataFrame, name: str = "quality") -> Discriminant:
-    """Fit on every labelled document outside the held-out third."""
-    known = training_labels(labels, name)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "label")
-    totals = (rows.mapInPandas(_sum_rows, "label int, sums array<double>").select("label", F.posexplode("sums").alias("at", "x"))
+def with_statistics(docs: DataFrame, text: str = "text", into: str = "statistics") -> DataFrame:
+    return docs.withColumn(into, text_statistics(F.col(text)))
+
+
+def train(measured: DataFrame, labels: DataFrame, name: str = "quality") -> Discriminant:
+    """Fit on the (doc_id, statistics) of every labelled document outside the held-out third; no text is shuffled."""
+    rows = measured.select(F.col("doc_id").cast("long").alias("doc_id"), "statistics").join(training_labels(labels, name), "doc_id")
+    totals = (rows.select("statistics", "label").mapInPandas(_sum_rows, "label int, sums array<double>")
+                  .select("label", F.posexplode("sums").alias("at", "x"))
                   .groupBy("label", "at").agg(F.sum("x").alias("x")).collect())  # 2 x 273 numbers
     k = len(STATISTICS)
     flat = {label: np.zeros(1 + k + k * k) for label in (0, 1)}
@@ -125,22 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, name: str = "quality") -> Discrimi
     return fit({label: (v[0], v[1:k + 1], v[k + 1:].reshape(k, k)) for label, v in flat.items()})
 
 
-def score_quality(docs: DataFrame, model: Discriminant, text: str = "text", into: str = "score") -> DataFrame:
-    """The rows with the model's score of ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_quality(measured: DataFrame, model: Discriminant, into: str = "score") -> DataFrame:
+    """The rows with the model's score of their ``statistics``."""
+    shared = measured.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch]).reshape(-1, len(STATISTICS))
+            x = np.array(list(batch), dtype=float).reshape(-1, len(STATISTICS))
             yield pd.Series(shared.value.score(x))
 
-    return docs.withColumn(into, score(F.col(text)))
+    return measured.withColumn(into, score(F.col("statistics")))
 
 
 @query("op8_score_quality")
 def op8_score_quality(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs.select("doc_id", "text"), model).select(
+    measured = materialize(with_statistics(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "statistics"), "statistics")
+    model = train(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(measured, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
