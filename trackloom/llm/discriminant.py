@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from trackloom.llm.common import documents, materialize, query, words
 from trackloom.llm.toxicity import held_out, training_labels
@@ -101,7 +102,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: float
     return Discriminant(side(1), side(0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def text_statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([statistics(t) for t in batch])
