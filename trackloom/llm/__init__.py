@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("line_rules", "templates", "toxicity", "discriminant", "entropy_scan", "mixing")
+MODULES = ("line_rules", "prob_minhash", "templates", "toxicity", "discriminant", "entropy_scan", "mixing")
 
 
 def load() -> None:

@@ -148,13 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, name: str = "toxic", max_positive:
 
 def score_texts(docs: DataFrame, model: PuModel, text: str = "text", into: str = "score") -> DataFrame:
     """The rows with the model's score of ``text``; the weights (512 KB whatever the corpus) travel as a broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # plain arrays: no import on the executors
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, int] = {}
+        fitted = PuModel(*shared.value)
         for batch in batches:
-            yield pd.Series([shared.value.score(t, known) for t in batch], dtype="float64")
+            yield pd.Series([fitted.score(t, known) for t in batch], dtype="float64")
 
     return docs.withColumn(into, score(F.col(text)))
 
