@@ -8,9 +8,10 @@ register's. Two documents agree in a register with probability J. Bands of four
 verified on the texts.
 
 * Copies (equal word sequences) are one node from the start and never meet in a bucket.
-* Each bucket first links its members to its smallest member. Only buckets that then still hold several components are
-  searched for links between different components, in blocks, by comparing whole signatures; so a bucket of thousands of
-  near copies costs one pair per member, and no candidate between components is skipped.
+* Each bucket first links its members to its smallest member, its leader. Leaders whose members are then still of several
+  components are searched for links between components, in blocks: signatures are compared where the rows meet, the
+  likeliest pairs are verified there, and only links that connect leave the task. No candidate between components is skipped,
+  and a bucket of thousands of near copies costs one pair per member.
 * A pair whose signatures agree in less than ``FLOOR`` of the registers is not verified in that search; at similarity 0.8
   this has probability below 1e-6. At 0.8 no band agrees with probability 5e-8.
 
@@ -39,7 +40,8 @@ SHINGLE = 5
 REGISTERS, BAND = 128, 4
 THRESHOLD = 0.8
 FLOOR = 0.62
-BLOCK = 512
+BLOCK = 1024
+SHARD_ROWS = 8192
 BATCH_WORDS = 1 << 19
 
 U64 = np.uint64
@@ -69,9 +71,10 @@ def shingles_of(docs: list[list[bytes]], known: WordHashes) -> list[np.ndarray]:
     ids = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), U64, sum(lengths))
 
     def hashed(ids: np.ndarray, n: int) -> np.ndarray:
-        h = np.full(max(0, len(ids) - n + 1), n, U64)
+        m = max(0, len(ids) - n + 1)
+        h = np.full(m, n, U64)
         for i in range(n):
-            h = mixed(h * _P + ids[i:len(ids) - n + 1 + i])
+            h = mixed(h * _P + ids[i:i + m])
         return h
 
     every, out, at = hashed(ids, SHINGLE), [], 0
@@ -185,38 +188,93 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return materialize(both.mapInPandas(_verify_rows, "a long, b long, similarity double").filter(F.col("similarity") >= threshold), "links")
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidates between different components in one block of a bucket, by agreement of whole signatures."""
-    probes, base = rows[rows["probe"]], rows[~rows["probe"]]
-    if probes.empty or base.empty:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> list[tuple[int, int]]:
+    """Links between different components among the probes and the members of one part of a leader's group.
+
+    A pair is looked at under the first leader it shares. The likeliest partners come first, and a partner that a link
+    found here has connected meanwhile is passed over, so at most one link per member comes out.
+    """
+    base, probes = rows[rows["in_base"]], rows[rows["probe"]]
+    if base.empty or probes.empty:
+        return []
     sig = np.frombuffer(b"".join(base["sig"]), np.uint32).reshape(-1, REGISTERS)
-    ids, labels = base["doc_id"].to_numpy(), base["label"].to_numpy()
+    ids, labels, minor = base["doc_id"].to_numpy(), base["label"].to_numpy(), (base["label"] != base["largest"]).to_numpy()
+    leader = int(rows["leader"].iloc[0])
+    earlier = {i: frozenset(x for x in r if x < leader) for i, r in zip(rows["doc_id"], rows["leaders"])}
+    texts = dict(zip(rows["doc_id"], rows["text"]))
+    sets: dict[int, tuple] = {}
+    joined: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while (up := joined.get(label, label)) != label:
+            label = up
+        return label
+
+    def of(i: int):
+        if i not in sets:
+            x, w = weighted(texts[i], known)
+            sets[i] = (x, w, frozenset(x.tolist()) if w.max(initial=1) == 1 else None)
+        return sets[i]
+
     out = []
-    for i, label, own in zip(probes["doc_id"], probes["label"], probes["sig"]):
-        near = (sig == np.frombuffer(own, np.uint32)).mean(axis=1) >= FLOOR
-        out += [(min(i, x), max(i, x)) for x in ids[near & (labels != label)]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-
-def _between_components(shared: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs of one bucket in different components: members outside a bucket's largest component against all its members."""
-    rows = materialize(shared.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-                       .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
-    counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ = materialize(counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members"),
-                                                     F.max(F.struct("n", "label"))["label"].alias("largest")).filter("labels > 1").drop("labels"), "open")
-    rows = rows.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    parts = F.ceil(F.col("members") / (8 * BLOCK)).cast("int")
+    for i, label, own in zip(probes["doc_id"].tolist(), probes["label"].tolist(), probes["sig"]):
+        agree = (sig == np.frombuffer(own, np.uint32)).sum(axis=1)
+        # a pair of two probes is met from either side: once is enough
+        at = np.flatnonzero((agree >= FLOOR * REGISTERS) & (labels != label) & (~minor | (ids > i)))
+        for j in at[np.argsort(-agree[at], kind="stable")].tolist():
+            other, other_label = int(ids[j]), int(labels[j])
+            if root(label) == root(other_label) or not earlier[i].isdisjoint(earlier[other]):
+                continue
+            a, b = of(i), of(other)
+            if a[2] is not None and b[2] is not None:
+                both = len(a[2] & b[2])
+                close = both >= threshold * (len(a[2]) + len(b[2]) - both)
+            else:
+                close = similarity(a[:2], b[:2]) >= threshold
+            if close:
+                joined[root(other_label)] = root(label)
+                out.append((min(i, other), max(i, other)))
+    return out
+
+
+def _between_components(shared: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components that members of one bucket have.
+
+    Buckets with the same smallest member are searched together. The members outside a group's largest component are its probes;
+    they meet all members in blocks. Pairs are compared where they meet; only links leave the task.
+    """
+    spark = docs.sparkSession
+    rows = shared.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+        "leader", "doc_id", F.coalesce("component", "doc_id").alias("label")).distinct()
+    rows = materialize(rows, "labelled")
+    counts = rows.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("leader").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members"),
+                                           F.max(F.struct("n", "label"))["label"].alias("largest")).filter("labels > 1").drop("labels")
+    rows = materialize(rows.join(materialize(several, "several"), "leader"), "open")
+    leaders = rows.groupBy("doc_id").agg(F.collect_set("leader").alias("leaders"))  # one per band at most
+    ids = materialize(leaders, "open-ids")
+    texts = lookup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL"), ids.select("doc_id"), "doc_id", "left_semi")
+    known = materialize(texts.join(signed.select("doc_id", "sig"), "doc_id").join(ids, "doc_id"), "open-texts")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     spot = F.pmod(F.hash("doc_id"), F.lit(1 << 20))
-    # a block of the members meets each part of the probes
-    base = rows.select("*", F.lit(False).alias("probe"), (spot % F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    probes = rows.filter("label <> largest").select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                                                    (spot % parts).alias("part"))
-    keyed = base.unionByName(probes).join(signed.select("doc_id", "sig"), "doc_id")
-    found = keyed.select("bucket", "block", "part", "probe", "doc_id", "label", "sig").groupBy("bucket", "block", "part").applyInPandas(
-        _block_pairs, "a long, b long")
-    return found.distinct()
+    rows = rows.withColumn("blocks", blocks).withColumn("probe", F.col("label") != F.col("largest"))
+    small = rows.filter("blocks = 1").select("*", F.lit(True).alias("in_base"), F.lit(0).alias("block"), F.lit(0).alias("part"))
+    large = rows.filter("blocks > 1")
+    count = F.sequence(F.lit(0), F.col("blocks") - 1)
+    base = large.withColumn("probe", F.lit(False)).select("*", F.lit(True).alias("in_base"), (spot % F.col("blocks")).alias("block"), F.explode(count).alias("part"))
+    probes = large.filter("probe").select("*", F.lit(False).alias("in_base"), F.explode(count).alias("block"), (spot % F.col("blocks")).alias("part"))
+    parts = materialize(small.unionByName(base).unionByName(probes), "parts")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // SHARD_ROWS))
+    keyed = parts.join(known, "doc_id").withColumn("shard", F.pmod(F.xxhash64("leader", "block", "part"), F.lit(shards)))
+
+    def links_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        found = {x for _, rows in pdf.groupby(["leader", "block", "part"]) for x in _group_links(rows, threshold, hashes)}
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    found = keyed.select("shard", "leader", "block", "part", "doc_id", "label", "largest", "probe", "in_base", "sig", "leaders", "text").groupBy(
+        "shard").applyInPandas(links_of, "a long, b long")
+    return materialize(found.distinct(), "found")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,11 +295,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = verified(materialize(pairs, "pairs"), docs, threshold).select("a", "b")
     # copies whose doc_id is met with several texts join their classes here
     tied = owners.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    labels = connected_components(links)
-    more = materialize(_between_components(shared.select("bucket", "doc_id").distinct(), labels, nodes), "more")
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    if more.take(1):
-        links = links.unionByName(verified(more, docs, threshold).select("a", "b"))
+    labels = materialize(connected_components(links), "labels")
+    links = links.unionByName(_between_components(shared.select("leader", "doc_id"), labels, nodes, docs, threshold))
     labels = materialize(connected_components(links.unionByName(tied)), "classes")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return lookup(ids, labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
