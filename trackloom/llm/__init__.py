@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("line_rules", "prob_minhash", "repeat_intervals", "relative_lz", "templates", "toxicity", "discriminant", "entropy_scan", "mixing")
+MODULES = ("tool_calls", "line_rules", "prob_minhash", "repeat_intervals", "relative_lz", "templates", "toxicity", "discriminant", "entropy_scan",
+           "mixing")
 
 
 def load() -> None:
