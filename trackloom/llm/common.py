@@ -12,7 +12,7 @@ from trackloom.session import lookup, materialize, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "documents", "lookup", "materialize", "n_words", "oracle", "query", "shared_dir", "words"]
+__all__ = ["WORD", "documents", "lookup", "materialize", "n_words", "oracle", "pack", "query", "shared_dir", "unpack", "words"]
 
 
 def query(name: str):
@@ -39,3 +39,12 @@ def words(text: str | None) -> list[bytes]:
 def n_words(text: Column) -> Column:
     """Words of a text, counted natively; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def pack(df: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``packed_row`` beside the named keys, so that no name of the input can clash in a join."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("packed_row"), *[c.alias(name) for name, c in keys.items()])
+
+
+def unpack(df: DataFrame) -> DataFrame:
+    return df.select("packed_row.*")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import documents, lookup, materialize, n_words, oracle, query
+from trackloom.llm.common import documents, lookup, materialize, n_words, oracle, pack, query
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5     # words the mix takes, as a multiple of all words
@@ -96,15 +96,15 @@ def mix_sources(docs: DataFrame, plan: DataFrame, size: Column | None = None) ->
     Columns of ``docs`` with one of these five names are replaced.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    own = [c for c in docs.columns if c not in added]
-    rows = docs.select(*own, (n_words(F.col("text")) if size is None else size).alias("size"))
-    side = plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_size"), F.col("target").alias("mix_target"),
-                       F.col("rate").alias("mix_rate"), F.col("draw_no").alias("mix_draw"))
-    rows = lookup(rows, side, F.col("source").eqNullSafe(F.col("mix_source")), "inner")
-    chosen = reduce(lambda rest, k: F.when(F.col("mix_draw") == k, copies(F.col("doc_id"), F.col("mix_rate"), k)).otherwise(rest),
+    own = [F.col(f"packed_row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    rows = pack(docs, m_id=F.col("doc_id"), m_source=F.col("source"), m_size=n_words(F.col("text")) if size is None else size)
+    side = plan.select(F.col("source").alias("p_source"), F.col("source_size").alias("p_size"), F.col("target").alias("p_target"),
+                       F.col("rate").alias("p_rate"), F.col("draw_no").alias("p_draw"))
+    rows = lookup(rows, side, F.col("m_source").eqNullSafe(F.col("p_source")), "inner")
+    chosen = reduce(lambda rest, k: F.when(F.col("p_draw") == k, copies(F.col("m_id"), F.col("p_rate"), k)).otherwise(rest),
                     range(DRAWS), F.lit(None).cast("long"))
-    return rows.select(*own, "size", F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), chosen.alias("copies")
-                       ).withColumn("taken", F.col("size") * F.col("copies"))
+    return rows.select(*own, F.col("m_size").alias("size"), F.col("p_size").alias("source_size"), F.col("p_target").alias("target"),
+                       chosen.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:

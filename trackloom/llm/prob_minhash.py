@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.components import connected_components
-from trackloom.llm.common import documents, lookup, materialize, query, words
+from trackloom.llm.common import documents, lookup, materialize, pack, query, unpack, words
 
 SHINGLE = 5
 REGISTERS, BAND = 128, 4
@@ -306,13 +306,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the smallest ``doc_id``, and one row of it; rows without ``doc_id`` stay."""
     gone = materialize(near_duplicates(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
-    kept = lookup(docs, gone, F.col("doc_id").cast("long") == F.col("g_id"), "left_anti")
-    again = materialize(docs.groupBy(F.col("doc_id").cast("long").alias("r_id")).agg(F.count(F.lit(1)).alias("n"))
-                        .filter("n > 1 AND r_id IS NOT NULL").drop("n"), "again")
+    rows = pack(docs, p_id=F.col("doc_id").cast("long"))
+    kept = lookup(rows, gone, F.col("p_id") == F.col("g_id"), "left_anti")
+    again = materialize(rows.groupBy(F.col("p_id").alias("r_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND r_id IS NOT NULL").drop("n"), "again")
     if not again.take(1):
-        return kept
-    same = F.col("doc_id").cast("long") == F.col("r_id")
-    return lookup(kept, again, same, "left_anti").unionByName(lookup(kept, again, same, "left_semi").dropDuplicates(["doc_id"]))
+        return unpack(kept)
+    same = F.col("p_id") == F.col("r_id")
+    return unpack(lookup(kept, again, same, "left_anti").unionByName(lookup(kept, again, same, "left_semi").dropDuplicates(["p_id"])))
 
 
 @query("op3_near_duplicates")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import documents, lookup, materialize, oracle, query
+from trackloom.llm.common import documents, lookup, materialize, oracle, pack, query, unpack
 
 WINDOW = 5
 MIN_LITERALS = 3
@@ -133,8 +133,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = MIN_CO
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_hash"))
-    return lookup(docs, materialize(bad, "bad"), on, "left_anti")
+    rows = pack(docs, p_id=F.col("doc_id").cast("long"), p_hash=F.xxhash64("text"))
+    on = F.col("p_id").eqNullSafe(F.col("c_id")) & (F.col("p_hash") == F.col("c_hash"))
+    return unpack(lookup(rows, materialize(bad, "bad"), on, "left_anti"))
 
 
 @query("op6_decontaminate")

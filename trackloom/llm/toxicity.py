@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import documents, query
+from trackloom.llm.common import documents, pack, query, unpack
 
 TOKEN = re.compile(r"\w+")
 BUCKETS = 1 << 16
@@ -160,6 +160,12 @@ def score_texts(docs: DataFrame, model: PuModel, text: str = "text", into: str =
     return docs.withColumn(into, score(F.col(text)))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below ``threshold`` under a model trained on ``labels`` and these documents."""
+    scored = score_texts(pack(docs, p_text=F.col("text")), train(docs, labels), "p_text", "p_score")
+    return unpack(scored.filter(F.col("p_score") < threshold))
+
+
 @query("op7_score_toxicity")
 def op7_score_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
