@@ -65,7 +65,9 @@ def enhanced_suffix_array(text: np.ndarray, at: np.ndarray, ends: np.ndarray) ->
     width = -(-int(sizes.max()) // 8) * 8
     rows = np.concatenate([text, np.zeros(width, np.uint8)])[at[:, None] + np.arange(width)]
     rows[np.arange(width) >= sizes[:, None]] = 0
-    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    # fixed-width strings compare as if zeros at the end were absent; among those the shorter suffix comes first
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.argsort(rows.view(f"S{width}").ravel()[order], kind="stable")]
     rows, sizes = rows[order], sizes[order]
     differ = rows[1:] != rows[:-1]
     same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)

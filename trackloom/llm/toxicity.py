@@ -62,8 +62,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class SparseRows:
     """Rows of distinct buckets, laid end to end."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
+    def __init__(self, rows: list[np.ndarray], width: int = BUCKETS):
+        self.n, self.width = len(rows), width
         self.flat = np.concatenate(rows).astype(np.int64) if self.n else np.zeros(0, np.int64)
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
 
@@ -71,7 +71,16 @@ class SparseRows:
         return np.bincount(self.row, w[self.flat], minlength=self.n) + b
 
     def pull_back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.flat, g[self.row], minlength=BUCKETS)
+        return np.bincount(self.flat, g[self.row], minlength=self.width)
+
+    def restricted(self, columns: np.ndarray) -> SparseRows:
+        """The rows with ``columns`` only, renamed by position."""
+        place = np.full(self.width, -1)
+        place[columns] = np.arange(len(columns))
+        out = SparseRows([], len(columns))
+        kept = place[self.flat] >= 0
+        out.n, out.flat, out.row = self.n, place[self.flat][kept], self.row[kept]
+        return out
 
 
 def telling_buckets(p_rows: SparseRows, u_rows: SparseRows, least: int = 3, deviation: float = 4.0) -> np.ndarray:
@@ -84,33 +93,36 @@ def telling_buckets(p_rows: SparseRows, u_rows: SparseRows, least: int = 3, devi
     return (in_p >= least) & (in_p - expected >= deviation * np.sqrt(expected + 0.25))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 120, rate: float = 0.05,
-             decay: float = 1e-5) -> PuModel:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.05,
+             decay: float = 3e-5) -> PuModel:
     """Full-batch Adam on the non-negative risk over the telling buckets; ``decay`` is the L2 penalty per weight."""
     if not positive or not unlabelled:
         p = min(max(prior, 1e-3), 0.5)
         return PuModel(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     prior = min(max(prior, 1e-3), 0.999)
     p_rows, u_rows = SparseRows(positive), SparseRows(unlabelled)
-    usable = telling_buckets(p_rows, u_rows).astype(float)
-    w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    usable = np.flatnonzero(telling_buckets(p_rows, u_rows))
+    p_rows, u_rows = p_rows.restricted(usable), u_rows.restricted(usable)
+    k = len(usable)
+    w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, rounds + 1):
         fp, fu = p_rows.scores(w, b), u_rows.scores(w, b)
         sp, su = _sigmoid(fp), _sigmoid(fu)
         negative_risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gu = np.zeros(p_rows.n), su / u_rows.n
         if negative_risk >= 0:
-            gp = prior * (sp - 1) / p_rows.n - prior * sp / p_rows.n
+            gp, gu = prior * (sp - 1) / p_rows.n - prior * sp / p_rows.n, su / u_rows.n
         else:  # back off: climb the negative part of the risk
-            gp, gu = prior * sp / p_rows.n, -gu
-        g = np.append((p_rows.pull_back(gp) + u_rows.pull_back(gu)) * usable + decay * w, gp.sum() + gu.sum())
+            gp, gu = prior * sp / p_rows.n, -su / u_rows.n
+        g = np.append(p_rows.pull_back(gp) + u_rows.pull_back(gu) + decay * w, gp.sum() + gu.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
-        w -= step[:-1] * usable
+        w -= step[:-1]
         b -= step[-1]
-    return PuModel(w, b)
+    weights = np.zeros(BUCKETS)
+    weights[usable] = w
+    return PuModel(weights, b)
 
 
 def held_out(doc_id) -> F.Column:
