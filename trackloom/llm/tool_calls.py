@@ -33,6 +33,7 @@ from trackloom.llm.common import lookup, materialize, oracle, query
 CALL = StructType([StructField("id", StringType()), StructField("name", StringType()), StructField("arguments", StringType()),
                    StructField("after", ArrayType(StringType()))])
 CHUNK_TURNS = 512
+SHARD_CALLS = 4096
 
 
 def canonical(value) -> str:
@@ -113,12 +114,12 @@ def _same(left: DataFrame, right: DataFrame, *pairs: tuple[str, str]):
     return on
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Levels of the calls of one chunk that wait for nothing outside it, by repeatedly taking calls without open waits."""
-    base = dict(zip(rows["call_id"], rows["base"].tolist()))
+def _settle(rows: list[tuple[str, int, list[str]]]) -> list[tuple[str, int]]:
+    """(call, level) of the calls of one chunk that wait for nothing outside it; from (call, level so far, open waits)."""
+    base = {call: level for call, level, _ in rows}
     waiting: dict[str, list[str]] = {}
     count = {}
-    for call, others in zip(rows["call_id"], rows["open"]):
+    for call, _, others in rows:
         count[call] = len(others)
         for o in others:
             waiting.setdefault(o, []).append(call)
@@ -132,8 +133,15 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
             count[later] -= 1
             if count[later] == 0:
                 ready.append(later)
-    conv = rows["conv"].iloc[0]
-    return pd.DataFrame([(None if pd.isna(conv) else conv, c, v) for c, v in done], columns=["l_conv", "l_id", "level"])
+    return done
+
+
+def _settle_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All chunks of a shard; one call of pandas for many small conversations."""
+    chunks: dict[tuple, list[tuple]] = {}
+    for conv, chunk, call, base, others in zip(pdf["conv"].tolist(), pdf["chunk"].tolist(), pdf["call_id"], pdf["base"].tolist(), pdf["open"]):
+        chunks.setdefault((None if pd.isna(conv) else conv, chunk), []).append((call, base, others))
+    return pd.DataFrame([(conv, *x) for (conv, _), rows in chunks.items() for x in _settle(rows)], columns=["l_conv", "l_id", "level"])
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -143,6 +151,8 @@ def levels(calls: DataFrame) -> DataFrame:
     waits = calls.select("conv", "call_id", F.explode("after").alias("other")).distinct()
     waits = materialize(waits.join(nodes, _same(waits, nodes, ("conv", "l_conv"), ("other", "l_id")), "left_semi"), "waits")
     unsettled = calls.select("conv", "call_id", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(0)).alias("chunk"))
+    # some thousand calls to a shard, and no more shards than there is work for
+    shards = max(1, -(-calls.count() // SHARD_CALLS))
     done = None
     while True:
         if done is None:
@@ -155,7 +165,8 @@ def levels(calls: DataFrame) -> DataFrame:
         rows = unsettled.join(open_, _same(unsettled, open_, ("conv", "o_conv"), ("call_id", "o_id")), "left").select(
             "conv", "call_id", "chunk", F.coalesce("base", F.lit(0).cast("long")).alias("base"),
             F.coalesce("open", F.array().cast("array<string>")).alias("open"))
-        fresh = materialize(rows.groupBy("conv", "chunk").applyInPandas(_settle, f"l_conv {conv_type}, l_id string, level long"), "level")
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("conv", "chunk"), F.lit(shards)))
+        fresh = materialize(rows.groupBy("shard").applyInPandas(_settle_shard, f"l_conv {conv_type}, l_id string, level long"), "level")
         if not fresh.take(1):
             return done if done is not None else fresh
         done = fresh if done is None else done.unionByName(fresh)
