@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from trackloom.components import connected_components
 from trackloom.functions import geometry as geo
-from trackloom.operators import candidates, court, evaluate, players
+from trackloom.operators import candidates, court, evaluate, labels, players
 from trackloom.settings import AssociationSettings, LinkSettings
 
 
@@ -219,3 +219,68 @@ def test_pose_repair_equals_the_sequential_model(spark, small_chunks):
         if p and m:
             assert rows[i].points[11]["x"] == pytest.approx(m[11]["x"]) and rows[i].quality == pytest.approx(q)
     assert {"validated", "interpolated_single_gap", "rejected_jump_interpolated"} <= set(status)
+
+
+def test_matching_keeps_sources_apart(spark):
+    """Equal rally ids in two sources, and a chain of overlaps."""
+    kind = "source_id long, rally_id string, start_frame long, end_frame long"
+    pred = spark.createDataFrame([(1, "r1", 0, 9), (2, "r1", 0, 9), (3, "r1", 0, 9), (3, "r2", 10, 19)], kind)
+    label = spark.createDataFrame([(1, "r1", 0, 9), (2, "r1", 50, 59), (3, "r1", 5, 14), (3, "r2", 15, 24)], kind)
+    rows = {tuple(r)[:3] + (r.match_status,) for r in evaluate.match_intervals(pred, label, 0.3).collect()}
+    assert rows == {(1, "r1", "r1", "matched"), (2, "r1", None, "unmatched_prediction"), (2, None, "r1", "unmatched_label"),
+                    (3, "r1", "r1", "matched"), (3, "r2", "r2", "matched")}
+
+
+def test_chunk_windows_shuffle_on_the_chunk(spark):
+    """After a join on the source alone, windows by (source, chunk) must shuffle anew."""
+    from trackloom.operators import rallies
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frames = spark.range(100).selectExpr("id % 3 AS source_id", "id AS frame", "1L AS visible_streak", "0L AS missing_count", "true AS reliable", "1.0D AS speed")
+        lookup = rallies.lookup
+        rallies.lookup = lambda df, dim, on, how="left", limit=0: df.join(dim, on, how)
+        try:
+            plan = rallies.with_evidence(frames)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            rallies.lookup = lookup
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    above_join = plan[:plan.index("SortMergeJoin")]
+    assert "hashpartitioning(source_id" in above_join and "chunk_no" in above_join[above_join.rindex("hashpartitioning(source_id"):].split("\n")[0]
+
+
+def test_wrong_or_missing_headers_fail(spark, tmp_path):
+    from trackloom.sources import artifacts
+    observation = '{"type":"observation","frame":1,"track_id":2,"bbox":[0,0,1,1],"confidence":0.5}'
+    texts = {"good": '{"type":"metadata","schema":"person_tracks","schema_version":1}', "wrong": '{"type":"metadata","schema":"other","schema_version":9}', "none": ""}
+    for name, head in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.jsonl").write_text(f"{head}\n{observation}\n")
+    assert artifacts.read_person_tracks(spark, str(tmp_path / "good"))[1].count() == 1
+    for name in ("wrong", "none"):
+        with pytest.raises(Exception, match="expected a person_tracks header"):
+            artifacts.read_person_tracks(spark, str(tmp_path / name))[1].select("frame").collect()
+
+
+def test_audit_capacity_is_an_error(spark):
+    eligible = spark.createDataFrame([(1, f) for f in range(60)], "source_id long, frame long")
+    sources = spark.createDataFrame([(1, 30.0)], "source_id long, fps double")
+    assert labels.audit_queue(eligible, sources, 1, 2).count() == 2
+    for rows in (eligible, eligible.limit(0)):
+        with pytest.raises(ValueError, match="capacity"):
+            labels.audit_queue(rows, sources, 1, 3)
+
+
+def test_broken_calibrations_put_sources_under_review(spark):
+    from trackloom.operators import court, rallies
+    flat = ", ".join(f"h{i} double" for i in range(9))
+    cal = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], f"source_id long, {flat}")
+    bad = spark.createDataFrame([(1, *[float("nan")] * 9)], f"source_id long, {flat}")
+    flags = {r.source_id: r.flags for r in court.projection_flags(cal, bad).collect()}
+    assert flags == {1: ["player_court_projection_unstable"], 2: ["court_projection_unstable"]}
+    scored = spark.createDataFrame([(s, 1, 0, 99, False, 100, 100, 1e6, 0.9, []) for s in (1, 2, 3)], "source_id long, number long, start_frame long, end_frame long, "
+                                   "open_ended boolean, frames long, reliable_frames long, motion double, score double, score_flags array<string>")
+    rows = {r.source_id: (r.status, r.flags) for r in rallies.classify_rallies(scored, 30.0, source_flags=court.projection_flags(cal, bad)).collect()}
+    assert rows[3] == ("accepted", "") and rows[2] == ("review", "court_projection_unstable;manual_review_needed") and rows[1][0] == "review"

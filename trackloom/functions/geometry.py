@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Regulation court, metres, origin at the centre below the net (fixed values).
@@ -60,18 +60,6 @@ def literal_rows(rows: list[tuple], names: tuple[str, ...]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
 
 
-def court_landmarks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(court_landmark_rows(), "landmark string, court_x double, court_y double")
-
-
-def court_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(court_line_rows(), "line string, axis string, court_at double")
-
-
-def court_segments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(court_segment_rows(), "x1 double, y1 double, x2 double, y2 double")
-
-
 def determinant(h=H) -> Column:
     a, b, c, d, e, f, g, i, j = map(F.col, h)
     return a * (e * j - f * i) - b * (d * j - f * g) + c * (d * i - e * g)
@@ -87,7 +75,7 @@ def scaled_matrix(columns) -> list[Column]:
 
 def inverse_matrix(h=H) -> list[Column]:
     a, b, c, d, e, f, g, i, j = map(F.col, h)
-    det = determinant(h)
+    det = F.nullif(determinant(h), F.lit(0.0))  # a singular matrix has no inverse: all its points are null
     adjugate = [e * j - f * i, c * i - b * j, b * f - c * e,
                 f * g - d * j, a * j - c * g, c * d - a * f,
                 d * i - e * g, b * g - a * i, a * e - b * d]

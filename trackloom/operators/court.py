@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -302,6 +303,17 @@ def court_regions(calibrations: DataFrame, tolerance: float = RallySettings.cour
                        F.when(~usable, "court_projection_unstable").alias("region_flag"))
 
 
+def projection_flags(calibrations: DataFrame, player_calibrations: DataFrame | None = None,
+                     tolerance: float = RallySettings.court_tolerance) -> DataFrame:
+    """(source_id, flags) of the sources whose court, for the shuttle or for the players, cannot be projected."""
+    unstable = court_regions(calibrations, tolerance).filter("region_flag IS NOT NULL").select("source_id", F.col("region_flag").alias("flag"))
+    if player_calibrations is not None:
+        finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))  # NaN counts as largest
+        broken = ~reduce(lambda a, b: a & b, map(finite, H))
+        unstable = unstable.unionByName(player_calibrations.filter(broken).select("source_id", F.lit("player_court_projection_unstable").alias("flag")))
+    return unstable.groupBy("source_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+
+
 def shuttle_inside_region(tracks: DataFrame, calibrations: DataFrame,
                           tolerance: float = RallySettings.court_tolerance) -> DataFrame:
     """Tri-state ``inside_courtish``: set on cleaned frames only."""

@@ -59,12 +59,13 @@ def match_intervals(predictions: DataFrame, labels: DataFrame, threshold: float
     """Assignment of maximum total IoU, thresholded afterwards; unmatched rows are kept with their side.
 
     Pairs that do not overlap add nothing to the total, so every overlap-connected component is solved
-    alone. A component of one pair needs no search; rally ids are unique per side.
+    alone. A component of one pair needs no search; rally ids are unique per source and side.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     pairs = materialize(interval_iou(predictions, labels), "pairs")
-    node = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
+    # rally ids may repeat over sources; the separator keeps (1, 23) and (12, 3) apart
+    node = lambda side, c: F.concat_ws("\x1f", F.lit(side), F.col("source_id").cast("string"), F.col(c).cast("string"))
     edges = pairs.select(node("p", "prediction_rally_id").alias("a"), node("l", "label_rally_id").alias("b"))
     groups = connected_components(edges).withColumnRenamed("node", "a")
     pairs = pairs.withColumn("a", node("p", "prediction_rally_id")).join(groups, "a").drop("a")
@@ -91,7 +92,7 @@ def match_intervals(predictions: DataFrame, labels: DataFrame, threshold: float
 
     def rest(side: DataFrame, mine: str, other: str, status: str) -> DataFrame:
         kind = dict(chosen.dtypes)[other]
-        return side.withColumnRenamed("rally_id", mine).join(chosen.select(mine), mine, "left_anti").select(
+        return side.withColumnRenamed("rally_id", mine).join(chosen.select("source_id", mine), ["source_id", mine], "left_anti").select(
             "source_id", mine, none.cast(kind).alias(other), F.lit(0.0).alias("iou"), none.cast("long").alias("start_error"),
             none.cast("long").alias("end_error"), F.lit(status).alias("match_status"))
 

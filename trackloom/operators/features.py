@@ -11,7 +11,7 @@ from trackloom.chunks import by_chunk, carry, own_rows, running, spread, with_ch
 from trackloom.functions.geometry import HALF_LENGTH, HALF_WIDTH, H, project
 from trackloom.functions.ranges import points_in_intervals
 from trackloom.operators.labels import seeded
-from trackloom.session import lookup
+from trackloom.session import lookup, materialize
 
 KEYPOINTS = 33
 POSE = [f"pose_{i}_{axis}" for i in range(KEYPOINTS) for axis in ("x", "y")]
@@ -196,21 +196,36 @@ def group_split(rows: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataF
     counts = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("draw", seeded(seed, "source_id"))
     checked = F.when(F.col("source_id").isNull() | (F.col("source_id").cast("string") == ""), F.raise_error(F.lit("row without source_id")).cast("long")).otherwise(F.col("n"))
     counts = counts.withColumn("n", checked)
-    order, whole = Window.partitionBy().orderBy("draw"), Window.partitionBy()
-    # sources, not rows, pass through this window
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = F.greatest(F.lit(1), F.bround(F.sum("n").over(whole) * fraction, 0).cast("long"))
-    place, groups = F.row_number().over(order), F.count(F.lit(1)).over(whole)
-    split = F.when((before < target) & (place < groups), "validation").otherwise("train")
-    return counts.select("source_id", "n", split.alias("split"))
+    counts = materialize(counts.withColumn("bucket", _draw_bucket()), "draws")
+    # sums of one row per bucket of draws meet in a window of at most 4096 rows; inside, one bucket at a time is ordered
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("b_n"), F.count(F.lit(1)).alias("b_rows"))
+    earlier, whole = Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = sums.select("bucket", F.coalesce(F.sum("b_n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("b_rows").over(earlier), F.lit(0)).alias("rows_before"),
+                       F.sum("b_n").over(whole).alias("n_all"), F.sum("b_rows").over(whole).alias("groups"))
+    inside = Window.partitionBy("bucket").orderBy("draw")
+    rows = lookup(counts, sums, "bucket", "inner")
+    before = F.col("n_before") + F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = F.greatest(F.lit(1), F.bround(F.col("n_all") * fraction, 0).cast("long"))
+    place = F.col("rows_before") + F.row_number().over(inside)
+    split = F.when((before < target) & (place < F.col("groups")), "validation").otherwise("train")
+    return rows.select("source_id", "n", split.alias("split"))
+
+
+def _draw_bucket():
+    """The first three of a draw's hex digits: buckets of even size in the order of the draws."""
+    return F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")
 
 
 def group_split_by_count(groups: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Validation takes the given share of the groups (rounded up), in seeded order."""
     ids = groups.select("source_id").distinct().withColumn("draw", seeded(seed, "source_id"))
-    place = F.row_number().over(Window.partitionBy().orderBy("draw"))  # one row per source
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    return ids.select("source_id", F.when(place <= F.ceil(total * fraction - 1e-9), "validation").otherwise("train").alias("split"))
+    ids = materialize(ids.withColumn("bucket", _draw_bucket()), "draws")
+    sums = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("b_rows"))
+    sums = sums.select("bucket", F.sum("b_rows").over(Window.partitionBy()).alias("total"), F.coalesce(F.sum("b_rows").over(
+        Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
+    place = F.col("rows_before") + F.row_number().over(Window.partitionBy("bucket").orderBy("draw"))
+    return lookup(ids, sums, "bucket", "inner").select(
+        "source_id", F.when(place <= F.ceil(F.col("total") * fraction - 1e-9), "validation").otherwise("train").alias("split"))
 
 
 def split_leakage(rows: DataFrame) -> DataFrame:

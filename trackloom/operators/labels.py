@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.chunks import CHUNK, by_chunk, carry, own_rows, running, spread, with_chunk
 from trackloom.functions.ranges import overlapping, points_in_intervals
-from trackloom.session import lookup
+from trackloom.session import lookup, materialize
 
 KEY = ["task", "source_id", "frame"]
 
@@ -242,11 +242,10 @@ def audit_queue(eligible: DataFrame, sources: DataFrame, seed: int, anchor_count
     """Uniform seeded sample of ``anchor_count`` tiles; asking for more than exist is an error."""
     if anchor_count < 1:
         raise ValueError("anchor_count must be positive")
-    tiles = audit_tiles(eligible, sources, seed)
-    chosen = tiles.withColumn("draw", seeded(seed, "source_id", "anchor_frame")).orderBy("draw").limit(anchor_count)
-    short = F.count(F.lit(1)).over(Window.partitionBy()) < anchor_count  # at most anchor_count rows here
-    return (chosen.withColumn("short", short).withColumn("start_frame", F.when(F.col("short"), F.raise_error(F.lit(
-        "anchor_count exceeds the non-overlapping capacity")).cast("long")).otherwise(F.col("start_frame"))).drop("short", "draw"))
+    tiles = materialize(audit_tiles(eligible, sources, seed), "tiles")
+    if tiles.limit(anchor_count).count() < anchor_count:  # told here, where no later selection can lose it
+        raise ValueError("anchor_count exceeds the non-overlapping capacity")
+    return tiles.withColumn("draw", seeded(seed, "source_id", "anchor_frame")).orderBy("draw").limit(anchor_count).drop("draw")
 
 
 def adaptive_queue(scores: DataFrame, bursts: DataFrame, anchor_count: int, audit: DataFrame | None = None) -> DataFrame:

@@ -206,8 +206,11 @@ def score_rallies(spans: DataFrame, frames: DataFrame, settings: RallySettings =
 
 
 def classify_rallies(scored: DataFrame, fps: float, settings: RallySettings = DEFAULTS,
-                     base_flags: Iterable[str] = ()) -> DataFrame:
-    """Canonical rally rows: status, confidence band, flags and failure reasons (``;``-joined)."""
+                     base_flags: Iterable[str] = (), source_flags: DataFrame | None = None) -> DataFrame:
+    """Canonical rally rows: status, confidence band, flags and failure reasons (``;``-joined).
+
+    ``base_flags`` hold for all rallies, ``source_flags`` (source_id, flags) for those of a source.
+    """
     if fps <= 0:
         raise ValueError("fps must be positive")
     s = settings
@@ -217,7 +220,10 @@ def classify_rallies(scored: DataFrame, fps: float, settings: RallySettings = DE
     reasons = F.array_compact(F.array(
         named(short, "short_rally"), named(F.col("reliable_frames") < s.minimum_visible_frames, "insufficient_reliable_detections"),
         named(F.col("motion") < s.minimum_motion, "insufficient_motion")))
-    flags = F.concat(F.array(*[F.lit(f) for f in base]).cast("array<string>"),
+    if source_flags is not None:
+        scored = lookup(scored, source_flags.select("source_id", F.col("flags").alias("own_flags")), "source_id", "left")
+    own = F.coalesce("own_flags", F.array().cast("array<string>")) if source_flags is not None else F.array().cast("array<string>")
+    flags = F.concat(F.array(*[F.lit(f) for f in base]).cast("array<string>"), own,
                      F.array_compact(F.array(named(F.col("open_ended"), "manual_review_needed"))),
                      F.col("score_flags"), F.array_compact(F.array(named(short, "short_rally"))))
     rows = scored.withColumn("reasons", reasons).withColumn("flag_list", F.array_distinct(flags))
@@ -244,7 +250,7 @@ def with_presence(frames: DataFrame) -> DataFrame:
 
 
 def segment_rallies(frames: DataFrame, fps: float, settings: RallySettings = DEFAULTS,
-                    base_flags: Iterable[str] = ()) -> DataFrame:
+                    base_flags: Iterable[str] = (), source_flags: DataFrame | None = None) -> DataFrame:
     """Preprocessed tracks (with any court and player signals joined on) -> canonical rallies.
 
     The frame evidence is written once; the machine, its bounds and the scoring read it back.
@@ -254,7 +260,7 @@ def segment_rallies(frames: DataFrame, fps: float, settings: RallySettings = DEF
               "inside_courtish", "players_on_courtish", "players_opposite_service_regions", "player_activity"]
     present = materialize(present.select(*[c for c in wanted if c in present.columns]), "frames")
     spans = rally_spans(with_evidence(present, settings), settings)
-    return classify_rallies(score_rallies(spans, present, settings), fps, settings, base_flags)
+    return classify_rallies(score_rallies(spans, present, settings), fps, settings, base_flags, source_flags)
 
 
 # -- frame rates ------------------------------------------------------------------------------

@@ -192,7 +192,7 @@ def _(spark, sf):
 
 def tracklet_arrays(spark, sf):
     """Stored tracklets with parallel arrays, some of them damaged."""
-    rows = grid_tracklets(spark, sf).filter("cand = 0").groupBy("source_id", "tracklet_id").agg(
+    rows = grid_tracklets(spark, sf).groupBy("source_id", "tracklet_id").agg(
         F.array_sort(F.collect_list(F.struct("frame", "candidate_id"))).alias("m"))
     first = F.col("m")[0]["frame"]
     ids, frames = F.transform("m", lambda m: m["candidate_id"]), F.transform("m", lambda m: m["frame"])
@@ -203,7 +203,7 @@ def tracklet_arrays(spark, sf):
 
 cte("ta", """SELECT source_id, CASE WHEN f0 % 43 = 0 THEN 'dup' ELSE tracklet_id END AS tracklet_id, CASE WHEN f0 % 13 = 0 THEN list_transform(ids, lambda i: i || 'x') ELSE ids END AS ids,
     CASE WHEN f0 % 11 = 0 THEN list_reverse(frames) WHEN f0 % 17 = 0 THEN list_append(frames, frames[-1]) ELSE frames END AS frames
-    FROM (SELECT source_id, tracklet_id, min(frame) AS f0, list(candidate_id ORDER BY frame) AS ids, list(frame ORDER BY frame) AS frames FROM gt WHERE cand = 0 GROUP BY source_id, tracklet_id)""", ("gt",))
+    FROM (SELECT source_id, tracklet_id, min(frame) AS f0, list(candidate_id ORDER BY frame) AS ids, list(frame ORDER BY frame) AS frames FROM gt GROUP BY source_id, tracklet_id)""", ("gt",))
 
 
 @query("validate_tracklets")

@@ -277,13 +277,13 @@ oracle("foot_anchor", f"SELECT source_id, frame, {r6('anchor_x', 'anchor_y')} FR
 def _(spark, sf):
     """Clips of at most 12 frames, so that both kept and rejected clips occur."""
     anchors = ops.foot_anchor(fixtures.poses(spark, sf), fixtures.calibrations(spark, sf))
-    clips = anchors.select((F.col("source_id") * 100000 + F.floor(F.col("frame") / 12)).alias("source_id"),
+    clips = anchors.select((F.col("source_id") * 10000000000 + F.floor(F.col("frame") / 12)).alias("source_id"),
                            (F.col("frame") % 12).alias("frame"),
                            *[F.when((F.col("frame") + F.col("source_id")) % 31 > 5, F.col(c)).alias(c) for c in ("anchor_x", "anchor_y")])
     return rounded(ops.foot_anchor_series(clips))
 
 
-cte("v_clip_anchor", """SELECT source_id*100000 + CAST(frame // 12 AS BIGINT) AS source_id, frame % 12 AS frame, CASE WHEN (frame + source_id) % 31 > 5 THEN anchor_x END AS anchor_x,
+cte("v_clip_anchor", """SELECT source_id*10000000000 + CAST(frame // 12 AS BIGINT) AS source_id, frame % 12 AS frame, CASE WHEN (frame + source_id) % 31 > 5 THEN anchor_x END AS anchor_x,
     CASE WHEN (frame + source_id) % 31 > 5 THEN anchor_y END AS anchor_y FROM v_anchor""", ("v_anchor",))
 oracle("foot_anchor_series", f"""SELECT source_id, frame, {r6('anchor_x', 'anchor_y')}, observed, rejected FROM (SELECT source_id, frame, observed, rejected,
       {', '.join(f"CASE WHEN observed = 1 OR rejected THEN {c} WHEN a IS NULL THEN b.{c} WHEN b IS NULL THEN a.{c} ELSE a.{c} + (frame-a.frame)::DOUBLE/(b.frame-a.frame)*(b.{c}-a.{c}) END AS {c}" for c in ('anchor_x', 'anchor_y'))}

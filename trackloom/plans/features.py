@@ -52,10 +52,10 @@ def clip_poses(spark, sf):
     """Clips of twelve rows."""
     frames, poses = pose_spine(spark, sf)
     rows = ops.pose_vectors(frames, poses)
-    return rows.select((F.col("source_id") * 100000 + F.floor(F.col("frame") / 12)).alias("source_id"), (F.col("frame") % 12).alias("position"), "pose")
+    return rows.select((F.col("source_id") * 10000000000 + F.floor(F.col("frame") / 12)).alias("source_id"), (F.col("frame") % 12).alias("position"), "pose")
 
 
-cte("fclip", """SELECT source_id*100000 + CAST(position // 12 AS BIGINT) AS source_id, position % 12 AS position, pose FROM fpose""", ("fpose",))
+cte("fclip", """SELECT source_id*10000000000 + CAST(position // 12 AS BIGINT) AS source_id, position % 12 AS position, pose FROM fpose""", ("fpose",))
 cte("flegacy", """SELECT source_id, position, CASE WHEN pose IS NOT NULL THEN pose WHEN src IS NULL THEN list_transform(range(64), lambda i: 0.0::DOUBLE) ELSE list_transform(src.pose, lambda v: v/pow(2.0::DOUBLE, least(position, 10) - src.position)) END AS pose
     FROM (SELECT *, last_value(CASE WHEN pose IS NOT NULL THEN {'position': position, 'pose': pose} END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS src FROM fclip)""", ("fclip",))
 
@@ -122,7 +122,7 @@ oracle("feature_frame91", f"SELECT source_id, frame, {_KP}, {', '.join(ops.SHUTT
 def _(spark, sf):
     """Twelve-row clips: poses by the clip rule, kinematics of the matching track frames, foot anchors."""
     pose = ops.pose_features_legacy(clip_poses(spark, sf), 11)
-    clip = lambda df, c="frame": df.withColumns({"source_id": F.col("source_id") * 100000 + F.floor(F.col(c) / 12), c: F.col(c) % 12})
+    clip = lambda df, c="frame": df.withColumns({"source_id": F.col("source_id") * 10000000000 + F.floor(F.col(c) / 12), c: F.col(c) % 12})
     points, frames = track_plans.sampled(spark, sf)
     kin = tracks.kinematics7(clip(points), clip(frames.drop("position")).withColumn("position", F.col("frame")))
     anchors = court.foot_anchor_series(clip(court.foot_anchor(fixtures.poses(spark, sf), fixtures.calibrations(spark, sf))))
@@ -131,13 +131,13 @@ def _(spark, sf):
 
 cte("ckin", """SELECT source_id, position, x, y, visible, vx, vy, CASE WHEN moving AND coalesce(lag(moving) OVER w, false) THEN (vx - lag(vx) OVER w)*100 ELSE 0.0 END AS ax, CASE WHEN moving AND coalesce(lag(moving) OVER w, false) THEN (vy - lag(vy) OVER w)*100 ELSE 0.0 END AS ay
     FROM (SELECT *, CASE WHEN moving THEN (x - lag(x) OVER w)*100 ELSE 0.0 END AS vx, CASE WHEN moving THEN (y - lag(y) OVER w)*100 ELSE 0.0 END AS vy FROM (SELECT *, visible = 1 AND coalesce(lag(visible) OVER w, 0) = 1 AS moving
-      FROM (SELECT source_id*100000 + CAST(frame // 12 AS BIGINT) AS source_id, frame % 12 AS position, visibility::DOUBLE AS visible, CASE WHEN visibility = 1 THEN raw_x/641.0::DOUBLE ELSE 0.0::DOUBLE END AS x, CASE WHEN visibility = 1 THEN raw_y/359.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM v_tracks)
+      FROM (SELECT source_id*10000000000 + CAST(frame // 12 AS BIGINT) AS source_id, frame % 12 AS position, visibility::DOUBLE AS visible, CASE WHEN visibility = 1 THEN raw_x/641.0::DOUBLE ELSE 0.0::DOUBLE END AS x, CASE WHEN visibility = 1 THEN raw_y/359.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM v_tracks)
       WINDOW w AS (PARTITION BY source_id ORDER BY position)) WINDOW w AS (PARTITION BY source_id ORDER BY position)) WINDOW w AS (PARTITION BY source_id ORDER BY position)""", ("v_tracks",))
 cte("canchor", """SELECT source_id, frame AS position, observed, """ + ", ".join(f"CASE WHEN observed = 1 THEN {c} WHEN a IS NULL THEN b.{c} WHEN b IS NULL THEN a.{c} ELSE a.{c} + (frame-a.frame)::DOUBLE/(b.frame-a.frame)*(b.{c}-a.{c}) END AS {c}" for c in ("anchor_x", "anchor_y")) + """
     FROM (SELECT *, bool_or(run > 5) OVER (PARTITION BY source_id) OR sum(observed) OVER (PARTITION BY source_id) = 0 AS rejected, last_value(pt IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
         first_value(pt IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
       FROM (SELECT *, CASE WHEN observed = 0 THEN count(*) OVER (PARTITION BY source_id, observed, frame - rnk) ELSE 0 END AS run FROM (SELECT *, row_number() OVER (PARTITION BY source_id, anchor_x IS NULL ORDER BY frame) AS rnk, (anchor_x IS NOT NULL)::INT::DOUBLE AS observed,
-          CASE WHEN anchor_x IS NOT NULL THEN {'frame': frame, 'anchor_x': anchor_x, 'anchor_y': anchor_y} END AS pt FROM (SELECT source_id*100000 + CAST(frame // 12 AS BIGINT) AS source_id, frame % 12 AS frame, anchor_x, anchor_y FROM v_anchor)))) WHERE NOT rejected""", ("v_anchor",))
+          CASE WHEN anchor_x IS NOT NULL THEN {'frame': frame, 'anchor_x': anchor_x, 'anchor_y': anchor_y} END AS pt FROM (SELECT source_id*10000000000 + CAST(frame // 12 AS BIGINT) AS source_id, frame % 12 AS frame, anchor_x, anchor_y FROM v_anchor)))) WHERE NOT rejected""", ("v_anchor",))
 oracle("clip_features76", f"SELECT source_id, position, {_KP}, {r6('x', 'y', 'visible', 'vx', 'vy', 'ax', 'ay', 'anchor_x', 'anchor_y')}, observed FROM flegacy JOIN ckin USING (source_id, position) JOIN canchor USING (source_id, position)", ("flegacy", "ckin", "canchor"))
 
 

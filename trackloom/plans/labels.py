@@ -137,11 +137,11 @@ def frame_labels(spark, sf):
     kind = F.when(f % 11 == 0, "wrong").when(f % 3 == 0, "no_shuttle").when(f % 7 == 0, "unsure").otherwise("selected")
     cid = (F.when(f % 13 == 0, "zz").when(f % 17 == 0, F.concat(F.lit("f"), f + 1, F.lit("-c0"))).when(f % 19 == 0, None)
             .when((f % 3 == 0) & (f % 23 != 0), None).otherwise(F.col("candidate_id")))
-    return rows.select((F.col("source_id") * 1000000 + f).alias("label_id"), "source_id", (f + F.when(f % 29 == 0, 100000).otherwise(0)).alias("frame"),
+    return rows.select((F.col("source_id") * 10000000000 + f).alias("label_id"), "source_id", (f + F.when(f % 29 == 0, 1 << 40).otherwise(0)).alias("frame"),
                        kind.alias("label_kind"), cid.alias("candidate_id"), F.when(f % 31 == 0, "old").otherwise("sha").alias("candidate_artifact_sha256"))
 
 
-cte("flabels", """SELECT source_id*1000000 + f AS label_id, source_id, f + CASE WHEN f % 29 = 0 THEN 100000 ELSE 0 END AS frame,
+cte("flabels", """SELECT source_id*10000000000 + f AS label_id, source_id, f + CASE WHEN f % 29 = 0 THEN 1099511627776 ELSE 0 END AS frame,
     CASE WHEN f % 11 = 0 THEN 'wrong' WHEN f % 3 = 0 THEN 'no_shuttle' WHEN f % 7 = 0 THEN 'unsure' ELSE 'selected' END AS label_kind,
     CASE WHEN f % 13 = 0 THEN 'zz' WHEN f % 17 = 0 THEN 'f' || (f+1) || '-c0' WHEN f % 19 = 0 THEN NULL WHEN f % 3 = 0 AND f % 23 <> 0 THEN NULL ELSE candidate_id END AS candidate_id,
     CASE WHEN f % 31 = 0 THEN 'old' ELSE 'sha' END AS fp FROM (SELECT *, frame AS f FROM cands WHERE cand = 0)""", ("cands",))
@@ -187,12 +187,12 @@ oracle("suggestions", "SELECT * FROM sugg", ("sugg",))
 
 @query("review_actions")
 def _(spark, sf):
-    labels = frame_labels(spark, sf).filter("frame < 100000")
+    labels = frame_labels(spark, sf).filter("frame < 1099511627776")
     return ops.review_actions(labels, suggested(spark, sf)).select("label_id", "label_kind", "candidate_id", "review_action")
 
 
 oracle("review_actions", """SELECT label_id, label_kind, l.candidate_id, CASE WHEN semantic_label IS NULL THEN 'human_created' WHEN label_kind = semantic_label AND l.candidate_id IS NOT DISTINCT FROM s.candidate_id THEN 'human_confirmed' ELSE 'human_corrected' END AS review_action
-    FROM flabels l LEFT JOIN sugg s USING (source_id, frame) WHERE frame < 100000""", ("flabels", "sugg"))
+    FROM flabels l LEFT JOIN sugg s USING (source_id, frame) WHERE frame < 1099511627776""", ("flabels", "sugg"))
 
 
 def scored(spark, sf):
@@ -278,12 +278,12 @@ def _(spark, sf):
     """Bursts of every anchor as a queue, some of them altered."""
     a = F.col("anchor_frame")
     queue = ops.frame_bursts(eligible(spark, sf), burst_sources(spark, sf)).select(
-        (F.col("source_id") * 1000000 + a).alias("burst_id"), "source_id", "anchor_frame", (F.col("start_frame") + F.when(a % 9 == 0, 1).otherwise(0)).alias("start_frame"), "end_frame",
+        (F.col("source_id") * 10000000000 + a).alias("burst_id"), "source_id", "anchor_frame", (F.col("start_frame") + F.when(a % 9 == 0, 1).otherwise(0)).alias("start_frame"), "end_frame",
         F.when(a % 5 == 0, "x").otherwise("sha").alias("candidate_artifact_sha256"), F.when(a % 7 == 0, "x").otherwise("vid").alias("source_video_sha256"))
     return ops.validate_queue(queue, eligible(spark, sf), burst_sources(spark, sf), "audit", 3)
 
 
-oracle("validate_queue", """, q AS (SELECT source_id*1000000 + anchor_frame AS id, source_id, anchor_frame AS a, start_frame + CASE WHEN anchor_frame % 9 = 0 THEN 1 ELSE 0 END AS s, end_frame AS e FROM bursts)
+oracle("validate_queue", """, q AS (SELECT source_id*10000000000 + anchor_frame AS id, source_id, anchor_frame AS a, start_frame + CASE WHEN anchor_frame % 9 = 0 THEN 1 ELSE 0 END AS s, end_frame AS e FROM bursts)
     SELECT id AS burst_id, 'artifact_mismatch' AS problem FROM q WHERE a % 5 = 0 UNION ALL SELECT id, 'video_mismatch' FROM q WHERE a % 7 = 0 UNION ALL SELECT id, 'frames_mismatch' FROM q WHERE a % 9 = 0
     UNION ALL SELECT id, 'overlap' FROM q WHERE EXISTS (SELECT 1 FROM q p WHERE p.source_id = q.source_id AND p.id < q.id AND p.s <= q.e AND q.s <= p.e AND p.s <= p.e AND q.s <= q.e) UNION ALL SELECT NULL, 'count_mismatch'""", ("bursts",))
 

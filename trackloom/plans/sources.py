@@ -143,14 +143,14 @@ oracle("read_layered_jsonl", "SELECT source_id, tracklet_id, array_to_string(ids
 def _(spark, sf):
     """Pose lists of 64 frames per file."""
     path = scratch_path(spark, "poses")
-    rows = fixtures.poses(spark, sf).withColumn("clip", F.col("source_id") * 100000 + F.floor(F.col("frame") / 64))
+    rows = fixtures.poses(spark, sf).withColumn("clip", F.col("source_id") * 10000000000 + F.floor(F.col("frame") / 64))
     docs = rows.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("frame", F.to_json("keypoints").alias("k")))).alias("fs"))
     docs.select(F.col("clip").alias("source_id"), F.concat(F.lit("["), F.array_join(F.transform("fs", lambda f: F.concat(F.lit('{"keypoints":'), f["k"], F.lit("}"))), ","), F.lit("]")).alias("value")).write.partitionBy("source_id").text(path)
     found = as_id(io.read_pose_frames(spark, path))
     return rounded(found.select("source_id", "frame", F.size("keypoints").alias("n"), F.col("keypoints")["3"]["x"].alias("x3"), F.col("keypoints")["31"]["visibility"].alias("v31")))
 
 
-oracle("read_pose_frames", """SELECT source_id*100000 + CAST(frame // 64 AS BIGINT) AS source_id, frame % 64 AS frame, CASE WHEN e IS NULL THEN 0 ELSE 32 END AS n, round(e[7]::DOUBLE, 6) + 0.0 AS x3, CASE WHEN e IS NOT NULL THEN round(((vec_id*7 + 93) % 10)::DOUBLE/10, 6) END AS v31 FROM v_poses""", ("v_poses",))
+oracle("read_pose_frames", """SELECT source_id*10000000000 + CAST(frame // 64 AS BIGINT) AS source_id, frame % 64 AS frame, CASE WHEN e IS NULL THEN 0 ELSE 32 END AS n, round(e[7]::DOUBLE, 6) + 0.0 AS x3, CASE WHEN e IS NOT NULL THEN round(((vec_id*7 + 93) % 10)::DOUBLE/10, 6) END AS v31 FROM v_poses""", ("v_poses",))
 
 
 @query("read_players")

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 CHUNK_CONF = "spark.trackloom.chunkFrames"
 DEFAULT_CHUNK_FRAMES = 1 << 14
+STORED: dict[str, list[str]] = {}  # stage folders by application, for drop_stages
 
 
 def chunk_frames(spark: SparkSession) -> int:
-    """Frames per chunk: the unit of work that one task holds of a source."""
+    """Frames per chunk: the unit of work that one task holds of a source.
+
+    Also has the session shuffle on all keys of a window or grouping. Otherwise rows that a join has dealt by source alone would
+    count as dealt well enough for windows by (source, chunk), and a source would be one task after all.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
     return int(spark.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_FRAMES)))
 
 
@@ -36,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -50,11 +58,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables this session has stored and tell how many there were; results not yet written need them."""
+    paths = STORED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def size_estimate(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup(df: DataFrame, dim: DataFrame, on, how: str = "left", limit: int = 32 << 20) -> DataFrame:
-    """Join a many-to-one dimension: broadcast below ``limit`` bytes, else a shuffle join whose
-    hot partitions adaptive execution splits."""
+    """Join a many-to-one dimension: broadcast below ``limit`` bytes, else a shuffle join whose hot partitions
+    adaptive execution splits. Chunk windows above either shuffle by (source, chunk), see ``chunk_frames``."""
     return df.join(F.broadcast(dim) if size_estimate(dim) <= limit else dim, on, how)

@@ -110,15 +110,20 @@ def read_layered_jsonl(spark: SparkSession, path: str, schema: str, versions: tu
     head = F.from_json("value", HEADER)
     is_head = F.get_json_object("value", "$.type") == "metadata"
     headers = rows.filter(is_head).select("source_id", "file", head.alias("h")).select("source_id", "file", "h.*")
-    good = (F.col("schema") == schema) & F.col("schema_version").isin(*versions)
-    headers = headers.withColumn("schema", F.when(good, F.col("schema")).otherwise(F.raise_error(F.concat(F.lit(f"expected a {schema} header in "), "file"))))
-    records = rows.filter(~F.coalesce(is_head, F.lit(False))).select("source_id", F.from_json("value", RECORDS[schema], {"mode": "FAILFAST"}).alias("r"))
-    return headers.drop("file"), records.select("source_id", "r.*")
+    good = F.coalesce((F.col("schema") == schema) & F.col("schema_version").isin(*versions), F.lit(False))
+    # in filters, where no column pruning removes the error
+    failed = lambda file: F.raise_error(F.concat(F.lit(f"expected a {schema} header in "), file)).cast("boolean")
+    # an artifact is what one source holds: a file, or the part files of a folder, with the header in one of them
+    checked = headers.groupBy("source_id").agg(F.min(good).alias("good")).select(F.col("source_id").alias("h_source"), "good")
+    records = rows.filter(~F.coalesce(is_head, F.lit(False))).select("source_id", "file", F.from_json("value", RECORDS[schema], {"mode": "FAILFAST"}).alias("r"))
+    records = lookup(records, checked, F.col("source_id").eqNullSafe(F.col("h_source")), "left").filter(
+        F.when(F.coalesce("good", F.lit(False)), F.lit(True)).otherwise(failed(F.col("file"))))
+    return headers.filter(F.when(good, F.lit(True)).otherwise(failed(F.col("file")))).drop("file"), records.select("source_id", "r.*")
 
 
 def _only(records: DataFrame, kind: str) -> DataFrame:
-    checked = F.when(F.col("type") == kind, F.col("type")).otherwise(F.raise_error(F.lit(f"record that is not a {kind}")))
-    return records.withColumn("type", checked).filter(F.col("type") == kind).drop("type")
+    wrong = F.raise_error(F.lit(f"record that is not a {kind}")).cast("boolean")
+    return records.filter(F.when(F.col("type") == kind, F.lit(True)).otherwise(wrong)).drop("type")
 
 
 def read_person_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
