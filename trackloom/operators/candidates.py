@@ -155,53 +155,63 @@ def candidate_load(frames: DataFrame, candidates: DataFrame) -> DataFrame:
 
 # -- linking ----------------------------------------------------------------------------------
 
+def _two_least(distance: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and second least along an axis; infinity where there is none."""
+    if distance.shape[axis] < 2:
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (0, 2)
+        distance = np.pad(distance, pad, constant_values=np.inf)
+    part = np.partition(distance, 1, axis=axis)
+    return part.take(0, axis), part.take(1, axis)
+
+
 def link_machine(gate: float, settings: LinkSettings):
-    """State: active tracklets as [start frame, start position, [frame, x, y] points (last two)]."""
-    ratio, reach = settings.ambiguity_ratio, settings.max_missing_frames + 1
+    """State: active tracklets as [start frame, start position, [frame, x, y] points (last two)].
 
-    def safe(d: float, others: list[float]) -> bool:
-        return not others or (d < min(others) and d <= ratio * min(others))
+    Per frame one distance matrix between predictions and candidates. A pair is linked when it is the least of its row and of
+    its column and clearly below the second least of both.
+    """
+    ratio, reach = settings.ambiguity_ratio, settings.max_missing_frames + 1
 
     def machine(pdf: pd.DataFrame, entry: str) -> tuple[dict, str]:
-        active = json.loads(entry)
-        out = {c: [] for c in ("frame", "cand", "track_frame", "track_cand", "prev_frame", "prev_x", "prev_y")}
-        for frame, rows in pdf.groupby("frame", sort=True):
-            frame = int(frame)
-            here = [(int(c), float(x), float(y)) for c, x, y in zip(rows["cand"], rows["cx"], rows["cy"])]
-            active = [t for t in active if frame - t[2][-1][0] <= reach]
-            near: dict[tuple[int, int], float] = {}
-            for i, (_, _, points) in enumerate(active):
-                f, x, y = points[-1]
-                span = frame - f
-                if len(points) > 1:
-                    g, px, py = points[-2]
-                    x, y = x + (x - px) * span / (f - g), y + (y - py) * span / (f - g)
-                for j, (_, cx, cy) in enumerate(here):
-                    d = math.dist((x, y), (cx, cy))
-                    if d <= gate * span:
-                        near[i, j] = d
-            links = {}
-            for (i, j), d in near.items():
-                if safe(d, [v for (a, b), v in near.items() if a == i and b != j]) and safe(d, [v for (a, b), v in near.items() if b == j and a != i]):
-                    links[j] = i
-            gated, kept = {i for i, _ in near}, set(links.values())
-            following = [t for i, t in enumerate(active) if i not in gated or i in kept]
-            for j, (cand, cx, cy) in enumerate(here):
-                if j in links:
-                    track = active[links[j]]
-                    prev = track[2][-1]
-                    track[2] = [prev, [frame, cx, cy]]
-                else:
-                    track, prev = [frame, cand, [[frame, cx, cy]]], [None, None, None]
-                    following.append(track)
-                for c, v in zip(out, (frame, cand, track[0], track[1], *prev)):
-                    out[c].append(v)
-            active = following
+        # rows: start frame, start candidate, frame, x, y, then frame, x, y of the point before (NaN without)
+        tracks = np.array([[a, b, *p[-1], *(p[-2] if len(p) > 1 else [np.nan] * 3)] for a, b, p in json.loads(entry)], float).reshape(-1, 8)
+        frames, cands = pdf["frame"].to_numpy(np.int64), pdf["cand"].to_numpy(np.int64)
+        places = pdf[["cx", "cy"]].to_numpy(float)
+        begins = np.flatnonzero(np.diff(frames, prepend=-1) != 0) if len(frames) else np.zeros(0, int)
+        owner = np.empty((len(frames), 5))  # start frame and candidate of the tracklet, then the point before
+        for a, b in zip(begins, [*begins[1:], len(frames)]):
+            frame, here = int(frames[a]), places[a:b]
+            tracks = tracks[frame - tracks[:, 2] <= reach]
+            span = frame - tracks[:, 2]
+            at = tracks[:, 3:5]
+            moving = ~np.isnan(tracks[:, 5])
+            lag = np.where(moving, tracks[:, 2] - tracks[:, 5], 1.0)
+            at = np.where(moving[:, None], at + (at - tracks[:, 6:8]) * span[:, None] / lag[:, None], at)
+            gap = here[None] - at[:, None]
+            distance = np.hypot(gap[..., 0], gap[..., 1])
+            distance[distance > gate * span[:, None]] = np.inf
+            sure = np.isfinite(distance)
+            gated = sure.any(axis=1)
+            for axis in (0, 1):
+                least, second = (np.expand_dims(v, axis) for v in _two_least(distance, axis))
+                sure &= (distance == least) & (least < second) & (least <= ratio * second)
+            track, cand = np.nonzero(sure)
+            fresh = np.column_stack([np.full(b - a, frame), cands[a:b], np.full(b - a, frame), here, np.full((b - a, 3), np.nan)])
+            fresh[cand, :2], fresh[cand, 5:8] = tracks[track, :2], tracks[track, 2:5]
+            owner[a:b] = fresh[:, [0, 1, 5, 6, 7]]
+            tracks = np.concatenate([tracks[~gated], fresh])
         # a tracklet out of reach of the next frame can never continue: forget it
-        if len(pdf):
-            last = int(pdf["frame"].max())
-            active = [t for t in active if last + 1 - t[2][-1][0] <= reach]
-        return out, json.dumps(active)
+        if len(frames):
+            tracks = tracks[frames[-1] + 1 - tracks[:, 2] <= reach]
+        known = ~np.isnan(owner[:, 2])
+        out = {"frame": frames.tolist(), "cand": cands.tolist(), "track_frame": owner[:, 0].astype(np.int64).tolist(), "track_cand": owner[:, 1].astype(np.int64).tolist(),
+               "prev_frame": [int(v) if k else None for v, k in zip(owner[:, 2], known)],
+               **{c: [float(v) if k else None for v, k in zip(owner[:, i], known)] for c, i in (("prev_x", 3), ("prev_y", 4))}}
+        # the order of tracklets does not matter to later frames; a fixed one makes equal states equal texts
+        tracks = tracks[np.lexsort((tracks[:, 1], tracks[:, 0]))]
+        point = lambda r, i: [int(r[i]), float(r[i + 1]), float(r[i + 2])]
+        return out, json.dumps([[int(r[0]), int(r[1]), [*([point(r, 5)] if not np.isnan(r[5]) else []), point(r, 2)]] for r in tracks])
     return machine
 
 
