@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -326,25 +327,35 @@ HIT, SOFT_START, NO_RECOVERY = 1, 2, 4
 
 
 def binary_machine(grace: int, min_length: int):
-    """[rally start or null, consecutive misses]."""
+    """State: [rally start or null, misses since the last hit or check].
+
+    Every ``grace`` misses in a row a rally is checked, and ends where nothing is ahead. The number of a miss in its row of misses
+    is its distance to the last hit, so starts and checks are found by search.
+    """
     def machine(pdf: pd.DataFrame, entry: str) -> tuple[dict, str]:
-        start, misses = json.loads(entry)
-        starts, stops = [], []
-        for i, b in zip(pdf["frame"].tolist(), pdf["bits"].tolist()):
-            if b & HIT:
-                if start is not None:
-                    misses = 0
-                elif b & SOFT_START:
-                    start = i
-            elif start is not None:
-                misses += 1
-                if misses >= grace:
-                    misses = 0
-                    if b & NO_RECOVERY:
-                        if i - start >= min_length:
-                            starts.append(start), stops.append(i)
-                        start = None
-        return {"start_frame": starts, "end_frame": stops}, json.dumps([start, misses])
+        start, carried = json.loads(entry)
+        frame, bits = pdf["frame"].to_numpy(), pdf["bits"].to_numpy()
+        n, row = len(frame), np.arange(len(frame))
+        hit = (bits & HIT) > 0
+        last_hit = np.maximum.accumulate(np.where(hit, row, -1)) if n else row
+        misses = np.where(last_hit >= 0, row - last_hit, row + 1 + carried)
+        opening = np.flatnonzero(hit & ((bits & SOFT_START) > 0))
+        ending = np.flatnonzero(~hit & (misses % grace == 0) & ((bits & NO_RECOVERY) > 0))
+        after = lambda rows, k: int(rows[p]) if (p := np.searchsorted(rows, k)) < len(rows) else n
+        starts, stops, k = [], [], 0
+        while True:
+            if start is None:
+                if (k := after(opening, k)) == n:
+                    break
+                start = int(frame[k])
+            if (k := after(ending, k)) == n:
+                break
+            if frame[k] - start >= min_length:
+                starts.append(start)
+                stops.append(int(frame[k]))
+            start, k = None, k + 1
+        left = 0 if start is None else int(misses[-1] % grace) if n else carried
+        return {"start_frame": starts, "end_frame": stops}, json.dumps([start, left])
     return machine
 
 
