@@ -134,7 +134,8 @@ def test_region_search_equals_enumeration():
     for s, _, p in sorted(paths):
         if all(len(set(p) ^ set(q)) / max(len(p), len(q)) >= 0.25 for _, q in kept):
             kept.append((-s, p))
-    found = candidates.search_region(nodes, edges, AssociationSettings())
+    found, cut = candidates.search_region(nodes, edges, AssociationSettings())
+    assert not cut
     assert [(round(f["score"], 9), f["path"]) for f in found] == [(round(s, 9), p) for s, p in kept[:5]]
 
 
@@ -145,7 +146,7 @@ def test_large_regions_rank_their_singletons(spark):
     regions = t.select("source_id", "tracklet_id", F.lit("r0000").alias("region_id"))
     out = candidates.decode_hypotheses(t, edges, regions, AssociationSettings(path_budget=50)).orderBy("rank").collect()
     best = sorted(rows, key=lambda r: (-r[5], r[1]))[:5]
-    assert [r.tracklet_ids for r in out] == [[b[1]] for b in best]
+    assert [r.tracklet_ids for r in out] == [[b[1]] for b in best] and all(r.search_cut for r in out)
 
 
 def test_fit_recovers_the_matrix_and_ignores_outliers(spark):

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import json
 import math
+from heapq import nsmallest
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -307,48 +309,68 @@ def association_regions(tracklets: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(ids, ["source_id", "component"]).select("source_id", "tracklet_id", "region_id")
 
 
-def search_region(nodes: list[tuple], edges: dict[str, list[tuple]], settings: AssociationSettings) -> list[dict]:
-    """Best diverse paths of one region.
+class Path(NamedTuple):
+    """A chain of tracklets with running sums, so that growing it costs one addition per figure."""
 
-    ``nodes``: (tracklet_id, confidence) in region order; ``edges``: id -> [(head id, motion, gap penalty,
-    edge score)] in link order. Singletons first, then a beam from each start node on a shared budget.
+    nodes: tuple
+    confidence: float
+    motion: float = 0.0
+    gap_penalty: float = 0.0
+    edge_score: float = 0.0
+
+    def grown(self, link: tuple, confidence: dict) -> Path:
+        head, motion, gap, edge = link
+        return Path((*self.nodes, head), self.confidence + confidence[head], self.motion + motion, self.gap_penalty + gap, self.edge_score + edge)
+
+    @property
+    def score(self) -> float:
+        own = self.confidence / len(self.nodes)
+        return (own + self.edge_score / (len(self.nodes) - 1)) / 2 if len(self.nodes) > 1 else own
+
+    def rank(self) -> tuple:
+        return -self.score, -len(self.nodes), self.nodes
+
+    def differs(self, other: Path, least: float) -> bool:
+        mine, theirs = set(self.nodes), set(other.nodes)
+        return len(mine ^ theirs) / max(len(mine), len(theirs)) >= least
+
+    def row(self) -> dict:
+        links = max(1, len(self.nodes) - 1)
+        return {"path": self.nodes, "score": self.score, "confidence": self.confidence / len(self.nodes),
+                **{c: getattr(self, c) / links for c in ("motion", "gap_penalty", "edge_score")}}
+
+
+def search_region(nodes: list[tuple], edges: dict[str, list[tuple]], settings: AssociationSettings) -> tuple[list[dict], bool]:
+    """(best diverse paths of one region, whether the path budget ran out before all starts were searched).
+
+    ``nodes``: (tracklet_id, confidence) in region order; ``edges``: id -> [(head id, motion, gap penalty, edge score)] in link
+    order. Every single tracklet is a path; each then seeds a beam, and all beams draw on one budget.
     """
-    confidence = dict(nodes)
-    k, limit = settings.hypotheses_per_region, max(32, settings.hypotheses_per_region * 8)
-    budget = settings.path_budget - len(nodes)
-    order = lambda p: (-p["score"], -len(p["path"]), p["path"])
-
-    def scored(path: tuple, links: tuple) -> dict:
-        mean = lambda i: sum(link[i] for link in links) / len(links) if links else 0.0
-        conf = sum(confidence[n] for n in path) / len(path)
-        edge = mean(3)
-        return {"path": path, "links": links, "confidence": conf, "motion": mean(1), "gap_penalty": mean(2), "edge_score": edge,
-                "score": (conf + edge) / 2 if links else conf}
-
-    found = [scored((n,), ()) for n, _ in nodes]
-    for n, _ in nodes:
-        level = [((n,), ())]
-        while level and budget > 0:
-            grown = [scored((*path, link[0]), (*links, link)) for path, links in level for link in edges.get(path[-1], ())]
-            grown = sorted(grown, key=order)[:min(limit, budget)]
-            found += grown
-            budget -= len(grown)
-            level = [(p["path"], p["links"]) for p in grown]
-    kept: list[dict] = []
-    for p in sorted(found, key=order):
-        mine = set(p["path"])
-        if all(len(mine ^ set(q["path"])) / max(len(mine), len(q["path"])) >= settings.minimum_difference for q in kept):
+    confidence, width = dict(nodes), max(32, settings.hypotheses_per_region * 8)
+    paths = [Path((n,), c) for n, c in nodes]
+    budget = settings.path_budget - len(paths)
+    cut = False
+    for seed in paths[:]:
+        beam = [seed]
+        while beam:
+            grown = [p.grown(link, confidence) for p in beam for link in edges.get(p.nodes[-1], ())]
+            beam = nsmallest(min(width, max(budget, 0)), grown, key=Path.rank)
+            cut |= len(grown) > len(beam)
+            budget -= len(beam)
+            paths += beam
+    kept: list[Path] = []
+    for p in sorted(paths, key=Path.rank):
+        if len(kept) < settings.hypotheses_per_region and all(p.differs(q, settings.minimum_difference) for q in kept):
             kept.append(p)
-            if len(kept) == k:
-                break
-    return kept
+    return [p.row() for p in kept], cut
 
 
-HYPOTHESIS_FIELDS = "rank long, tracklet_ids array<string>, total_score double, confidence double, motion double, gap_penalty double, edge_score double"
+HYPOTHESIS_FIELDS = ("rank long, tracklet_ids array<string>, total_score double, confidence double, motion double, gap_penalty double, edge_score double, "
+                     "search_cut boolean")
 
 
 def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame, settings: AssociationSettings = AssociationSettings()) -> DataFrame:
-    """Up to five diverse paths per region.
+    """Up to five diverse paths per region. ``search_cut`` tells that beam or budget left paths of the region out.
 
     A region with at least ``path_budget`` tracklets leaves no budget for paths, so its answer is its best
     singletons and comes from a ranking; only regions below the budget reach the search.
@@ -369,7 +391,7 @@ def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame
     top = large.withColumn("r", F.row_number().over(slices)).filter(F.col("r") <= k).withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= k)
     zero = F.lit(0.0)
     ranked = top.select("source_id", "region_id", "rank", F.array("tracklet_id").alias("tracklet_ids"), F.col("confidence").alias("total_score"),
-                        "confidence", zero.alias("motion"), zero.alias("gap_penalty"), zero.alias("edge_score"))
+                        "confidence", zero.alias("motion"), zero.alias("gap_penalty"), zero.alias("edge_score"), F.lit(True).alias("search_cut"))
 
     out = edges.join(tracklets.select("source_id", F.col("tracklet_id").alias("head_id"), F.col("first_frame").alias("head_first")), ["source_id", "head_id"])
     out = out.groupBy("source_id", F.col("tail_id").alias("tracklet_id")).agg(
@@ -380,9 +402,9 @@ def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame
         pdf = pdf.sort_values(["first_frame", "tracklet_id"])
         links = {t: [(e["head_id"], e["motion"], e["gap_penalty"], e["edge_score"]) for e in ls]
                  for t, ls in zip(pdf["tracklet_id"], pdf["links"]) if ls is not None}
-        paths = search_region(list(zip(pdf["tracklet_id"], pdf["confidence"])), links, settings)
+        paths, cut = search_region(list(zip(pdf["tracklet_id"], pdf["confidence"])), links, settings)
         return pd.DataFrame([{"source_id": key[0], "region_id": key[1], "rank": i, "tracklet_ids": list(p["path"]), "total_score": p["score"],
-                              **{c: p[c] for c in ("confidence", "motion", "gap_penalty", "edge_score")}} for i, p in enumerate(paths, 1)])
+                              **{c: p[c] for c in ("confidence", "motion", "gap_penalty", "edge_score")}, "search_cut": cut} for i, p in enumerate(paths, 1)])
 
     schema = f"source_id {dict(tracklets.dtypes)['source_id']}, region_id string, {HYPOTHESIS_FIELDS}"
     return small.groupBy("source_id", "region_id").applyInPandas(search, schema).unionByName(ranked)

@@ -55,7 +55,7 @@ def _(spark, sf):
     # a closing event far ahead moves the watermark past every real window
     end = last.select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("source_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(0.0).alias("activity"))
     path = scratch_path(spark, "activity-in")
-    rows.unionByName(rows.filter("event_id % 5 = 0")).coalesce(1).write.parquet(path)
+    rows.unionByName(rows.filter("event_id % 5 = 0")).write.parquet(path)
     end.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     found = drained(spark, labels.stream_activity(stream, "6 hours", "3 hours", "2 days"), "activity")
