@@ -307,6 +307,20 @@ def test_templates_catch_other_numbers_and_names(spark, words_of_many):
     assert templates.contaminated(docs.limit(0), benchmark).count() == 0 and templates.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_one_slot_conflict_costs_only_its_windows(spark, words_of_many):
+    meets = "the first ticket costs 3 dollars at the small gate and the other ticket costs 5 dollars at the large gate so how much do both of them cost together in all"
+    twice = "a baker packs 20 loaves into the wooden box every morning before work and then sells 20 of the cakes to people who walk along the narrow street"
+    most = "we saw 8 cats near the old mill then 8 dogs near the new mill then 8 hens near the far mill while it was raining"
+    rows = [(1, "so " + meets.replace("3", "4").replace("5", "4")), (2, "so " + twice.replace("20 of", "15 of")), (3, "so " + most.replace("8 hens", "9 hens")),
+            (4, words_of_many(60))]
+    benchmark = spark.createDataFrame([(0, meets), (1, twice), (2, most)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in templates.contaminated(table(spark, rows), benchmark).collect()}
+    assert set(found) == {(1, 0), (2, 1), (3, 2)}
+    assert found[1, 0].n_matched == found[1, 0].n_windows and found[1, 0].n_changed == 2
+    assert found[2, 1].n_windows - found[2, 1].n_matched == 9 and (found[2, 1].n_slots, found[2, 1].n_changed) == (1, 1)
+    assert found[3, 2].n_windows - found[3, 2].n_matched == 5
+
+
 # ---- 7 and 8 classifiers
 
 def fold(i):

@@ -3,9 +3,11 @@
 A text becomes a template: numbers, units after numbers, and names (capitals inside a sentence) are replaced by typed
 placeholders, other words are lower-cased and freed of marks; all by patterns over the whole text. Windows of five template tokens of every document are
 hash-joined with those of the benchmark items; only item windows with at least three literal tokens take part. For each
-document, item and alignment the values in the slots are compared: one item value must always stand for one document value
-and the reverse, so a question with other names and numbers is caught while a chance meeting of templates is not. A document
-is contaminated by an item if consistent windows cover at least half of the item's.
+document, item and alignment the values in the slots are compared: an item value stands for the document value that more than
+half of its places have, and only windows with a slot of another value are left out (all with a slot of that item value, if no
+document value has more than half). Different item values may stand for the same document value. So a question with other names
+and numbers is caught while a chance meeting of templates is not. A document is contaminated by an item if the other windows
+cover at least half of the item's.
 
 Items of fewer than five tokens form one window of their own length; items without a window of three literal tokens
 (their own length, if shorter) cannot be told from chance and are not looked for.
@@ -112,21 +114,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = MIN_CO
     pairs = materialize(pairs.withColumn("shift", F.col("doc_at") - F.col("item_at")).select(
         "doc_id", "text_hash", "item_id", "item_at", "n_windows", "shift", "item_template", "item_tokens", "doc_tokens"), "aligned")
     place = ["doc_id", "text_hash", "item_id", "shift"]
-    slots = (pairs.select(*place, F.explode(F.arrays_zip("item_template", "item_tokens", "doc_tokens")).alias("s"))
+    slots = (pairs.select(*place, "item_at", F.posexplode(F.arrays_zip("item_template", "item_tokens", "doc_tokens")).alias("k", "s"))
              .filter(F.col("s.item_template").isin(*PLACEHOLDERS))
-             .select(*place, F.col("s.item_template").alias("kind"), F.lower("s.item_tokens").alias("theirs"), F.lower("s.doc_tokens").alias("ours"))
-             .distinct())
-    # consistent: as many different pairs as different values on either side
-    judged = slots.groupBy(*place).agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("kind", "theirs").alias("n_theirs"),
-                                       F.countDistinct("kind", "ours").alias("n_ours"), F.count(F.when(F.col("theirs") != F.col("ours"), 1)).alias("n_off"))
-    judged = judged.select(*[F.col(c).alias(f"j_{c}") for c in place], "n_pairs", "n_off",
-                           ((F.col("n_pairs") == F.col("n_theirs")) & (F.col("n_pairs") == F.col("n_ours"))).alias("consistent"))
-    same = [F.col(c).eqNullSafe(F.col(f"j_{c}")) for c in place]
-    windows = (pairs.select(*place, "item_at", "n_windows").join(judged, same[0] & same[1] & same[2] & same[3], "left")
-               .filter(F.coalesce("consistent", F.lit(True))))
+             .select(*place, "item_at", (F.col("item_at") + F.col("k")).alias("slot"), F.col("s.item_template").alias("kind"),
+                     F.lower("s.item_tokens").alias("theirs"), F.lower("s.doc_tokens").alias("ours")))
+    # one place of an item lies in several windows and counts once
+    held = slots.groupBy(*place, "kind", "theirs", "ours").agg(F.countDistinct("slot").alias("n"))
+    values = held.groupBy(*place, "kind", "theirs").agg(
+        F.max(F.struct("n", "ours")).alias("most"), F.sum("n").alias("n"), F.max(F.col("theirs") != F.col("ours")).alias("off"))
+    values = materialize(values.select(*[F.col(c).alias(f"j_{c}") for c in [*place, "kind", "theirs"]],
+                                       F.when(F.col("most.n") * 2 > F.col("n"), F.col("most.ours")).alias("stands_for"), "off"), "values")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"j_{c}")) for c in place])
+    off = slots.join(values, same & (F.col("kind") == F.col("j_kind")) & (F.col("theirs") == F.col("j_theirs"))).filter(
+        "stands_for IS NULL OR stands_for <> ours").select(*[F.col(c).alias(f"j_{c}") for c in [*place, "item_at"]]).distinct()
+    judged = values.groupBy(*[f"j_{c}" for c in place]).agg(F.count(F.lit(1)).alias("n_met"), F.count(F.when(F.col("off"), 1)).alias("n_off"))
+    windows = pairs.select(*place, "item_at", "n_windows").join(off, same & (F.col("item_at") == F.col("j_item_at")), "left_anti").join(judged, same, "left")
     found = windows.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_matched"),
-        F.coalesce(F.max("n_pairs"), F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.max("n_off"), F.lit(0)).cast("long").alias("n_changed"))
+        F.coalesce(F.max("n_met"), F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.max("n_off"), F.lit(0)).cast("long").alias("n_changed"))
     return materialize(found.filter(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")), "contaminated")
 
 
