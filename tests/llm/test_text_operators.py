@@ -321,6 +321,21 @@ def test_one_slot_conflict_costs_only_its_windows(spark, words_of_many):
     assert found[3, 2].n_windows - found[3, 2].n_matched == 5
 
 
+def test_templates_type_signs_sentence_starts_and_dense_items(spark, words_of_many):
+    money = "the old shop sold a lamp for $12 and a chair for $30 while the new one sold a bed for €85 and a desk for +40 so who earned more"
+    starts = "Tom has 12 red apples in a bag. Sam eats 3 of them at noon. Ann buys 5 more for him. Bob takes all of them."
+    dense = "12 Anna 30 Peter 7 Paul 5 Maria 19 John 8 Eve"
+    rows = [(1, "so " + money.replace("$12", "$17").replace("$30", "$44").replace("€85", "€9").replace("+40", "-3")),
+            (2, "Now. " + starts.replace("Tom", "Max").replace("Sam", "Kim").replace("Ann", "Eva").replace("Bob", "Leo")),
+            (3, words_of_many(20) + " " + dense + " " + words_of_many(20)), (4, "so 13 Eva 31 Max 8 Leo 6 Kim 20 Tom 9 Ann"), (5, words_of_many(60)),
+            (6, "The cat has 4 red balls in a box. She eats. He runs. It sleeps on and on and on.")]
+    benchmark = spark.createDataFrame([(0, money), (1, starts), (2, dense)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in templates.contaminated(table(spark, rows), benchmark).collect()}
+    assert set(found) == {(1, 0), (2, 1), (3, 2)}
+    assert found[1, 0].n_matched == found[1, 0].n_windows and found[1, 0].n_changed == 4
+    assert found[2, 1].n_changed >= 4 and found[3, 2].n_matched == found[3, 2].n_windows
+
+
 # ---- 7 and 8 classifiers
 
 def fold(i):

@@ -1,16 +1,20 @@
 """Benchmark decontamination by template canonicalisation, native throughout.
 
-A text becomes a template: numbers, units after numbers, and names (capitals inside a sentence) are replaced by typed
-placeholders, other words are lower-cased and freed of marks; all by patterns over the whole text. Windows of five template tokens of every document are
-hash-joined with those of the benchmark items; only item windows with at least three literal tokens take part. For each
+A text becomes a template: numbers (with their sign or currency), units after numbers, and names (capitals inside a sentence)
+are replaced by typed placeholders, other words are lower-cased and freed of marks; all by patterns over the whole text. A second,
+wide template also takes capitals that begin a sentence as names; it adds the pairs that the first template misses. Windows of
+five template tokens of every document are hash-joined with those of the benchmark items; only item windows with at least three
+literal tokens take part. For each
 document, item and alignment the values in the slots are compared: an item value stands for the document value that more than
 half of its places have, and only windows with a slot of another value are left out (all with a slot of that item value, if no
 document value has more than half). Different item values may stand for the same document value. So a question with other names
 and numbers is caught while a chance meeting of templates is not. A document is contaminated by an item if the other windows
 cover at least half of the item's.
 
-Items of fewer than five tokens form one window of their own length; items without a window of three literal tokens
-(their own length, if shorter) cannot be told from chance and are not looked for.
+Items of fewer than five tokens form one window of their own length. Items without a window of three literal tokens
+(their own length, if shorter) cannot be told from chance once their values change; they are looked for word for word, by
+windows of their tokens in lower case. Where the names at an item's sentence starts have changed, windows that lose their three
+literals by it cannot meet: the item is also held if values have changed and half of the windows that keep them, ``MIN_WIDE`` at least, meet.
 
 Defined results: null and empty texts hold nothing; repeated rows are judged once and reported once; rows with equal or null
 ``doc_id`` but different texts are judged separately; empty tables give an empty result. Only ``doc_id``, ``item_id`` and
@@ -29,6 +33,7 @@ from trackloom.llm.common import documents, lookup, materialize, oracle, pack, q
 WINDOW = 5
 MIN_LITERALS = 3
 MIN_COVERAGE = 0.5
+MIN_WIDE = 3
 # fixed values: marks that are no part of a token, ends of a sentence, units of measure
 MARKS = ".,;:!?\"'()[]{}«»“”„¿¡"
 SENTENCE_END = ".?!:"
@@ -38,20 +43,34 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mile", "miles", "meter", "met
          "mph", "km/h", "kmh", "hz", "khz", "mhz", "w", "kw", "v", "gb", "mb", "kb", "tb")
 BLANKS = r"[\x20\x09-\x0D]+"
 MARK = r"[.,;:!?\"'()\[\]{}«»“”„¿¡]"
+NUMBER = MARK[:-1] + r"\p{Sc}+\-\u2212\u2013\u00B1~#]*[0-9][^ ]*"  # marks, signs and currencies, then a digit
 PLACEHOLDERS = ("<num>", "<unit>", "<name>")
+# how a window reads its text: templates, wide templates, the words themselves
+PLAIN, WIDE, LITERAL = 0, 1, 2
+
+
+def _template(spaced: Column, name_start: str) -> Column:
+    named = F.regexp_replace(spaced, name_start + MARK + r"*\p{Lu}[^ ]*", "<name>")
+    counted = F.lower(F.regexp_replace(named, "(?<![^ ])" + NUMBER, "<num>"))
+    measured = F.regexp_replace(counted, "(?<=<num> )(?:" + "|".join(UNITS) + ")(?=" + MARK + "*(?: |$))", "<unit>")
+    return F.split(F.translate(measured, MARKS, ""), " ")
 
 
 def template_columns(df: DataFrame, text: str = "text", with_tokens: bool = True) -> DataFrame:
-    """Adds ``template`` and, if asked, ``tokens`` (the words without marks, case kept); both have one entry per word.
+    """Adds ``template``, ``wide`` and, if asked, ``tokens`` (the words without marks, case kept) and ``literal`` (these in lower
+    case, told from templates by a mark); all have one entry per word.
 
     Whole texts are rewritten by a few patterns rather than word by word; every pattern maps one word to one word.
     """
     spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, " "))
-    named = F.regexp_replace(spaced, r"(?<=[^.?!: ] )" + MARK + r"*\p{Lu}[^ ]*", "<name>")
-    counted = F.lower(F.regexp_replace(named, r"(?<![^ ])" + MARK + "*[0-9][^ ]*", "<num>"))
-    measured = F.regexp_replace(counted, "(?<=<num> )(?:" + "|".join(UNITS) + ")(?=" + MARK + "*(?: |$))", "<unit>")
-    out = df.withColumn("template", F.split(F.translate(measured, MARKS, ""), " "))
-    return out.withColumn("tokens", F.transform(F.split(spaced, " "), lambda x: F.btrim(x, F.lit(MARKS)))) if with_tokens else out
+    out = df.withColumns({"template": _template(spaced, r"(?<=[^.?!: ] )"), "wide": _template(spaced, "(?<![^ ])")})
+    if not with_tokens:
+        return out
+    return with_literal(out.withColumn("tokens", F.transform(F.split(spaced, " "), lambda x: F.btrim(x, F.lit(MARKS)))))
+
+
+def with_literal(df: DataFrame) -> DataFrame:
+    return df.withColumn("literal", F.transform("tokens", lambda x: F.concat(F.lit("="), F.lower(x))))
 
 
 def window_hashes(names: Column, n: int) -> Column:
@@ -60,29 +79,52 @@ def window_hashes(names: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(names, i + k) for k in range(n)]))
 
 
-def windows_of(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, at, n, hash): the windows of ``n`` tokens of every row's ``template``."""
-    named = df.select(*keys, F.transform("template", lambda x: F.xxhash64(x)).alias("names"))
-    return named.select(*keys, F.posexplode(window_hashes(F.col("names"), n)).alias("at", "hash")).withColumn("n", F.lit(n))
+def windows_of(df: DataFrame, keys: list[str], n: int, literal: bool = False) -> DataFrame:
+    """(keys, at, reading, n, hash): the windows of ``n`` tokens of every row's ``template``, those that differ in ``wide``, and
+    if asked those of ``literal``."""
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    named = df.select(*keys, hashed("template").alias("names"), hashed("wide").alias("wider"), *([hashed("literal").alias("words")] if literal else []))
+    cut = named.select(*keys, window_hashes(F.col("names"), n).alias("plain_hashes"), window_hashes(F.col("wider"), n).alias("wide_hashes"),
+                       *([window_hashes(F.col("words"), n).alias("literal_hashes")] if literal else []))
+    other = F.zip_with("wide_hashes", "plain_hashes", lambda w, p: F.when(w != p, w))
+    readings = F.array(F.struct(F.lit(PLAIN).alias("reading"), F.col("plain_hashes").alias("hashes")), F.struct(F.lit(WIDE).alias("reading"), other.alias("hashes")),
+                       *([F.struct(F.lit(LITERAL).alias("reading"), F.col("literal_hashes").alias("hashes"))] if literal else []))
+    read = cut.select(*keys, F.explode(readings).alias("r"))
+    return (read.select(*keys, "r.reading", F.posexplode("r.hashes").alias("at", "hash")).filter("hash IS NOT NULL")
+            .select(*keys, "at", "reading", F.lit(n).alias("n"), "hash"))
 
 
 def _literals(window: Column) -> Column:
     return F.size(F.filter(window, lambda x: ~x.isin(*PLACEHOLDERS) & (x != "")))
 
 
+def _read(at: str, n: Column, reading: str) -> Column:
+    """The window at ``at`` as ``reading`` has it."""
+    cut = lambda c: F.slice(c, F.col(at) + 1, n)
+    return F.when(F.col(reading) == PLAIN, cut("template")).when(F.col(reading) == WIDE, cut("wide")).otherwise(cut("literal"))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, item_at, n, hash, item_template, item_tokens, n_windows), stored: one row per informative window of an item."""
+    """(item_id, item_at, reading, n, hash, item_template, item_tokens, keeps, n_windows, n_wide), stored: the informative windows of
+    every item as each reading has them. ``keeps`` tells if a window is informative as a wide template."""
     items = template_columns(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").distinct()).withColumn(
         "size", F.least(F.lit(window), F.size("tokens"))).filter("size > 0")
     out = None
     for n in range(1, window + 1):
-        cut = (windows_of(items.filter(F.col("size") == n), ["item_id", "tokens", "template"], n)
-               .select("item_id", F.col("at").alias("item_at"), "n", "hash", F.slice("template", F.col("at") + 1, n).alias("item_template"),
-                       F.slice("tokens", F.col("at") + 1, n).alias("item_tokens"))
-               .filter(_literals(F.col("item_template")) >= min(n, least)))
+        cut = (windows_of(items.filter(F.col("size") == n), ["item_id", "tokens", "template", "wide", "literal"], n, literal=True)
+               .withColumnRenamed("at", "item_at").withColumn("item_template", _read("item_at", F.lit(n), "reading"))
+               .withColumn("keeps", _literals(F.slice("wide", F.col("item_at") + 1, n)) >= min(n, least))
+               .withColumn("item_tokens", F.slice("tokens", F.col("item_at") + 1, n))
+               .filter(F.when(F.col("reading") == LITERAL, F.exists("item_tokens", lambda x: x != "")).otherwise(_literals(F.col("item_template")) >= min(n, least)))
+               .select("item_id", "item_at", "reading", "n", "hash", "item_template", "item_tokens", "keeps"))
         out = cut if out is None else out.unionByName(cut)
     stored = materialize(out, "items")
-    return lookup(stored, stored.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows")), "item_id", "inner")
+    informative = stored.filter(F.col("reading") != LITERAL)
+    counts = informative.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(F.when(F.col("keeps"), F.col("item_at"))).alias("n_wide"))
+    # only items without an informative window are read word for word
+    dense = stored.join(counts.select("item_id"), "item_id", "left_anti")
+    few = dense.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.lit(0).cast("long").alias("n_wide"))
+    return materialize(lookup(informative, counts, "item_id", "inner").unionByName(lookup(dense, few, "item_id", "inner")), "item-windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -91,28 +133,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = MIN_CO
     ``n_slots`` counts the item's slot values met, ``n_changed`` those that stand for another value in the document.
     """
     items = item_windows(benchmark)
-    sizes = sorted(r["n"] for r in items.select("n").distinct().collect()) or [WINDOW]  # at most WINDOW values
+    sizes = {(r["n"], r["literal"]) for r in items.select("n", (F.col("reading") == LITERAL).alias("literal")).distinct().collect()}  # at most 2 x WINDOW values
+    sizes = {n: any((n, True) == x for x in sizes) for n in sorted({n for n, _ in sizes})} or {WINDOW: False}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    plain = template_columns(rows, with_tokens=False)
-    windows = reduce(DataFrame.unionByName, [windows_of(plain, ["doc_id", "text_hash"], n) for n in sizes]).select(
-        "doc_id", "text_hash", F.col("at").alias("doc_at"), F.col("n").alias("doc_n"), "hash")
+    plain = template_columns(rows, with_tokens=any(sizes.values()))
+    windows = reduce(DataFrame.unionByName, [windows_of(plain, ["doc_id", "text_hash"], n, literal) for n, literal in sizes.items()]).select(
+        "doc_id", "text_hash", F.col("at").alias("doc_at"), F.col("n").alias("doc_n"), F.col("reading").alias("doc_reading"), "hash")
     # the rows of an item window carry what the comparison needs; one hash may stand for windows of several items
-    met = materialize(lookup(windows, items.select("hash", "item_id", "item_at", "n", "n_windows"), "hash", "inner")
+    met = materialize(lookup(windows, items.select("hash", "item_id", "item_at", "n", "n_windows", "n_wide", "keeps", "reading"), "hash", "inner")
                       .filter("doc_n = n").drop("hash", "doc_n").distinct(), "met")
     # slots: cut the windows out of the few documents that met any
     keys = met.select("doc_id", "text_hash").distinct()
     on = rows["text_hash"].eqNullSafe(F.col("k_hash")) & rows["doc_id"].eqNullSafe(F.col("k_id"))
     held = lookup(rows, materialize(keys, "keys").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")), on, "inner").select(
         "doc_id", "text_hash", "text").distinct()
-    cut = template_columns(held).select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "tokens", "template")
+    cut = template_columns(held).select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "tokens", "template", "wide", "literal")
     pairs = (met.join(cut, met["doc_id"].eqNullSafe(cut["t_id"]) & (met["text_hash"] == cut["t_hash"]))
-             .select("doc_id", "text_hash", "item_id", "item_at", "n", "n_windows", "doc_at",
-                     F.slice("template", F.col("doc_at") + 1, F.col("n")).alias("doc_template"),
+             .select("doc_id", "text_hash", "item_id", "item_at", "n", "n_windows", "n_wide", "keeps", "doc_at", "reading", "doc_reading",
+                     _read("doc_at", F.col("n"), "doc_reading").alias("doc_template"),
                      F.slice("tokens", F.col("doc_at") + 1, F.col("n")).alias("doc_tokens")))
-    full = items.select("item_id", "item_at", "item_template", "item_tokens")
-    pairs = lookup(pairs, full, ["item_id", "item_at"], "inner").filter("doc_template = item_template")
-    pairs = materialize(pairs.withColumn("shift", F.col("doc_at") - F.col("item_at")).select(
-        "doc_id", "text_hash", "item_id", "item_at", "n_windows", "shift", "item_template", "item_tokens", "doc_tokens"), "aligned")
+    full = items.select("item_id", "item_at", "reading", "item_template", "item_tokens")
+    pairs = lookup(pairs, full, ["item_id", "item_at", "reading"], "inner").filter("doc_template = item_template")
+    # a window that meets in several readings counts as the plainest has it
+    at = ["doc_id", "text_hash", "item_id", "item_at", "n_windows", "n_wide", "keeps"]
+    pairs = pairs.withColumn("shift", F.col("doc_at") - F.col("item_at")).groupBy(*at, "shift").agg(
+        F.min(F.struct(F.when((F.col("reading") == WIDE) | (F.col("doc_reading") == WIDE), 1).otherwise(0).alias("wide"), "item_template", "item_tokens", "doc_tokens")).alias("m"))
+    pairs = materialize(pairs.select(*at, "shift", "m.*"), "aligned")
+    # pairs that the first template tells have its figures; the wide one adds those it misses
+    first = _judged(pairs.filter("wide = 0"), coverage)
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")) & (F.col("item_id") == F.col("f_item"))
+    known = first.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), F.col("item_id").alias("f_item"))
+    more = pairs.join(pairs.filter("wide = 1").select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("item_id").alias("w_item")).distinct(),
+                      F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")) & (F.col("item_id") == F.col("w_item")), "left_semi")
+    return materialize(first.unionByName(_judged(more.join(known, same, "left_anti"), coverage, wide=True)), "contaminated")
+
+
+def _judged(pairs: DataFrame, coverage: float, wide: bool = False) -> DataFrame:
+    """The documents and items whose aligned windows agree in their slots and cover enough, stored."""
     place = ["doc_id", "text_hash", "item_id", "shift"]
     slots = (pairs.select(*place, "item_at", F.posexplode(F.arrays_zip("item_template", "item_tokens", "doc_tokens")).alias("k", "s"))
              .filter(F.col("s.item_template").isin(*PLACEHOLDERS))
@@ -128,11 +185,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = MIN_CO
     off = slots.join(values, same & (F.col("kind") == F.col("j_kind")) & (F.col("theirs") == F.col("j_theirs"))).filter(
         "stands_for IS NULL OR stands_for <> ours").select(*[F.col(c).alias(f"j_{c}") for c in [*place, "item_at"]]).distinct()
     judged = values.groupBy(*[f"j_{c}" for c in place]).agg(F.count(F.lit(1)).alias("n_met"), F.count(F.when(F.col("off"), 1)).alias("n_off"))
-    windows = pairs.select(*place, "item_at", "n_windows").join(off, same & (F.col("item_at") == F.col("j_item_at")), "left_anti").join(judged, same, "left")
+    windows = pairs.select(*place, "item_at", "n_windows", "n_wide", "keeps").join(off, same & (F.col("item_at") == F.col("j_item_at")), "left_anti").join(judged, same, "left")
     found = windows.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.countDistinct("item_at").alias("n_matched"),
+        F.max("n_wide").alias("n_wide"), F.countDistinct(F.when(F.col("keeps"), F.col("item_at"))).alias("n_kept"),
         F.coalesce(F.max("n_met"), F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.max("n_off"), F.lit(0)).cast("long").alias("n_changed"))
-    return materialize(found.filter(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")), "contaminated")
+    enough = F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")
+    if wide:
+        enough |= (F.col("n_changed") > 0) & (F.col("n_kept") >= F.lit(coverage) * F.col("n_wide")) & (F.col("n_kept") >= MIN_WIDE)
+    return materialize(found.filter(enough).drop("n_wide", "n_kept"), "judged")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
