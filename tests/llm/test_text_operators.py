@@ -424,6 +424,20 @@ def test_secrets(spark, texts):
     assert all(r.base_sha256 == hashlib.sha256(plain_base(hard[r.doc_id] or "").encode()).hexdigest() for r in rows)
 
 
+def test_allow_list_cuts_parts_and_every_class_has_a_bar():
+    def spans(text):
+        return [text[a:b] for a, k, b in entropy_scan.scan(text)[1] if k == "entropy"]
+    key = "9aQ7Zt3LwX8pVn2KdR5mYc6B"
+    for text in ["sk_live_yourshop_" + key, key + "_123e4567-e89b-12d3-a456-426614174000", "id-sample-" + key]:
+        assert any(key in x for x in spans(text)), text
+    assert spans("9aQ7Zt3LwXdummy8pVn2KdR5mYc6B") and spans("8392017465091827364550")
+    letters = "QzXkVbNmLpRtYwSdFgHjKcAeUiOoPqWz"
+    assert spans(letters) == [letters] and spans("qZ/" + letters[:12] + "+" + letters[12:]) and spans(letters[:22] + "12")
+    for text in ["internationalization", "AbstractSingletonProxyFactoryBean", "a-long-chain-of-words-joined", "/Users/John/Documents/MyProject/Notes",
+                 "Donaudampfschifffahrtsgesellschaft", "00000000000000000000000", "your_sample_placeholder_dummy_example"]:
+        assert not spans(text), text
+
+
 # ---- 10 mixing
 
 def test_mixing_targets_and_edges(spark, words_of_many):

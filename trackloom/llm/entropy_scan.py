@@ -3,8 +3,10 @@
 Entropy part: candidate strings are the runs of at least ``WINDOW`` key characters. Each is scanned by a window of
 ``WINDOW`` characters whose character counts are kept by adding one and removing one per step, so the entropy of a window
 costs two updates. The bar depends on the narrowest character class the run fits (digits, hex, letters, all key
-characters); the union of windows above the bar is a span. Spans that an allow-list knows (sample values, alphabets,
-UUIDs, words joined by dashes) and spans inside a base span are suppressed.
+characters); the union of windows above the bar is a span. Runs that may be words (no digit, or a short number after letters) have
+a high bar, and a lower one where the case changes often. Parts that an allow-list knows (sample words, alphabets, UUIDs) are
+cut out and the rest is scanned; a value that a sample word alone introduces (``example_...``) is a sample. Spans inside a base
+span are suppressed.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; the result of a row depends on
 its text alone, so repeated rows repeat their result, and other columns are passed through untouched.
@@ -16,6 +18,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,20 +36,24 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 # character class, least bits per character of a window of 20; a class with few symbols has a lower bar
-CLASSES = ((re.compile(r"[0-9]+"), None),                      # digits alone: numbers, never secrets here
+CLASSES = ((re.compile(r"[0-9]+"), 2.9),
            (re.compile(r"[0-9a-fA-F]+"), 3.0),
-           (re.compile(r"[A-Za-z]+"), None),                   # letters alone are words
            (re.compile(r"[A-Za-z0-9]+"), 3.6),
            (re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7))
 # known harmless strings, in lower case (fixed values)
 ALLOWED = re.compile(r"example|sample|placeholder|your[_-]?|xxxx|dummy|0123456789|abcdefgh|"
                      r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
-JOINED_WORDS = re.compile(r"[A-Za-z]*(?:[-_/=+][A-Za-z]*)+|[A-Za-z]+[0-9]{1,4}")
+SAMPLE = re.compile(r"(?:example|sample|placeholder|dummy)[_=-][a-z0-9]+")
+WORDS = re.compile(r"[A-Za-z+/_=-]+|[A-Za-z]+[0-9]{1,4}")
+# bars of what may be words: in windows with so many changes of case, and in others
+MIN_CHANGES, MIXED_BAR, WORDS_BAR = 6, 3.9, 4.1
+CHANGE = re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
 C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def entropy_runs(run: str, bar: float) -> Iterator[tuple[int, int]]:
-    """Maximal unions of windows of ``run`` whose entropy reaches ``bar``; counts change by one character in, one out."""
+def entropy_runs(run: str, bar: float, admitted: list[bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Maximal unions of windows of ``run`` (those at ``admitted`` starts, if given) whose entropy reaches ``bar``; counts change by
+    one character in, one out."""
     counts: dict[str, int] = {}
     total = 0.0  # sum of c log c over the window; entropy = log W - total / W
     most = WINDOW * (math.log2(WINDOW) - bar) + 1e-9
@@ -57,7 +64,7 @@ def entropy_runs(run: str, bar: float) -> Iterator[tuple[int, int]]:
         counts[ch] = c + 1
         if i >= WINDOW - 1:
             start = i - WINDOW + 1
-            if total <= most:
+            if total <= most and (admitted is None or admitted[start]):
                 if first is not None and start > last:
                     yield first, last
                     first = None
@@ -71,16 +78,45 @@ def entropy_runs(run: str, bar: float) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
+def unknown_parts(run: str) -> list[list[int]]:
+    """The positions of ``run`` outside allow-listed parts, cut where such a part borders on a joining mark or an end."""
+    low = run.lower()
+    if SAMPLE.fullmatch(low):
+        return []
+    parts: list[list[int]] = [[]]
+    at = 0
+    for m in ALLOWED.finditer(low):
+        parts[-1] += range(at, m.start())
+        at = m.end()
+        if not (low[m.start() - 1:m.start()].isalnum() and low[at:at + 1].isalnum()):
+            parts.append([])
+    parts[-1] += range(at, len(run))
+    return [p for p in parts if len(p) >= WINDOW]
+
+
+def word_runs(run: str) -> list[tuple[int, int]]:
+    """Spans of a run that may be words."""
+    changes = [0] * (len(run) + 1)
+    for m in CHANGE.finditer(run):
+        changes[m.start() + 1] = 1
+    changes = list(accumulate(changes))
+    mixed = [changes[i + WINDOW - 1] - changes[i] >= MIN_CHANGES for i in range(len(run) - WINDOW + 1)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*(entropy_runs(run, MIXED_BAR, mixed) if any(mixed) else ()), *entropy_runs(run, WORDS_BAR)]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        bar = next(bar for shape, bar in CLASSES if shape.fullmatch(run))
-        if bar is None or JOINED_WORDS.fullmatch(run) or ALLOWED.search(run.lower()):
-            continue
-        if not any(ch.isdigit() for ch in run):
-            continue
-        found += [(m.start() + a, m.start() + b) for a, b in entropy_runs(run, bar)]
+        for at in unknown_parts(m.group()):
+            part = "".join([m.group()[i] for i in at])
+            spans = word_runs(part) if WORDS.fullmatch(part) else entropy_runs(part, next(bar for shape, bar in CLASSES if shape.fullmatch(part)))
+            found += [(m.start() + at[a], m.start() + at[b - 1] + 1) for a, b in spans]
     return found
 
 
