@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import oracle
+import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -195,6 +196,21 @@ def test_near_duplicate_edges(spark, words_of_many):
     assert prob_minhash.near_duplicates(docs.limit(0)).count() == 0 and prob_minhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_other_texts_of_a_copied_doc_id_stay_in_the_search(spark, monkeypatch, words_of_many):
+    one, two, three = words_of_many(200), words_of_many(200), words_of_many(200)
+    rows = [(1, one), (5, one), (5, two), (9, two + " tail"), (12, two), (20, three), (5, words_of_many(200))]
+    found = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(table(spark, rows)).collect()}
+    assert found == {1: 1, 5: 1, 9: 1, 12: 1, 20: 20}
+    # every text of a doc_id is compared where a group is searched
+    known = prob_minhash.WordHashes()
+    texts = [(1, one), (2, three), (2, one + " tail")]
+    sigs = prob_minhash.signatures([prob_minhash.weighted(t, known) for _, t in texts])
+    for order in ([0, 1, 2], [0, 2, 1]):
+        group = pd.DataFrame([{"leader": 1, "doc_id": texts[i][0], "label": texts[i][0], "largest": 1, "probe": texts[i][0] == 2, "in_base": True,
+                               "sig": sigs[i].tobytes(), "leaders": [1], "text": texts[i][1]} for i in order])
+        assert prob_minhash._group_links(group, 0.8, known) == [(1, 2)]
+
+
 # ---- 4 and 5 repeats
 
 def brute_covered(rows, split, key, window):

@@ -192,7 +192,8 @@ def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> lis
     """Links between different components among the probes and the members of one part of a leader's group.
 
     A pair is looked at under the first leader it shares. The likeliest partners come first, and a partner that a link
-    found here has connected meanwhile is passed over, so at most one link per member comes out.
+    found here has connected meanwhile is passed over, so at most one link per member comes out. A doc_id with several texts has
+    a row for each, and all are looked at.
     """
     base, probes = rows[rows["in_base"]], rows[rows["probe"]]
     if base.empty or probes.empty:
@@ -201,8 +202,8 @@ def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> lis
     ids, labels, minor = base["doc_id"].to_numpy(), base["label"].to_numpy(), (base["label"] != base["largest"]).to_numpy()
     leader = int(rows["leader"].iloc[0])
     earlier = {i: frozenset(x for x in r if x < leader) for i, r in zip(rows["doc_id"], rows["leaders"])}
-    texts = dict(zip(rows["doc_id"], rows["text"]))
-    sets: dict[int, tuple] = {}
+    base_texts, probe_texts = base["text"].tolist(), probes["text"].tolist()
+    sets: dict[str, tuple] = {}
     joined: dict[int, int] = {}
 
     def root(label: int) -> int:
@@ -210,14 +211,14 @@ def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> lis
             label = up
         return label
 
-    def of(i: int):
-        if i not in sets:
-            x, w = weighted(texts[i], known)
-            sets[i] = (x, w, frozenset(x.tolist()) if w.max(initial=1) == 1 else None)
-        return sets[i]
+    def of(text: str):
+        if text not in sets:
+            x, w = weighted(text, known)
+            sets[text] = (x, w, frozenset(x.tolist()) if w.max(initial=1) == 1 else None)
+        return sets[text]
 
     out = []
-    for i, label, own in zip(probes["doc_id"].tolist(), probes["label"].tolist(), probes["sig"]):
+    for i, label, own, text in zip(probes["doc_id"].tolist(), probes["label"].tolist(), probes["sig"], probe_texts):
         agree = (sig == np.frombuffer(own, np.uint32)).sum(axis=1)
         # a pair of two probes is met from either side: once is enough
         at = np.flatnonzero((agree >= FLOOR * REGISTERS) & (labels != label) & (~minor | (ids > i)))
@@ -225,7 +226,7 @@ def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> lis
             other, other_label = int(ids[j]), int(labels[j])
             if root(label) == root(other_label) or not earlier[i].isdisjoint(earlier[other]):
                 continue
-            a, b = of(i), of(other)
+            a, b = of(text), of(base_texts[j])
             if a[2] is not None and b[2] is not None:
                 both = len(a[2] & b[2])
                 close = both >= threshold * (len(a[2]) + len(b[2]) - both)
@@ -284,7 +285,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = materialize(copies, "copies")
     owners = materialize(signed.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).select("doc_id", "first").distinct(), "owners")
     later = owners.filter("doc_id <> first").select("doc_id")
-    nodes = signed.join(later, "doc_id", "left_anti") if later.take(1) else signed
+    nodes = signed
+    if later.take(1):
+        nodes = signed.join(later, "doc_id", "left_anti")
+        # only the copied text leaves: other texts of its doc_id, if any, stay in the search
+        others = signed.select("doc_id", "k1", "k2").join(later, "doc_id", "left_semi").join(copies, ["k1", "k2"], "left").filter(
+            "first IS NULL OR first = doc_id").select("doc_id", "k1", "k2").distinct()
+        others = materialize(others, "others")
+        if others.take(1):
+            nodes = nodes.unionByName(signed.join(others, ["doc_id", "k1", "k2"], "left_semi"))
     n_bands = REGISTERS // BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)),
                         lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * BAND) + 1, F.lit(4 * BAND))))
