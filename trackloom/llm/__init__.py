@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("tool_calls", "line_rules", "prob_minhash", "repeat_intervals", "relative_lz", "templates", "toxicity", "discriminant", "entropy_scan",
-           "mixing")
+           "mixing", "filter_audit", "lexical_search", "url_filter")
 
 
 def load() -> None:
