@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import documents, materialize, oracle, query
 
 TOP = 50
-BLOCK_ITEMS = 4096            # queries per pass; at 50 terms of 10 bytes each, 2 MB of terms
-SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 20
+BLOCK_ITEMS = 1024            # queries per pass; at 50 terms of 10 bytes each, 0.5 MB of terms
+SHARD_DOCS, SHARD_POSTINGS, SHARD_RANKS = 4096, 1 << 20, 1 << 25
 BATCH_INTERVALS = 64
-SEED_ROUNDS = 4
+SEED_ROUNDS = 7
 LAST_ID = np.iinfo(np.int64).max  # stands for a missing doc_id, which ranks last
 
 #: bytes of UTF-8 to terms: A-Z become a-z, other ASCII than letters and digits becomes a blank, all else stays
@@ -89,7 +89,7 @@ def build_shard(doc_ids: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray,
     term, doc, value = term[place], doc[place].astype(np.int32), value[place]
     held = np.bincount(term, minlength=len(weights))
     start = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
-    rank = np.zeros((len(weights), len(order) + 1), np.int32)
+    rank = np.zeros((len(weights), len(order) + 1), np.int16 if len(order) < 1 << 15 else np.int32)
     rank[term, doc + 1] = 1
     np.cumsum(rank, axis=1, out=rank)
     best, width = [np.arange(len(value), dtype=np.int32)], 1
@@ -218,6 +218,7 @@ def document_frequencies(counted: DataFrame, size: int) -> np.ndarray:
 
 def shards_of(batches: Iterator[pd.DataFrame], weights: np.ndarray, n_docs: int, n_terms: int) -> Iterator[Shard]:
     ids, ns, rows, held = [], [], [], 0
+    most = max(64, min(SHARD_DOCS, SHARD_RANKS // len(weights)))
     for batch in batches:
         for doc_id, n, terms, counts in zip(batch["doc_id"].tolist(), batch["n"].tolist(), batch["terms"], batch["counts"]):
             if not terms:
@@ -226,7 +227,7 @@ def shards_of(batches: Iterator[pd.DataFrame], weights: np.ndarray, n_docs: int,
             ns.append(n)
             rows.append((np.frombuffer(terms, np.int32), np.frombuffer(counts, np.int32)))
             held += len(terms) // 4
-            if len(ids) >= SHARD_DOCS or held >= SHARD_POSTINGS:
+            if len(ids) >= most or held >= SHARD_POSTINGS:
                 yield build_shard(np.array(ids, np.int64), np.array(ns, np.int64), rows, weights, n_docs, n_terms)
                 ids, ns, rows, held = [], [], [], 0
     if ids:
