@@ -67,7 +67,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_numbered_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in llm.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in llm.QUERIES} == set(range(1, 14))
 
 
 # ---- 1 tool calls
