@@ -196,6 +196,14 @@ def test_near_duplicate_edges(spark, words_of_many):
     assert prob_minhash.near_duplicates(docs.limit(0)).count() == 0 and prob_minhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_met_once(spark, words_of_many):
+    text = words_of_many(60)
+    rows = [(1, text)] * 400 + [(2, text + " tail")] * 400 + [(3, words_of_many(60))]
+    docs = table(spark, rows, AWKWARD)
+    assert prob_minhash.distinct_texts(docs).count() == 3
+    assert Counter((r.doc_id, r.class_id) for r in prob_minhash.near_duplicates(docs).collect()) == {(1, 1): 400, (2, 1): 400, (3, 3): 1}
+
+
 def test_other_texts_of_a_copied_doc_id_stay_in_the_search(spark, monkeypatch, words_of_many):
     one, two, three = words_of_many(200), words_of_many(200), words_of_many(200)
     rows = [(1, one), (5, one), (5, two), (9, two + " tail"), (12, two), (20, three), (5, words_of_many(200))]

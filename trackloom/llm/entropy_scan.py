@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -184,10 +185,10 @@ def scan_text(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=RESULT.names)
 
 
-@F.pandas_udf(StringType())
-def redact_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(StringType())
+def redact_text(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.Series([redact(t) for t in batch], dtype=object)
+        yield pa.array([redact(t.as_py()) for t in batch], pa.string())
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", into: str = "scan") -> DataFrame:

@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ THRESHOLD = 0.8
 FLOOR = 0.62
 BLOCK = 1024
 SHARD_ROWS = 8192
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 16   # words that are signed at once; a longer text goes alone
+SLICE_ROWS = 256        # rows of an Arrow batch that are Python objects at a time
 
 U64 = np.uint64
 _STEP, _A, _B, _P = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x100000001B3)
@@ -56,10 +58,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word, remembered for a bounded number of words."""
+    """64-bit hash of a word, remembered for a few words: frequent ones come back soon, and a worker's memory stays small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) >= 1 << 14:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -115,34 +117,37 @@ def signatures(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return (mixed(found) & U64(0xFFFFFFFF)).astype(np.uint32).reshape(n, m)
 
 
-def _sign_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
         rows: list[tuple[int, list[bytes]]] = []
         held = 0
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            parts = words(text)
-            if parts:
-                rows.append((doc_id, parts))
-                held += len(parts)
-            if held > BATCH_WORDS:
-                yield _frame(rows, known)
-                rows, held = [], 0
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            piece = batch.slice(at, SLICE_ROWS)
+            for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).cast(pa.binary()).to_pylist()):
+                parts = text.split()  # at exactly the six ASCII blanks
+                if parts:
+                    rows.append((doc_id, parts))
+                    held += len(parts)
+                if held > BATCH_WORDS:
+                    yield _signed(rows, known)
+                    rows, held = [], 0
         if rows:
-            yield _frame(rows, known)
+            yield _signed(rows, known)
 
 
-def _frame(rows: list[tuple[int, list[bytes]]], known: WordHashes) -> pd.DataFrame:
+def _signed(rows: list[tuple[int, list[bytes]]], known: WordHashes) -> pa.RecordBatch:
     docs = [parts for _, parts in rows]
     keys = np.array([np.frombuffer(hashlib.blake2b(b" ".join(p), digest_size=16).digest(), np.int64) for p in docs])
     sig = signatures([np.unique(x, return_counts=True) for x in shingles_of(docs, known)])
-    return pd.DataFrame({"doc_id": [i for i, _ in rows], "k1": keys[:, 0], "k2": keys[:, 1], "sig": [s.tobytes() for s in sig]})
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                                       pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "k1", "k2", "sig"])
 
 
 def sign(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, sig): the key of the word sequence and the signature of every document with a word."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return rows.mapInPandas(_sign_rows, "doc_id long, k1 long, k2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(_sign_batches, "doc_id long, k1 long, k2 long, sig binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -278,8 +283,21 @@ def _between_components(shared: DataFrame, labels: DataFrame, signed: DataFrame,
     return materialize(found.distinct(), "found")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with rows that repeat both taken once; texts are shuffled only where a doc_id has several rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    again = rows.groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = materialize(again, "again")
+    if not again.take(1):
+        return rows
+    same = F.col("doc_id") == F.col("again_id")
+    return materialize(rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").distinct()), "texts-once")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row: documents linked by similarity of at least ``threshold`` share the smallest ``doc_id``."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    docs = distinct_texts(docs)
     signed = materialize(sign(docs), "signed")
     copies = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = materialize(copies, "copies")
@@ -307,7 +325,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = materialize(connected_components(links), "labels")
     links = links.unionByName(_between_components(shared.select("leader", "doc_id"), labels, nodes, docs, threshold))
     labels = materialize(connected_components(links.unionByName(tied)), "classes")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return lookup(ids, labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ THRESHOLD = 0.7
 def token_buckets(text: str | None, known: dict[str, int]) -> np.ndarray:
     """Distinct buckets of a text's words in lower case; ``known`` keeps buckets of words met before."""
     found = set(TOKEN.findall(text.lower())) if text else ()
-    if len(known) > 1 << 19:
+    if len(known) >= 1 << 14:
         known.clear()
     ids = set()
     for w in found:
@@ -162,12 +163,13 @@ def score_texts(docs: DataFrame, model: PuModel, text: str = "text", into: str =
     """The rows with the model's score of ``text``; the weights (512 KB whatever the corpus) travel as a broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # plain arrays: no import on the executors
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
         fitted = PuModel(*shared.value)
-        for batch in batches:
-            yield pd.Series([fitted.score(t, known) for t in batch], dtype="float64")
+        for batch in batches:  # a text is a Python object only while it is scored
+            yield pa.array([fitted.score(t.as_py(), known) for t in batch], pa.float64())
+
+    score = F.arrow_udf(score_batches, "double")
 
     return docs.withColumn(into, score(F.col(text)))
 
