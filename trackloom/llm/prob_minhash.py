@@ -169,7 +169,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above_a[at] / wa[both] + below_b[at] / wb[both])).sum())
 
 
-def _verify_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, recent = WordHashes(), OrderedDict()
 
     def of(text: str):
@@ -180,8 +180,9 @@ def _verify_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return recent[text]
 
     for batch in batches:
-        j = [similarity(of(x), of(y)) for x, y in zip(batch["text_a"], batch["text_b"])]
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": j})
+        # a pair's texts are Python objects only while they are compared
+        j = [similarity(of(x.as_py()), of(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], ["a", "b", "similarity"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,7 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     texts = materialize(lookup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL"), ids, "doc_id", "left_semi"), "texts")
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInPandas(_verify_rows, "a long, b long, similarity double").filter(F.col("similarity") >= threshold), "links")
+    return materialize(both.mapInArrow(_verify_batches, "a long, b long, similarity double").filter(F.col("similarity") >= threshold), "links")
 
 
 def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> list[tuple[int, int]]:
