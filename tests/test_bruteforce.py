@@ -110,43 +110,75 @@ def test_link_over_one_missing_frame(spark):
     assert {r.tracklet_id for r in out.collect()} == {"t000000"} and out.count() == 3
 
 
-def test_region_search_equals_enumeration():
-    """On a small graph the beam never truncates, so it must equal listing all paths."""
-    rng = random.Random(5)
-    nodes = [(f"t{i}", round(rng.random(), 3)) for i in range(7)]
-    edges = {}
-    for i, j in itertools.combinations(range(7), 2):
-        if rng.random() < 0.4:
-            m, g = round(rng.random(), 3), round(rng.random(), 3)
-            edges.setdefault(f"t{i}", []).append((f"t{j}", m, g, m * (1 - g)))
-    conf, paths = dict(nodes), []
-
-    def walk(path, links):
-        mean = sum(conf[n] for n in path) / len(path)
-        score = mean if not links else (mean + sum(l[3] for l in links) / len(links)) / 2
-        paths.append((-score, -len(path), path))
-        for link in edges.get(path[-1], ()):
-            walk((*path, link[0]), (*links, link))
-
-    for n, _ in nodes:
-        walk((n,), ())
+def enumerated_paths(ids, confidence, edges, k, least):
+    """The best paths of a region by listing all of them."""
+    out, paths = {}, []
+    for t, h, e in edges:
+        out.setdefault(t, []).append((h, e))
+
+    def walk(path, c, e):
+        n = len(path)
+        paths.append((-(c / n if n == 1 else (c / n + e / (n - 1)) / 2), -n, [ids[i] for i in path], path))
+        for h, own in out.get(path[-1], ()):
+            walk((*path, h), c + confidence[h], e + own)
+
+    for i, c in enumerate(confidence):
+        walk((i,), c, 0.0)
     kept = []
-    for s, _, p in sorted(paths):
-        if all(len(set(p) ^ set(q)) / max(len(p), len(q)) >= 0.25 for _, q in kept):
+    for s, _, _, p in sorted(paths):
+        if len(kept) < k and all(len(set(p) ^ set(q)) / max(len(p), len(q)) >= least for _, q in kept):
             kept.append((-s, p))
-    found, cut = candidates.search_region(nodes, edges, AssociationSettings())
-    assert not cut
-    assert [(round(f["score"], 9), f["path"]) for f in found] == [(round(s, 9), p) for s, p in kept[:5]]
-
-
-def test_large_regions_rank_their_singletons(spark):
-    rows = [(1, f"t{i:03d}", i, i, 1, (i * 37 % 50) / 50.0) for i in range(50)]
+    return kept, len(paths)
+
+
+def region(rng, n, density, grid=None):
+    value = (lambda: rng.randrange(grid) / grid) if grid else rng.random
+    edges = [(i, j, value()) for i in range(n) for j in range(i + 1, min(n, i + 7)) if rng.random() < density]
+    return [f"t{i:05d}" for i in rng.sample(range(n), n)], [value() for _ in range(n)], edges
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_best_paths_equal_enumeration(seed):
+    """Also with ties (a coarse grid of values) and with differences that make the threshold fall."""
+    rng = random.Random(seed)
+    ids, confidence, edges = region(rng, rng.choice([1, 2, 4, 9, 14]), rng.choice([0.2, 0.5, 0.9]), rng.choice([None, 4]))
+    table = np.array(edges, float).reshape(-1, 3)
+    graph = candidates.RegionGraph(np.array(confidence), table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2] / 2, table[:, 2] / 3, table[:, 2])
+    for k, least in ((5, 0.25), (3, 1.2), (1, 0.25), (8, 0.6)):
+        want, _ = enumerated_paths(ids, confidence, edges, k, least)
+        found = candidates.best_paths(graph, ids, k, least)
+        assert [p["path"] for p in found] == [p for _, p in want]
+        assert [p["score"] for p in found] == pytest.approx([s for s, _ in want])
+
+
+def test_best_paths_of_a_region_with_millions_of_paths():
+    """The bounds leave few paths: 20,000 tracklets, chains of good links among many poor ones."""
+    rng = random.Random(1)
+    n = 20000
+    confidence = [0.5 + 0.3 * rng.random() for _ in range(n)]
+    edges = [(i, j, 0.2 + 0.5 * rng.random()) for i in range(n) for j in range(i + 1, min(n, i + 5))]
+    for i in range(100, 112):  # a chain of 13 tracklets that no single pair elsewhere reaches
+        confidence[i] = confidence[i + 1] = 0.97
+        edges = [e for e in edges if (e[0], e[1]) != (i, i + 1)]
+        edges.append((i, i + 1, 0.97 + 0.001 * (i % 3)))
+    table = np.array(edges, float)
+    graph = candidates.RegionGraph(np.array(confidence), table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2], table[:, 2], table[:, 2])
+    ids = [f"t{i:05d}" for i in range(n)]
+    found = candidates.best_paths(graph, ids, 5, 0.25)
+    inner = [(i - 100, j - 100, e) for i, j, e in edges if 100 <= i and j <= 112]
+    want, _ = enumerated_paths(ids[100:113], confidence[100:113], inner, 5, 0.25)
+    assert [p["path"] for p in found] == [tuple(i + 100 for i in p) for _, p in want]
+
+
+def test_large_regions_are_searched_whole(spark):
+    rows = [(1, f"t{i:04d}", i, i, 1, (i * 37 % 50) / 100.0) for i in range(5000)]
     t = spark.createDataFrame(rows, "source_id long, tracklet_id string, first_frame long, last_frame long, points long, confidence double")
-    edges = spark.createDataFrame([(1, f"t{i:03d}", f"t{i + 1:03d}", 0.9, 0.0, 0.9) for i in range(49)], "source_id long, tail_id string, head_id string, motion double, gap_penalty double, edge_score double")
+    edges = spark.createDataFrame([(1, f"t{i:04d}", f"t{i + 1:04d}", 0.9, 0.0, 0.9) for i in range(4999)], "source_id long, tail_id string, head_id string, motion double, gap_penalty double, edge_score double")
     regions = t.select("source_id", "tracklet_id", F.lit("r0000").alias("region_id"))
-    out = candidates.decode_hypotheses(t, edges, regions, AssociationSettings(path_budget=50)).orderBy("rank").collect()
-    best = sorted(rows, key=lambda r: (-r[5], r[1]))[:5]
-    assert [r.tracklet_ids for r in out] == [[b[1]] for b in best] and all(r.search_cut for r in out)
+    out = candidates.decode_hypotheses(t, edges, regions, AssociationSettings()).orderBy("rank").collect()
+    pairs = sorted((-((rows[i][5] + rows[i + 1][5]) / 2 + 0.9) / 2, [rows[i][1], rows[i + 1][1]]) for i in range(4999))
+    assert all(len(r.tracklet_ids) >= 2 for r in out) and out[0].total_score >= -pairs[0][0]
+    assert [r["rank"] for r in out] == [1, 2, 3, 4, 5] and out[0].frame_start == int(out[0].tracklet_ids[0][1:])
 
 
 def test_fit_recovers_the_matrix_and_ignores_outliers(spark):

@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import json
 import math
-from heapq import nsmallest
-from typing import NamedTuple
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -309,105 +308,183 @@ def association_regions(tracklets: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(ids, ["source_id", "component"]).select("source_id", "tracklet_id", "region_id")
 
 
-class Path(NamedTuple):
-    """A chain of tracklets with running sums, so that growing it costs one addition per figure."""
-
-    nodes: tuple
-    confidence: float
-    motion: float = 0.0
-    gap_penalty: float = 0.0
-    edge_score: float = 0.0
-
-    def grown(self, link: tuple, confidence: dict) -> Path:
-        head, motion, gap, edge = link
-        return Path((*self.nodes, head), self.confidence + confidence[head], self.motion + motion, self.gap_penalty + gap, self.edge_score + edge)
-
-    @property
-    def score(self) -> float:
-        own = self.confidence / len(self.nodes)
-        return (own + self.edge_score / (len(self.nodes) - 1)) / 2 if len(self.nodes) > 1 else own
-
-    def rank(self) -> tuple:
-        return -self.score, -len(self.nodes), self.nodes
-
-    def differs(self, other: Path, least: float) -> bool:
-        mine, theirs = set(self.nodes), set(other.nodes)
-        return len(mine ^ theirs) / max(len(mine), len(theirs)) >= least
-
-    def row(self) -> dict:
-        links = max(1, len(self.nodes) - 1)
-        return {"path": self.nodes, "score": self.score, "confidence": self.confidence / len(self.nodes),
-                **{c: getattr(self, c) / links for c in ("motion", "gap_penalty", "edge_score")}}
-
-
-def search_region(nodes: list[tuple], edges: dict[str, list[tuple]], settings: AssociationSettings) -> tuple[list[dict], bool]:
-    """(best diverse paths of one region, whether the path budget ran out before all starts were searched).
-
-    ``nodes``: (tracklet_id, confidence) in region order; ``edges``: id -> [(head id, motion, gap penalty, edge score)] in link
-    order. Every single tracklet is a path; each then seeds a beam, and all beams draw on one budget.
+SHORT = 8  # path lengths whose bounds are exact; longer paths share one bound
+
+
+class RegionGraph:
+    """The tracklets of one region in time order and the links between them, as arrays sorted by tail."""
+
+    def __init__(self, confidence: np.ndarray, tails: np.ndarray, heads: np.ndarray, motion: np.ndarray, gap: np.ndarray, edge_score: np.ndarray):
+        order = np.lexsort((heads, tails))
+        self.confidence, self.n = confidence.astype(float), len(confidence)
+        self.tails, self.heads, self.motion, self.gap, self.edge_score = (x[order] for x in (tails, heads, motion, gap, edge_score))
+        self.begin = np.searchsorted(self.tails, np.arange(self.n + 1))
+        self.linked = np.flatnonzero(np.diff(self.begin))  # tracklets with a successor
+
+    def best_next(self, by_link: np.ndarray) -> np.ndarray:
+        """Per tracklet the largest value among its links; minus infinity without any."""
+        out = np.full(self.n, -np.inf)
+        if len(self.linked):
+            out[self.linked] = np.maximum.reduceat(by_link, self.begin[self.linked])
+        return out
+
+    def fixed_length_bounds(self) -> dict[tuple[int, int], np.ndarray]:
+        """(nodes in all, links to come) -> the most these links can add to twice the score. Twice the score of n nodes is additive for fixed n."""
+        out = {}
+        for n in range(2, SHORT + 1):
+            gain = np.zeros(self.n)
+            for r in range(n):
+                out[n, r] = gain
+                gain = self.best_next(self.confidence[self.heads] / n + self.edge_score / (n - 1) + gain[self.heads])
+        return out
+
+    def open_bounds(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(most that a continuation of any length can add to the sum of confidences and link scores over ``2 * least`` a node, most nodes to come)."""
+        gain, depth = np.zeros(self.n), np.zeros(self.n, np.int64)
+        own, begin = self.confidence[self.heads] + self.edge_score - 2 * least, self.begin
+        for v in self.linked[::-1]:
+            at = slice(begin[v], begin[v + 1])
+            heads = self.heads[at]
+            gain[v] = max(0.0, (own[at] + gain[heads]).max())
+            depth[v] = depth[heads].max() + 1
+        return gain, depth
+
+    def paths_above(self, least: float, short: dict) -> list[dict]:
+        """All paths that score ``least`` or more, by length: arrays end, up (row of the path without its last tracklet), score and the sums.
+
+        Paths grow by one tracklet a round. A path is dropped when neither a fixed length nor any longer one can bring it to ``least``:
+        with n nodes, twice the score is  C / n + E / (n - 1), and  n times that is at most  C + E + the largest link score.
+        """
+        gain, depth = self.open_bounds(least)
+        most, slack = self.edge_score.max(initial=0.0), 1e-9
+        end = np.arange(self.n)
+        level = {"end": end, "up": np.full(self.n, -1), "c": self.confidence, "m": np.zeros(self.n), "g": np.zeros(self.n), "e": np.zeros(self.n)}
+        levels, size = [], 0
+        while len(level["end"]):
+            size += 1
+            end, c, e = level["end"], level["c"], level["e"]
+            level["score"] = c / size if size == 1 else (c / size + e / (size - 1)) / 2
+            levels.append(level)
+            alive = (c + e - 2 * least * size + gain[end] + most >= -slack) & (size + depth[end] > SHORT)
+            for n in range(size + 1, SHORT + 1):
+                alive |= c / n + e / (n - 1) + short[n, n - size][end] >= 2 * least - slack
+            rows = np.flatnonzero(alive)
+            counts = self.begin[end[rows] + 1] - self.begin[end[rows]]
+            up = np.repeat(rows, counts)
+            link = np.arange(len(up)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.begin[end[rows]], counts)
+            level = {"end": self.heads[link], "up": up, "c": c[up] + self.confidence[self.heads[link]], "m": level["m"][up] + self.motion[link],
+                     "g": level["g"][up] + self.gap[link], "e": e[up] + self.edge_score[link]}
+        return levels
+
+    def thresholds(self, k: int) -> Iterator[float]:
+        """Falling scores; the first is that of the k-th best path of one or two tracklets, the last lets every path pass."""
+        pairs = ((self.confidence[self.tails] + self.confidence[self.heads]) / 2 + self.edge_score) / 2
+        known = np.sort(np.concatenate([self.confidence, pairs]))[::-1]
+        at = k
+        while at <= len(known):
+            yield float(known[at - 1])
+            at *= 4
+        yield -np.inf if not len(known) else float(min(0.0, known.min()) - 1.0)
+
+
+def best_paths(graph: RegionGraph, ids: list[str], k: int, least_difference: float) -> list[dict]:
+    """The k best paths of a region that differ enough from each other, taken greedily in the order of score, length and ids.
+
+    Whether a path is taken depends on better ones alone. So all paths above a threshold decide alone if k of them are taken, else the
+    threshold falls. No path is passed over otherwise.
     """
-    confidence, width = dict(nodes), max(32, settings.hypotheses_per_region * 8)
-    paths = [Path((n,), c) for n, c in nodes]
-    budget = settings.path_budget - len(paths)
-    cut = False
-    for seed in paths[:]:
-        beam = [seed]
-        while beam:
-            grown = [p.grown(link, confidence) for p in beam for link in edges.get(p.nodes[-1], ())]
-            beam = nsmallest(min(width, max(budget, 0)), grown, key=Path.rank)
-            cut |= len(grown) > len(beam)
-            budget -= len(beam)
-            paths += beam
-    kept: list[Path] = []
-    for p in sorted(paths, key=Path.rank):
-        if len(kept) < settings.hypotheses_per_region and all(p.differs(q, settings.minimum_difference) for q in kept):
-            kept.append(p)
-    return [p.row() for p in kept], cut
-
-
-HYPOTHESIS_FIELDS = ("rank long, tracklet_ids array<string>, total_score double, confidence double, motion double, gap_penalty double, edge_score double, "
-                     "search_cut boolean")
+    short = graph.fixed_length_bounds()
+    for least in graph.thresholds(k):
+        levels = graph.paths_above(least, short)
+
+        def nodes_of(size: int, row: int) -> tuple[int, ...]:
+            out = []
+            for level in levels[size - 1::-1]:
+                out.append(int(level["end"][row]))
+                row = level["up"][row]
+            return tuple(out[::-1])
+
+        passing = [(size, rows, level["score"][rows]) for size, level in enumerate(levels, 1) for rows in [np.flatnonzero(level["score"] >= least)]]
+        sizes = np.concatenate([np.full(len(rows), size) for size, rows, _ in passing])
+        places, scores = np.concatenate([rows for _, rows, _ in passing]), np.concatenate([s for _, _, s in passing])
+        kept: list[tuple[frozenset, int, int]] = []
+        order, at = np.lexsort((-sizes, -scores)), 0
+        while at < len(order) and len(kept) < k:
+            tie = at
+            while tie < len(order) and scores[order[tie]] == scores[order[at]] and sizes[order[tie]] == sizes[order[at]]:
+                tie += 1
+            equal = [(nodes_of(int(sizes[j]), int(places[j])), int(sizes[j]), int(places[j])) for j in order[at:tie]]
+            for path, size, row in sorted(equal, key=lambda x: [ids[i] for i in x[0]]):
+                mine = frozenset(path)
+                if len(kept) < k and all(len(mine ^ other) / max(len(mine), len(other)) >= least_difference for other, *_ in kept):
+                    kept.append((mine, size, row))
+            at = tie
+        if len(kept) == k:
+            break
+    out = []
+    for _, size, row in kept:
+        level, links = levels[size - 1], max(1, size - 1)
+        out.append({"path": nodes_of(size, row), "score": float(level["score"][row]), "confidence": float(level["c"][row] / size),
+                    **{name: float(level[c][row] / links) for name, c in (("motion", "m"), ("gap_penalty", "g"), ("edge_score", "e"))}})
+    return out
+
+
+HYPOTHESIS_FIELDS = ("rank long, tracklet_ids array<string>, frame_start long, frame_end long, total_score double, confidence double, motion double, "
+                     "gap_penalty double, edge_score double")
 
 
 def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame, settings: AssociationSettings = AssociationSettings()) -> DataFrame:
-    """Up to five diverse paths per region. ``search_cut`` tells that beam or budget left paths of the region out.
+    """The best ``hypotheses_per_region`` paths of every region that differ enough from each other; exact, see ``best_paths``.
 
-    A region with at least ``path_budget`` tracklets leaves no budget for paths, so its answer is its best
-    singletons and comes from a ranking; only regions below the budget reach the search.
+    A region of one tracklet is its own answer. The others stream through the tasks in order of regions; a task holds one at a time:
+    some numbers per tracklet and per link, and the paths that can still reach the threshold.
     """
-    if settings.hypotheses_per_region < 1 or settings.path_budget < settings.hypotheses_per_region:
-        raise ValueError("path_budget must cover at least one hypothesis per region")
-    rows = tracklets.select("source_id", "tracklet_id", "first_frame", "confidence").join(regions, ["source_id", "tracklet_id"])
-    sizes = rows.groupBy("source_id", "region_id").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes, ["source_id", "region_id"])
-    small, large = rows.filter(F.col("size") < settings.path_budget), rows.filter(F.col("size") >= settings.path_budget)
-
-    # cut each slice of a large region to its own best first, so the final ranking holds few rows
-    best = [F.desc("confidence"), "tracklet_id"]
-    slices = Window.partitionBy("source_id", "region_id", F.pmod(F.hash("tracklet_id"), F.lit(256))).orderBy(*best)
-    whole = Window.partitionBy("source_id", "region_id").orderBy(*best)
-    k = settings.hypotheses_per_region
-    # two singletons always differ by 2 nodes, so diversity only matters above a threshold of 2
-    top = large.withColumn("r", F.row_number().over(slices)).filter(F.col("r") <= k).withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= k)
-    zero = F.lit(0.0)
-    ranked = top.select("source_id", "region_id", "rank", F.array("tracklet_id").alias("tracklet_ids"), F.col("confidence").alias("total_score"),
-                        "confidence", zero.alias("motion"), zero.alias("gap_penalty"), zero.alias("edge_score"), F.lit(True).alias("search_cut"))
-
-    out = edges.join(tracklets.select("source_id", F.col("tracklet_id").alias("head_id"), F.col("first_frame").alias("head_first")), ["source_id", "head_id"])
-    out = out.groupBy("source_id", F.col("tail_id").alias("tracklet_id")).agg(
-        F.array_sort(F.collect_list(F.struct("head_first", "head_id", "motion", "gap_penalty", "edge_score"))).alias("links"))
-    small = small.join(out, ["source_id", "tracklet_id"], "left")
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_frame", "tracklet_id"])
-        links = {t: [(e["head_id"], e["motion"], e["gap_penalty"], e["edge_score"]) for e in ls]
-                 for t, ls in zip(pdf["tracklet_id"], pdf["links"]) if ls is not None}
-        paths, cut = search_region(list(zip(pdf["tracklet_id"], pdf["confidence"])), links, settings)
-        return pd.DataFrame([{"source_id": key[0], "region_id": key[1], "rank": i, "tracklet_ids": list(p["path"]), "total_score": p["score"],
-                              **{c: p[c] for c in ("confidence", "motion", "gap_penalty", "edge_score")}, "search_cut": cut} for i, p in enumerate(paths, 1)])
+    if settings.hypotheses_per_region < 1:
+        raise ValueError("at least one hypothesis per region")
+    key = ["source_id", "region_id"]
+    rows = tracklets.select("source_id", "tracklet_id", "first_frame", "last_frame", "confidence").join(regions, ["source_id", "tracklet_id"])
+    rows = materialize(rows.join(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")), key), "members")
+    zero, names = F.lit(0.0), HYPOTHESIS_FIELDS.split(", ")
+    alone = rows.filter("size = 1").select(*key, F.lit(1).cast("long").alias("rank"), F.array("tracklet_id").alias("tracklet_ids"), F.col("first_frame").alias("frame_start"),
+                                           F.col("last_frame").alias("frame_end"), F.col("confidence").alias("total_score"), "confidence", zero.alias("motion"),
+                                           zero.alias("gap_penalty"), zero.alias("edge_score"))
+    out = edges.groupBy("source_id", F.col("tail_id").alias("tracklet_id")).agg(
+        F.collect_list(F.struct("head_id", "motion", "gap_penalty", "edge_score")).alias("links"))
+    linked = rows.filter("size > 1").join(out, ["source_id", "tracklet_id"], "left")
+    linked = linked.select(*key, "tracklet_id", "first_frame", "last_frame", "confidence", "links").repartition(*key).sortWithinPartitions(*key, "first_frame", "tracklet_id")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for region in whole_groups(batches, key):
+            ids = region["tracklet_id"].tolist()
+            place = {t: i for i, t in enumerate(ids)}
+            links = [(i, place[e["head_id"]], e["motion"], e["gap_penalty"], e["edge_score"])
+                     for i, ls in enumerate(region["links"]) if ls is not None for e in ls if e["head_id"] in place]
+            table = np.array(links, float).reshape(-1, 5)
+            graph = RegionGraph(region["confidence"].to_numpy(float), table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), *table.T[2:])
+            found = best_paths(graph, ids, settings.hypotheses_per_region, settings.minimum_difference)
+            first, last = region["first_frame"].tolist(), region["last_frame"].tolist()
+            yield pd.DataFrame([(region["source_id"].iloc[0], region["region_id"].iloc[0], rank, [ids[j] for j in p["path"]], first[p["path"][0]], last[p["path"][-1]],
+                                 p["score"], p["confidence"], p["motion"], p["gap_penalty"], p["edge_score"]) for rank, p in enumerate(found, 1)],
+                               columns=[*key, *(n.split(" ")[0] for n in names)])
 
     schema = f"source_id {dict(tracklets.dtypes)['source_id']}, region_id string, {HYPOTHESIS_FIELDS}"
-    return small.groupBy("source_id", "region_id").applyInPandas(search, schema).unionByName(ranked)
+    return linked.mapInPandas(search, schema).unionByName(alone)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows sorted by ``key``, one at a time, whichever batches they span."""
+    parts: list[pd.DataFrame] = []
+    for batch in batches:
+        values = list(batch[key].itertuples(index=False, name=None))
+        cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b and parts and values[a] != tuple(parts[0][key].iloc[0]):
+                yield pd.concat(parts, ignore_index=True)
+                parts = []
+            if a < b:
+                parts.append(batch.iloc[a:b])
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
 
 
 def hypothesis_points(hypotheses: DataFrame, linked: DataFrame) -> DataFrame:

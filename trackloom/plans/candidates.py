@@ -227,12 +227,12 @@ oracle("candidate_tracklets", """SELECT nc.source_id, nc.candidate_id, frame, tr
 
 @query("hypothesis_segments")
 def _(spark, sf):
-    """Paths by rule: every region joins a block of frames' first-position tracklets in order."""
-    points = grid_tracklets(spark, sf).filter("cand = 0")
-    region = F.concat(F.lit("r"), F.floor(F.col("g") / 5).cast("long"))
+    """Paths by rule: every region joins the tracklets of one candidate position in a block of frames, in order."""
+    points = grid_tracklets(spark, sf)
+    region = F.concat_ws("_", F.lit("r"), F.floor(F.col("frame") / 20).cast("long"), F.col("cand"))
     paths = points.groupBy("source_id", region.alias("region_id")).agg(F.array_sort(F.collect_set("tracklet_id")).alias("tracklet_ids")).withColumn("rank", F.lit(1))
     return ops.hypothesis_segments(paths, points)
 
 
 oracle("hypothesis_segments", """SELECT source_id, region_id, frame, from_x, from_y, cx AS to_x, cy AS to_y FROM (SELECT *, lag(cx) OVER w AS from_x, lag(cy) OVER w AS from_y
-    FROM (SELECT *, 'r' || CAST((frame // 4) // 5 AS BIGINT) AS region_id FROM gt WHERE cand = 0) WINDOW w AS (PARTITION BY source_id, region_id ORDER BY frame)) WHERE from_x IS NOT NULL""", ("gt",))
+    FROM (SELECT *, 'r_' || CAST(frame // 20 AS BIGINT) || '_' || cand AS region_id FROM gt) WINDOW w AS (PARTITION BY source_id, region_id ORDER BY frame)) WHERE from_x IS NOT NULL""", ("gt",))

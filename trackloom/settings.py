@@ -105,7 +105,6 @@ class AssociationSettings:
     max_gap_seconds: float = 0.5
     max_speed_diagonals_per_second: float = 6.0
     hypotheses_per_region: int = 5
-    path_budget: int = 4096
     minimum_difference: float = 0.25
 
 
