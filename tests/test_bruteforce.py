@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from trackloom.components import connected_components
@@ -110,6 +112,51 @@ def test_link_over_one_missing_frame(spark):
     assert {r.tracklet_id for r in out.collect()} == {"t000000"} and out.count() == 3
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_grid_finds_the_pairs_of_the_distance_matrix(seed):
+    rng = np.random.default_rng(seed)
+    at, here = rng.uniform(-50, 700, (int(rng.integers(1, 90)), 2)), rng.uniform(0, 640, (int(rng.integers(30, 200)), 2))
+    if seed % 3 == 0:
+        at, here = np.round(at / 10) * 10, np.round(here / 10) * 10  # points on cell borders, equal distances, copies
+    at[::7] = np.nan
+    here[::11] = np.nan
+    radius = rng.choice([0.0, 10.0, 20.0, 45.5], len(at))
+    matrix = np.hypot(here[None, :, 0] - at[:, None, 0], here[None, :, 1] - at[:, None, 1])
+    want = {(i, j) for i, j in zip(*np.nonzero(matrix <= radius[:, None]))}
+    for dense in (0, 1 << 30):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(candidates, "DENSE", dense)
+            track, cand, distance = candidates.near_pairs(at, here, radius)
+        assert set(zip(track, cand)) == want and len(track) == len(want)
+        assert np.array_equal(distance, matrix[track, cand])
+    sure = candidates.clear_winners(track, distance, 0.7) & candidates.clear_winners(cand, distance, 0.7)
+    for t, c, d, s in zip(track, cand, distance, sure):
+        rivals = [[x for u, v, x in zip(track, cand, distance) if (u == t and v != c)], [x for u, v, x in zip(track, cand, distance) if (u != t and v == c)]]
+        assert s == all(d < min(r) and d <= 0.7 * min(r) for r in rivals if r)
+
+
+def test_frames_of_ten_thousand_candidates():
+    rng = np.random.default_rng(2)
+    here = rng.uniform(0, 1e5, (10000, 2))
+    pdf = pd.DataFrame({"frame": np.repeat([5, 6], 10000), "cand": np.tile(np.arange(10000), 2), "cx": np.concatenate([here[:, 0], here[:, 0] + 1]),
+                                          "cy": np.concatenate([here[:, 1], here[:, 1]])})
+    tracemalloc.start()
+    out, _ = candidates.link_machine(20.0, LinkSettings())(pdf, "[]")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # an n x n array of doubles would take 800 MB
+    linked = [i for i in range(10000) if out["track_frame"][10000 + i] == 5]
+    assert len(linked) > 9000 and all(out["track_cand"][10000 + i] == i for i in linked)
+
+
+def test_only_one_threshold_is_linked_by_default(spark):
+    rows = [(1, f, c, f"f{f:06d}-t{t:03d}-c000", 55.0 + f, 55.0, 0.9, t / 100) for f in (0, 1) for c, t in enumerate((20, 30, 40, 50))]
+    df = spark.createDataFrame(rows, "source_id long, frame long, cand long, candidate_id string, cx double, cy double, peak double, threshold double")
+    out = candidates.link_candidates(df, 30.0, 100, 100)
+    assert {(r.candidate_id, r.tracklet_id) for r in out.collect()} == {("f000000-t050-c000", "t000000"), ("f000001-t050-c000", "t000000")}
+    assert candidates.link_candidates(df, 30.0, 100, 100, LinkSettings(candidate_threshold=None)).count() == 8
+
+
 def enumerated_paths(ids, confidence, edges, k, least):
     """The best paths of a region by listing all of them."""
     out, paths = {}, []

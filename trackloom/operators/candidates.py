@@ -156,21 +156,62 @@ def candidate_load(frames: DataFrame, candidates: DataFrame) -> DataFrame:
 
 # -- linking ----------------------------------------------------------------------------------
 
-def _two_least(distance: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and second least along an axis; infinity where there is none."""
-    if distance.shape[axis] < 2:
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (0, 2)
-        distance = np.pad(distance, pad, constant_values=np.inf)
-    part = np.partition(distance, 1, axis=axis)
-    return part.take(0, axis), part.take(1, axis)
+DENSE = 1 << 10  # pairs of one frame that are compared without a grid
+
+
+def near_pairs(at: np.ndarray, here: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prediction, candidate, distance) of the pairs no farther apart than the prediction's radius.
+
+    Many points are looked up by the cells of a grid as wide as the largest radius: the candidates lie sorted by cell, and the
+    three cells above each other in one column are one run of that order. Few points are compared at once; the pairs are the same.
+    """
+    usable = np.flatnonzero(np.isfinite(at).all(axis=1))
+    there = np.flatnonzero(np.isfinite(here).all(axis=1))
+    if not len(usable) or not len(there):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if len(usable) * len(there) <= DENSE:
+        track, cand = np.repeat(usable, len(there)), np.tile(there, len(usable))
+    else:
+        width = max(float(radius[usable].max()), 1e-9)
+        low = here[there].min(axis=0)
+        cell = np.floor((here[there] - low) / width).astype(np.int64) + 1
+        rows = int(cell[:, 1].max()) + 2
+        key = cell[:, 0] * rows + cell[:, 1]
+        order = np.argsort(key, kind="stable")
+        key, there = key[order], there[order]
+        # predictions outside the candidates' box by more than a cell have no partner; clip them to the rim of empty cells
+        spot = np.clip(np.floor((at[usable] - low) / width), -1, [int(cell[:, 0].max()) + 1, rows]).astype(np.int64) + 1
+        first, last = [], []
+        for column in (spot[:, 0] - 1, spot[:, 0], spot[:, 0] + 1):
+            first.append(np.searchsorted(key, column * rows + np.maximum(spot[:, 1] - 1, 1), "left"))
+            last.append(np.searchsorted(key, column * rows + np.minimum(spot[:, 1] + 1, rows - 2), "right"))
+        first, last = np.concatenate(first), np.concatenate(last)
+        count = np.maximum(last - first, 0)
+        track = np.repeat(np.tile(usable, 3), count)
+        cand = there[np.arange(len(track)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+    distance = np.hypot(here[cand, 0] - at[track, 0], here[cand, 1] - at[track, 1])
+    near = distance <= radius[track]
+    return track[near], cand[near], distance[near]
+
+
+def clear_winners(owner: np.ndarray, distance: np.ndarray, ratio: float) -> np.ndarray:
+    """Marks the pairs that are their owner's least by far: below the second least, and at most ``ratio`` times it."""
+    order = np.lexsort((distance, owner))
+    own, d = owner[order], distance[order]
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    second = np.full(len(own), np.inf)
+    second[:-1][own[1:] == own[:-1]] = d[1:][own[1:] == own[:-1]]
+    out = np.zeros(len(own), bool)
+    out[order] = first & (d < second) & (d <= ratio * second)
+    return out
 
 
 def link_machine(gate: float, settings: LinkSettings):
     """State: active tracklets as [start frame, start position, [frame, x, y] points (last two)].
 
-    Per frame one distance matrix between predictions and candidates. A pair is linked when it is the least of its row and of
-    its column and clearly below the second least of both.
+    Per frame the pairs of predictions and candidates within the gate. A pair is linked when it is the nearest of both its
+    prediction and its candidate, and clearly nearer than the second nearest of either.
     """
     ratio, reach = settings.ambiguity_ratio, settings.max_missing_frames + 1
 
@@ -189,15 +230,11 @@ def link_machine(gate: float, settings: LinkSettings):
             moving = ~np.isnan(tracks[:, 5])
             lag = np.where(moving, tracks[:, 2] - tracks[:, 5], 1.0)
             at = np.where(moving[:, None], at + (at - tracks[:, 6:8]) * span[:, None] / lag[:, None], at)
-            gap = here[None] - at[:, None]
-            distance = np.hypot(gap[..., 0], gap[..., 1])
-            distance[distance > gate * span[:, None]] = np.inf
-            sure = np.isfinite(distance)
-            gated = sure.any(axis=1)
-            for axis in (0, 1):
-                least, second = (np.expand_dims(v, axis) for v in _two_least(distance, axis))
-                sure &= (distance == least) & (least < second) & (least <= ratio * second)
-            track, cand = np.nonzero(sure)
+            track, cand, distance = near_pairs(at, here, gate * span)
+            gated = np.zeros(len(tracks), bool)
+            gated[track] = True
+            sure = clear_winners(track, distance, ratio) & clear_winners(cand, distance, ratio)
+            track, cand = track[sure], cand[sure]
             fresh = np.column_stack([np.full(b - a, frame), cands[a:b], np.full(b - a, frame), here, np.full((b - a, 3), np.nan)])
             fresh[cand, :2], fresh[cand, 5:8] = tracks[track, :2], tracks[track, 2:5]
             owner[a:b] = fresh[:, [0, 1, 5, 6, 7]]
@@ -219,10 +256,13 @@ def link_machine(gate: float, settings: LinkSettings):
 def link_candidates(candidates: DataFrame, fps: float, width: float, height: float, settings: LinkSettings = LinkSettings()) -> DataFrame:
     """Conservative frame-to-frame linking; every candidate row gets its tracklet and its predecessor.
 
-    The state carried between frames is only what two frames back can still reach, so chunks of one
+    Components of nested thresholds (a column ``threshold``) are near-copies of each other, so only those of
+    ``settings.candidate_threshold`` are linked; None links all. The state carried between frames is only what two frames back can still reach, so chunks of one
     source are linked in parallel.
     """
     gate = settings.max_speed_diagonals_per_second * math.hypot(width, height) / fps
+    if settings.candidate_threshold is not None and "threshold" in candidates.columns:
+        candidates = candidates.filter(F.abs(F.col("threshold") - settings.candidate_threshold) <= 1e-9)
     rows, _ = fold(candidates.select("source_id", "frame", "cand", "cx", "cy"), link_machine(gate, settings), "[]",
                    "frame long, cand long, track_frame long, track_cand long, prev_frame long, prev_x double, prev_y double",
                    warmup=60, within=["cand"])

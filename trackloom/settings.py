@@ -96,6 +96,7 @@ class LinkSettings:
     max_missing_frames: int = 1
     max_speed_diagonals_per_second: float = 6.0
     ambiguity_ratio: float = 0.7
+    candidate_threshold: float | None = 0.5
 
 
 @dataclass(frozen=True)
