@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from trackloom.components import connected_components
 from trackloom.functions import geometry as geo
-from trackloom.operators import candidates, court, evaluate, labels, players
+from trackloom.operators import candidates, court, evaluate, fusion, labels, players
 from trackloom.settings import AssociationSettings, LinkSettings
 
 
@@ -112,6 +112,18 @@ def test_link_over_one_missing_frame(spark):
     assert {r.tracklet_id for r in out.collect()} == {"t000000"} and out.count() == 3
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 150])
+def test_trailing_median_and_mad(n, monkeypatch):
+    monkeypatch.setattr(fusion, "STATISTIC_ROWS", 33)
+    rng = np.random.default_rng(n)
+    for values in (np.zeros(0), rng.random(1), rng.random(400), rng.integers(0, 3, 200).astype(float)):
+        median, mad = fusion.trailing_median_mad(values, n)
+        for i in range(len(values)):
+            before = values[max(0, i - n):i]
+            m = float(np.median(before)) if len(before) else 0.0
+            assert median[i] == m and mad[i] == (float(np.median(np.abs(before - m))) if len(before) else 0.0)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_grid_finds_the_pairs_of_the_distance_matrix(seed):
     rng = np.random.default_rng(seed)
