@@ -100,6 +100,22 @@ def test_schema_rules():
     assert tool_calls.violations({"n": True}, rule) == [".n:type"] and tool_calls.violations([], rule) == [":type"]
 
 
+def test_malformed_arguments_and_schemas_have_defined_errors(spark):
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    cases = [(r'{"k":"\ud800"}', "any", ""), (r'{"\udfff":1}', "closed", r".\udfff:additional"), (deep, "any", ":depth"), ("[" * 100000, "any", ":depth"),
+             ('{"v":null}', "union", ""), ('{"v":1}', "union", ".v:type"), ("{}", "odd", ":schema"), ("{}", "text", ":schema"), ("{}", "list", ":schema"),
+             ("{}", "deep", ":schema"), ("{}", "rule", ":schema"), ('{"x":NaN}', "any", ":json"), ('{"x":1e999}', "any", ":json"), ("", "any", ":json"),
+             (None, "any", ":type"), ('{"x":1}', "never", ".x:never"), ("{}", "lost", "unknown_tool"), ('{"x":"' + "[" * 500 + '"}', "any", "")]
+    schemas = [("any", '{"type":"object"}'), ("closed", '{"additionalProperties":false}'), ("union", '{"properties":{"v":{"type":["string","null"]}}}'),
+               ("odd", '{"type":"thing"}'), ("text", "{no json"), ("list", "[1]"), ("deep", deep), ("rule", '{"required":5}'), ("never", '{"properties":{"x":false}}')]
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": n, "arguments": a, "after": []}]}), 1, 1) for i, (a, n, _) in enumerate(cases)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level int, errors int")
+    out = {r.call_id: r for r in tool_calls.link_tool_calls(messages, spark.createDataFrame(schemas, "name string, schema string")).collect()}
+    assert {k: r.errors for k, r in out.items()} == {f"c{i}": e for i, (_, _, e) in enumerate(cases)}
+    assert out["c0"].message == r'{"arguments":{"k":"\ud800"},"id":"c0","name":"any","result":null}'
+    assert json.loads(out["c2"].message)["arguments"] is None and all(json.loads(r.message) for r in out.values())
+
+
 # ---- 2 line rules
 
 def test_line_figures_by_brute_force(texts):

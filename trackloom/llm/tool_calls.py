@@ -9,8 +9,10 @@ makes calls; ``after`` lists the calls whose results it needs. A tool message ``
   a topological order. Conversations are cut into chunks of ``CHUNK_TURNS`` turns, so no task holds a long one. A round settles
   in every chunk what waits only for settled calls or for calls of the chunk; what crosses chunks takes further rounds, one per
   crossing of the longest path. What no round settles lies on or behind a cycle and has a null level.
-* Arguments are checked against the JSON schema of the tool (type, required, properties, enum, minimum, maximum,
-  additionalProperties).
+* Arguments are checked against the JSON schema of the tool (type, also a list of types, required, properties, enum, minimum, maximum,
+  items, additionalProperties; true and false as schemas). ``errors`` is "unknown_tool" without a schema, ":schema" where the schema is no
+  JSON or not of that form, ":json" where the arguments are no JSON (NaN and infinite numbers are none), ":depth" where they are nested
+  more than ``DEPTH`` deep; in the last two cases the message holds null arguments.
 
 Defined results: of calls that share an identifier in a conversation the first by (turn, position, arguments) counts and
 ``n_calls`` tells how many there were; of results likewise by (turn, content). Results without a call are returned with
@@ -21,6 +23,8 @@ own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,25 +40,83 @@ CHUNK_TURNS = 512
 SHARD_CALLS = 4096
 
 
+DEPTH = 128  # arguments and schemas nested deeper are not read
+NESTING = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[{\]}]', re.S)
+LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys and no blanks; equal values give equal texts."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no blanks; values equal in kind and content give equal texts. Lone surrogates stay escapes."""
+    return written(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
-_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+def written(text: str) -> str:
+    """The text with lone surrogates as escapes: UTF-8 cannot hold them."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
-def violations(value, schema: dict, path: str = "") -> list[str]:
-    """What of ``schema`` the value breaks, as "path:rule" in a fixed order."""
-    found = []
+def _finite(number: str) -> float:
+    if math.isinf(value := float(number)):
+        raise ValueError(number)
+    return value
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def parsed(text: str):
+    """The value of a JSON text; ValueError where it is none (NaN and infinities are none) and OverflowError where it is nested too deep."""
+    depth = most = 0
+    for m in NESTING.finditer(text):
+        depth += (m[0] in "[{") - (m[0] in "]}")
+        most = max(most, depth)
+    if most > DEPTH:
+        raise OverflowError(most)
+    return json.loads(text, parse_constant=_no_constant, parse_float=_finite)
+
+
+_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
+
+
+def is_kind(value, kind: str) -> bool:
+    return isinstance(value, _KINDS[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def kinds_of(schema: dict) -> list[str]:
+    """The types a schema allows; none named: all."""
     kind = schema.get("type")
-    if kind == "integer":
-        fits = isinstance(value, int) and not isinstance(value, bool)
-    elif kind == "number":
-        fits = isinstance(value, (int, float)) and not isinstance(value, bool)
-    else:
-        fits = kind is None or isinstance(value, _KINDS[kind])
-    if not fits:
+    return [] if kind is None else kind if isinstance(kind, list) else [kind]
+
+
+def well_formed(schema) -> bool:
+    """Every rule of the schema that is read has the form it needs; a schema is an object, or true or false."""
+    if isinstance(schema, bool):
+        return True
+    if not isinstance(schema, dict) or not all(isinstance(k, str) and k in _KINDS for k in kinds_of(schema)):
+        return False
+    properties, required = schema.get("properties", {}), schema.get("required", [])
+    return (isinstance(properties, dict) and all(map(well_formed, properties.values())) and isinstance(required, list)
+            and all(isinstance(k, str) for k in required) and isinstance(schema.get("enum", []), list) and well_formed(schema.get("items", True))
+            and all(is_kind(schema.get(k, 0), "number") for k in ("minimum", "maximum")))
+
+
+def schema_of(text: str) -> dict | bool | None:
+    """The schema a text holds, or null where it holds none."""
+    try:
+        schema = parsed(text)
+    except (ValueError, OverflowError):
+        return None
+    return schema if well_formed(schema) else None
+
+
+def violations(value, schema: dict | bool, path: str = "") -> list[str]:
+    """What of a well-formed ``schema`` the value breaks, as "path:rule" in a fixed order."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}:never"]
+    found = []
+    kinds = kinds_of(schema)
+    if kinds and not any(is_kind(value, k) for k in kinds):
         return [f"{path}:type"]
     if "enum" in schema and value not in schema["enum"]:
         found.append(f"{path}:enum")
@@ -80,13 +142,17 @@ CHECKED = StructType([StructField("errors", StringType()), StructField("message"
 def checked(call_id: pd.Series, name: pd.Series, arguments: pd.Series, schema: pd.Series, result: pd.Series) -> pd.DataFrame:
     out = []
     for i, n, a, s, r in zip(call_id, name, arguments, schema, result):
+        value, errors = None, []
         try:
-            value, errors = json.loads(a if a is not None else "null"), []
+            value = parsed(a) if a is not None else None
+        except OverflowError:
+            errors = [":depth"]
         except ValueError:
-            value, errors = None, [":json"]
+            errors = [":json"]
         if not errors:
-            errors = violations(value, json.loads(s)) if s is not None else ["unknown_tool"]
-        out.append((",".join(errors), canonical({"arguments": value, "id": i, "name": n, "result": r})))
+            rules = schema_of(s) if s is not None else None
+            errors = ["unknown_tool"] if s is None else [":schema"] if rules is None else violations(value, rules)
+        out.append((written(",".join(errors)), canonical({"arguments": value, "id": i, "name": n, "result": r})))
     return pd.DataFrame(out, columns=CHECKED.names)
 
 
