@@ -165,13 +165,12 @@ def near_pairs(at: np.ndarray, here: np.ndarray, radius: np.ndarray) -> tuple[np
     Many points are looked up by the cells of a grid as wide as the largest radius: the candidates lie sorted by cell, and the
     three cells above each other in one column are one run of that order. Few points are compared at once; the pairs are the same.
     """
-    usable = np.flatnonzero(np.isfinite(at).all(axis=1))
-    there = np.flatnonzero(np.isfinite(here).all(axis=1))
-    if not len(usable) or not len(there):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if len(usable) * len(there) <= DENSE:
-        track, cand = np.repeat(usable, len(there)), np.tile(there, len(usable))
+    if len(at) * len(here) <= DENSE:
+        track, cand = np.repeat(np.arange(len(at)), len(here)), np.tile(np.arange(len(here)), len(at))
     else:
+        usable, there = np.flatnonzero(np.isfinite(at).all(axis=1)), np.flatnonzero(np.isfinite(here).all(axis=1))
+        if not len(usable) or not len(there):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         width = max(float(radius[usable].max()), 1e-9)
         low = here[there].min(axis=0)
         cell = np.floor((here[there] - low) / width).astype(np.int64) + 1
