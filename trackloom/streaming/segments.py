@@ -2,39 +2,160 @@
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from trackloom.operators.rallies import START_STATE, rally_machine
+from trackloom.operators.rallies import ENDING, LIVE, START_STATE, STARTING, rally_machine
 from trackloom.settings import RallySettings
 
-OUTPUT = "source_id long, start_frame long, end_frame long, at_frame long"
-STATE = "machine string, next_frame long, waiting string"
+OUTPUT = "source_id long, start_frame long, end_frame long, at_frame long, kind string"
+PLACE = "entry string, due long, last_ms long, gap_ms long, end_ms long"
+BLOCK = 512  # frames that wait in one entry of the state
 
 
-def stream_segment(evidence: DataFrame, settings: RallySettings = RallySettings(), first_frame: int = 0) -> DataFrame:
-    """Finished intervals as they end. ``evidence``: source_id, frame, bits (see ``with_evidence``).
+def open_start(entry: str) -> int | None:
+    """First frame of the interval a machine state leaves open; None if it leaves none that counts."""
+    name, _, *more = json.loads(entry)
+    counts = name in (LIVE, ENDING) or name == STARTING and (more[2] or not more[1])
+    return more[0] if counts else None
 
-    Frames may arrive out of order within and across batches: they wait in the state until the frames
-    before them are there, and frames already consumed are ignored.
+
+class Segmenter(StatefulProcessor):
+    """One source: the machine's state and next due frame in a value, frames that came early in a map of blocks.
+
+    Of the waiting frames a task holds those of one block and one Arrow batch at a time; the rest stays in the state store.
+    """
+
+    def __init__(self, settings: RallySettings, first_frame: int, patience_ms: int, idle_ms: int):
+        self.settings, self.first_frame, self.patience_ms, self.idle_ms = settings, first_frame, patience_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.machine = rally_machine(self.settings, "spans")
+        self.place = handle.getValueState("place", PLACE)
+        self.waiting = handle.getMapState("waiting", "block long", "frames array<bigint>, bits array<int>, ms array<bigint>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        for pdf in rows:
+            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+            self.last_ms = max(self.last_ms, int(ms.max()))
+            came = {int(f): (int(b), int(t)) for f, b, t in zip(pdf["frame"], pdf["bits"], ms) if f >= self.due}
+            yield from self._advance(key, came, timerValues.getCurrentWatermarkInMs(), False)
+        self._save(None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        expired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        over = self.end_ms is not None and self.end_ms <= now
+        yield from self._advance(key, {}, now, over)
+        if over:
+            start, last = open_start(self.entry), self.due - 1
+            self.entry, self.last_ms = START_STATE, -1
+            if start is not None:
+                yield self._output(key, [max(start, self.first_frame)], [last], [last + 1], "open")
+        self._save(expired)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> None:
+        kept = self.place.get() if self.place.exists() else (START_STATE, self.first_frame, -1, None, None)
+        self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms = kept
+        self.blocks = {int(k[0]) for k in self.waiting.keys()} if self.waiting.exists() else set()
+        self.timers = {self.gap_ms, self.end_ms} - {None}
+
+    def _save(self, expired: int | None) -> None:
+        self.end_ms = self.last_ms + self.idle_ms if self.last_ms >= 0 else None
+        wanted, there = {self.gap_ms, self.end_ms} - {None}, self.timers - {expired}
+        for t in there - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - there:
+            self.handle.registerTimer(t)
+        self.place.update((self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms))
+
+    def _take(self, block: int) -> dict[int, tuple[int, int]]:
+        """The waiting frames of a block, which leave the state."""
+        frames, bits, ms = self.waiting.getValue((block,))
+        self.waiting.removeKey((block,))
+        self.blocks.discard(block)
+        return {f: (b, t) for f, b, t in zip(frames, bits, ms) if f >= self.due}
+
+    def _advance(self, key: tuple, held: dict[int, tuple[int, int]], now: int, over: bool) -> Iterator[pd.DataFrame]:
+        """Feed the machine all frames that are due; give up frames that the watermark says are lost."""
+        order = list(held)
+        heapq.heapify(order)
+
+        def hold(more: dict) -> None:
+            for f in more:
+                if f not in held:
+                    heapq.heappush(order, f)
+            held.update(more)
+
+        ready, self.gap_ms = [], None
+        while True:
+            if self.due not in held and self.due // BLOCK in self.blocks:
+                hold(self._take(self.due // BLOCK))
+            if self.due in held:
+                ready.append((self.due, held.pop(self.due)[0]))
+                self.due += 1
+                if len(ready) == 16 * BLOCK:
+                    yield from self._feed(key, ready)
+                continue
+            while order and order[0] < self.due:
+                heapq.heappop(order)
+            if self.blocks and (not order or min(self.blocks) <= order[0] // BLOCK):
+                hold(self._take(min(self.blocks)))
+                continue
+            if not order:
+                break
+            deadline = held[order[0]][1] + self.patience_ms
+            if not over and deadline > now:
+                self.gap_ms = deadline
+                break
+            yield self._output(key, [self.due], [order[0] - 1], [order[0]], "gap")
+            self.due = order[0]
+        yield from self._feed(key, ready)
+        self._store(held)
+
+    def _store(self, held: dict[int, tuple[int, int]]) -> None:
+        by_block: dict[int, dict] = {}
+        for f, v in held.items():
+            by_block.setdefault(f // BLOCK, {})[f] = v
+        for block, rows in by_block.items():
+            if block in self.blocks:
+                rows = self._take(block) | rows
+            self.waiting.updateValue((block,), (list(rows), [b for b, _ in rows.values()], [t for _, t in rows.values()]))
+            self.blocks.add(block)
+
+    def _feed(self, key: tuple, ready: list) -> Iterator[pd.DataFrame]:
+        if ready:
+            rows, self.entry = self.machine(pd.DataFrame(ready, columns=["frame", "bits"]), self.entry)
+            ready.clear()
+            if rows["at_frame"]:
+                yield self._output(key, [max(s, self.first_frame) for s in rows["start_frame"]], rows["end_frame"], rows["at_frame"], "ended")
+
+    @staticmethod
+    def _output(key: tuple, starts: Iterable[int], ends: Iterable[int], at: Iterable[int], kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"start_frame": starts, "end_frame": ends, "at_frame": at}).assign(source_id=key[0], kind=kind)[
+            ["source_id", "start_frame", "end_frame", "at_frame", "kind"]]
+
+
+def stream_segment(evidence: DataFrame, settings: RallySettings = RallySettings(), first_frame: int = 0, late: str = "1 minute",
+                   patience_seconds: float = 0.0, idle_seconds: float = 60.0) -> DataFrame:
+    """Intervals as they end, and what the stream leaves open. ``evidence``: source_id, frame, bits (see ``with_evidence``), ts.
+
+    Frames may arrive out of order within and across batches: they wait in the state until the frames before them are
+    there; frames already consumed are ignored. ``kind`` of a row: "ended"; "gap": frames given up because the watermark
+    (``late`` behind the newest ``ts``) passed the first frame after them by ``patience_seconds``, the machine goes on behind
+    them; "open": play that was still on when the source had been silent for ``idle_seconds`` of event time, for review.
+    A source that speaks again after that starts at rest and goes on with its next frame. Needs the RocksDB state store.
     """
-    machine = rally_machine(settings, "spans")
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry, due, held = state.get if state.exists else (START_STATE, first_frame, "{}")
-        waiting = {int(f): b for f, b in json.loads(held).items()}
-        for pdf in batches:
-            waiting.update((int(f), int(b)) for f, b in zip(pdf["frame"], pdf["bits"]) if f >= due)
-        ready = []
-        while due in waiting:
-            ready.append((due, waiting.pop(due)))
-            due += 1
-        rows, entry = machine(pd.DataFrame(ready, columns=["frame", "bits"]), entry)
-        state.update((entry, due, json.dumps(waiting)))
-        yield pd.DataFrame({"source_id": [key[0]] * len(rows["at_frame"]), **rows})
-
-    return evidence.groupBy("source_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    processor = Segmenter(settings, first_frame, int(patience_seconds * 1000), int(idle_seconds * 1000))
+    return evidence.select("source_id", "frame", "bits", "ts").withWatermark("ts", late).groupBy("source_id").transformWithStateInPandas(
+        processor, OUTPUT, "Append", "eventTime")
