@@ -41,4 +41,4 @@ def test_chunk_size_does_not_matter(spark, duck, small_chunks, name):
 def test_every_query_reads_the_tables():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
     without = set(plans.QUERIES) - set(plans.ORACLES)
-    assert without == {"fit_calibrations", "link_candidates", "decode_hypotheses", "track_handoff", "temporal_pose_validation", "train_frame_classifier"}
+    assert without == {"fit_calibrations", "link_candidates", "decode_hypotheses", "track_handoff", "train_frame_classifier"}

@@ -286,6 +286,28 @@ def _(spark, sf):
     return rounded(rows.select("source_id", "slot", "frame", "temporal_status", "quality", mean("x").alias("mean_x"), mean("y").alias("mean_y")))
 
 
+cte("tp_image", f"""SELECT *, (img[12].x + img[13].x + img[24].x + img[25].x)/4 AS tx, (img[12].y + img[13].y + img[24].y + img[25].y)/4 AS ty FROM (
+    SELECT source_id, slot, frame, bbox, vec_id % 11 <> 0 AS has, marks,
+      CASE WHEN vec_id % 11 <> 0 THEN list_transform(marks, lambda m: {{'x': bbox[1] + m.x*101, 'y': bbox[2] + m.y*203}}) END AS img,
+      CASE WHEN marks IS NULL THEN 0.0::DOUBLE ELSE 0.6::DOUBLE*{_SIGHT(ops.TORSO)} + 0.4::DOUBLE*{_SIGHT(ops.LIMBS)} END AS q FROM lp)""", ("lp",))
+cte("tp_next", """SELECT *, lead(img) OVER w AS nimg, lead(tx) OVER w AS ntx, lead(ty) OVER w AS nty, lead(q) OVER w AS nq FROM tp_image
+    WINDOW w AS (PARTITION BY source_id, slot ORDER BY frame)""", ("tp_image",))
+_APART = lambda x, y, u, v, limit: f"sqrt(pow({x} - {u}, 2) + pow({y} - {v}, 2)) <= {limit}*sqrt(({W}*{W} + {H}*{H})::DOUBLE)"
+cte("tp", f"""SELECT source_id, slot, -1::BIGINT AS frame, NULL::VARCHAR AS status, NULL::STRUCT(x DOUBLE, y DOUBLE)[] AS img, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty, NULL::DOUBLE AS q
+    FROM (SELECT DISTINCT source_id, slot FROM tp_image)
+  UNION ALL
+  SELECT source_id, slot, frame, CASE WHEN NOT has THEN NULL WHEN NOT near THEN 'original' WHEN fits THEN 'validated' WHEN seen THEN 'rejected_jump_interpolated' ELSE 'interpolated_single_gap' END,
+    CASE WHEN near AND NOT fits THEN list_transform(range(1, 33), lambda i: {{'x': (pimg[i].x + nimg[i].x)/2, 'y': (pimg[i].y + nimg[i].y)/2}}) ELSE img END,
+    CASE WHEN near AND NOT fits THEN mx ELSE tx END, CASE WHEN near AND NOT fits THEN my ELSE ty END, CASE WHEN NOT has THEN NULL WHEN near AND NOT fits THEN least(pq, nq) ELSE q END
+  FROM (SELECT *, coalesce(seen AND {_APART('tx', 'ty', 'mx', 'my', '0.10::DOUBLE')}, false) AS fits
+    FROM (SELECT e.*, m.img AS pimg, m.q AS pq, (m.tx + e.ntx)/2 AS mx, (m.ty + e.nty)/2 AS my, e.img IS NOT NULL AND e.q >= 0.55 AS seen,
+        coalesce(e.has AND m.img IS NOT NULL AND e.nimg IS NOT NULL AND {_APART('m.tx', 'm.ty', 'e.ntx', 'e.nty', '0.12::DOUBLE')}, false) AS near
+      FROM tp m JOIN tp_next e ON e.source_id = m.source_id AND e.slot = m.slot AND e.frame = m.frame + 1))""", ("tp_next",))
+oracle("temporal_pose_validation", f"""SELECT source_id, slot, frame, status AS temporal_status, round(q, 6) + 0.0 AS quality,
+    round(list_avg(list_transform(img, lambda p: (p.x - bbox[1])/101)), 6) + 0.0 AS mean_x, round(list_avg(list_transform(img, lambda p: (p.y - bbox[2])/203)), 6) + 0.0 AS mean_y
+  FROM (SELECT tp.*, bbox FROM tp JOIN tp_image USING (source_id, slot, frame))""", ("tp", "tp_image"), recursive=True)
+
+
 def activity(spark, sf):
     return ops.player_activity(landmark_poses(spark, sf).filter("has_record"), W, H)
 
