@@ -498,6 +498,21 @@ def test_mixing_targets_and_edges(spark, words_of_many):
     assert mixing.mix_sources(none, mixing.source_plan(mixing.sized_documents(none))).count() == 0
 
 
+def test_mixing_draws_rows_without_ids_and_repeated_rows_apart(spark, monkeypatch):
+    """A source of rows without an id, one of a row repeated often: both come near a fractional target."""
+    monkeypatch.setattr(mixing, "RUN", 64)
+    rows = [(None, "a", f"w{i} " * 10) for i in range(2000)] + [(7, "b", "same words here")] * 3000 + [(i, "c", "x") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = mixing.materialize(mixing.numbered_repeats(mixing.sized_documents(docs)))
+    assert sized.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.countDistinct("repeat_no").alias("d"), F.max("repeat_no").alias("m")).filter("n <> d OR n <> m").count() == 0
+    mixed = mixing.mix_sources(sized, mixing.source_plan(sized), F.col("size"), F.col("digest"), F.col("repeat_no"))
+    got = {r.source: r for r in mixed.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()}
+    assert {k: r.n for k, r in got.items()} == {"a": 2000, "b": 3000, "c": 50}
+    for r in got.values():
+        assert abs(r.taken - r.target) <= 0.02 * r.target + 10, r
+    assert all(0.1 < got[k].target / got[k].size % 1 < 0.9 for k in "ab")
+
+
 # ---- pipeline
 
 def test_pipeline_equals_its_plain_version(spark, docs, texts):

@@ -4,8 +4,9 @@ All native. The documents are read once for their sizes; what follows works on (
 one row per source. Sums per source are combined before the shuffle, so a source with a third of all rows is no
 hot task, and the per-source figures reach the documents by a size-checked lookup.
 
-Defined results: a null text has size 0; a null source is a source of its own, ordered last; rows that repeat a
-``doc_id`` draw alike and are all returned; a source without words has target 0 and takes nothing; an empty table
+Defined results: a null text has size 0; a null source is a source of its own, ordered last; rows of one ``doc_id`` (or none)
+with different texts draw independently, and so do rows that repeat id, source and text where ``numbered_repeats`` has numbered
+them (the query does; without it they draw alike); all rows are returned; a source without words has target 0 and takes nothing; an empty table
 gives an empty table. Columns of the input that are not named here play no part, whatever they are called.
 """
 
@@ -21,6 +22,7 @@ from trackloom.llm.common import documents, lookup, materialize, n_words, oracle
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5     # words the mix takes, as a multiple of all words
 CEILING = 2.0   # times a source may be repeated at most
+RUN = 4096      # repeats of a row that one task numbers at a time
 DRAWS = 8       # draws a document has; 8 hex digits of one SHA-256 each
 
 
@@ -52,19 +54,28 @@ def fill_level(sources: DataFrame, goal: float, ceiling: float) -> float | None:
         level, stopped = (goal - ceiling * row["full"]) / row["open"], row["n"]
 
 
-def draw(doc_id: Column, k: int) -> Column:
-    """The k-th hash-seeded number of a document, in [0, 1)."""
-    digest = F.sha2(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def draw_key(doc_id: Column, digest: Column, repeat_no: Column) -> Column:
+    """What seeds a row's draws: id, text and its number among equal rows."""
+    return F.concat_ws(":", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")), digest, repeat_no.cast("string"))
+
+
+def draw(key: Column, k: int) -> Column:
+    """The k-th hash-seeded number of a row, in [0, 1)."""
+    digest = F.sha2(key, 256)
     return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") / F.lit(2.0 ** 32)
 
 
-def copies(doc_id: Column, rate: Column, k: int) -> Column:
+def copies(key: Column, rate: Column, k: int) -> Column:
     whole = F.floor(rate)
-    return (whole + (draw(doc_id, k) < rate - whole).cast("long")).cast("long")
+    return (whole + (draw(key, k) < rate - whole).cast("long")).cast("long")
 
 
 def source_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """One row per source: source, source_size, target, rate, draw_no; from (doc_id, source, size) rows.
+    """One row per source: source, source_size, target, rate, draw_no; from (doc_id, source, size, digest, repeat_no) rows.
 
     A Bernoulli draw per document has an error that matters for sources of few documents. Every document has ``DRAWS``
     independent draws, and each source uses the one whose sum comes nearest to its target; all sums come from one
@@ -83,25 +94,26 @@ def source_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling
                    .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling))))
                                         .otherwise(F.lit(0.0)))
                    .select(F.col("source").alias("p_source"), "source_size", "target", "rate"))
-    joined = lookup(sized.select("doc_id", "source", "size"), plan, F.col("source").eqNullSafe(F.col("p_source")), "inner")
-    sums = joined.groupBy("p_source").agg(*[F.sum(F.col("size") * copies(F.col("doc_id"), F.col("rate"), k)).alias(f"k{k}") for k in range(DRAWS)])
+    joined = lookup(sized.select("source", "size", draw_key(F.col("doc_id"), F.col("digest"), F.col("repeat_no")).alias("draw_key")), plan, F.col("source").eqNullSafe(F.col("p_source")), "inner")
+    sums = joined.groupBy("p_source").agg(*[F.sum(F.col("size") * copies(F.col("draw_key"), F.col("rate"), k)).alias(f"k{k}") for k in range(DRAWS)])
     miss = sums.join(plan.select(F.col("p_source").alias("source"), "source_size", "target", "rate"), F.col("source").eqNullSafe(F.col("p_source")))
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)]))
     return materialize(miss.select("source", "source_size", "target", "rate", best["k"].alias("draw_no")), "mix")
 
 
-def mix_sources(docs: DataFrame, plan: DataFrame, size: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, plan: DataFrame, size: Column | None = None, digest: Column | None = None, repeat_no: Column | None = None) -> DataFrame:
     """The documents with size, source_size, target, copies and taken, from the ``source_plan`` of their sources.
 
-    Columns of ``docs`` with one of these five names are replaced.
+    ``size``, ``digest`` and ``repeat_no`` stand for the text's own and 1, as in ``sized_documents``. Columns of ``docs`` with one of these five names are replaced.
     """
     added = ("size", "source_size", "target", "copies", "taken")
     own = [F.col(f"packed_row.`{c}`").alias(c) for c in docs.columns if c not in added]
-    rows = pack(docs, m_id=F.col("doc_id"), m_source=F.col("source"), m_size=n_words(F.col("text")) if size is None else size)
+    key = draw_key(F.col("doc_id").cast("long"), text_digest(F.col("text")) if digest is None else digest, F.lit(1) if repeat_no is None else repeat_no)
+    rows = pack(docs, m_key=key, m_source=F.col("source"), m_size=n_words(F.col("text")) if size is None else size)
     side = plan.select(F.col("source").alias("p_source"), F.col("source_size").alias("p_size"), F.col("target").alias("p_target"),
                        F.col("rate").alias("p_rate"), F.col("draw_no").alias("p_draw"))
     rows = lookup(rows, side, F.col("m_source").eqNullSafe(F.col("p_source")), "inner")
-    chosen = reduce(lambda rest, k: F.when(F.col("p_draw") == k, copies(F.col("m_id"), F.col("p_rate"), k)).otherwise(rest),
+    chosen = reduce(lambda rest, k: F.when(F.col("p_draw") == k, copies(F.col("m_key"), F.col("p_rate"), k)).otherwise(rest),
                     range(DRAWS), F.lit(None).cast("long"))
     return rows.select(*own, F.col("m_size").alias("size"), F.col("p_size").alias("source_size"), F.col("p_target").alias("target"),
                        chosen.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
@@ -114,14 +126,30 @@ def emit_copies(mixed: DataFrame) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size), stored: the only thing of the texts that the plan needs."""
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    """(doc_id, source, size, digest, repeat_no), stored: the only thing of the texts that the plan needs; ``repeat_no`` is 1."""
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"),
+                                   text_digest(F.col("text")).alias("digest"), F.lit(1).cast("long").alias("repeat_no")), "sizes")
+
+
+def numbered_repeats(sized: DataFrame) -> DataFrame:
+    """The same rows with ``repeat_no`` counting from 1 within equal ones.
+
+    Equal rows are counted and written out anew, so their number costs no window; the numbers of a row repeated more than
+    ``RUN`` times are dealt to the tasks by runs.
+    """
+    key = ["doc_id", "source", "size", "digest"]
+    counted = materialize(sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "repeats")
+    few = counted.filter(F.col("n") <= RUN).select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("repeat_no"))
+    runs = counted.filter(F.col("n") > RUN).select(*key, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(RUN).cast("long"))).alias("begin"))
+    many = runs.repartition("digest", "begin").select(*key, F.explode(F.sequence("begin", F.least("n", F.col("begin") + RUN - 1))).alias("repeat_no"))
+    return few.unionByName(many)
 
 
 @query("op10_mix_sources")
 def op10_mix_sources(spark, sf_dir):
-    sized = sized_documents(documents(spark, sf_dir))
-    return mix_sources(sized, source_plan(sized), F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    sized = materialize(numbered_repeats(sized_documents(documents(spark, sf_dir))), "numbered")
+    mixed = mix_sources(sized, source_plan(sized), F.col("size"), F.col("digest"), F.col("repeat_no"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def mixing_sql(docs: str) -> str:
@@ -132,7 +160,8 @@ def mixing_sql(docs: str) -> str:
     chosen = " ".join(f"WHEN draw_no = {k} THEN u{k}" for k in range(DRAWS))
     return f"""
 mix_sized AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM {docs}),
+    sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':'
+      || row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, '')))) AS digest FROM {docs}),
 mix_drawn AS (SELECT *, {draws} FROM mix_sized),
 mix_totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM mix_sized GROUP BY source),
 mix_weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM mix_totals),
