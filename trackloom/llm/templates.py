@@ -41,57 +41,58 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mile", "miles", "meter", "met
          "lbs", "pounds", "tons", "ml", "l", "liter", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hour", "hours",
          "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollars", "euros", "cents", "percent", "degrees",
          "mph", "km/h", "kmh", "hz", "khz", "mhz", "w", "kw", "v", "gb", "mb", "kb", "tb")
-BLANKS = r"[\x20\x09-\x0D]+"
 MARK = r"[.,;:!?\"'()\[\]{}«»“”„¿¡]"
 NUMBER = MARK[:-1] + r"\p{Sc}+\-\u2212\u2013\u00B1~#]*[0-9][^ ]*"  # marks, signs and currencies, then a digit
+# rewriting steps over a text whose words each follow one space; STARTS puts a line break, which no word holds, before names at sentence starts
+STARTS = r" (?<![^.?!: ] )(?=" + MARK + r"*\p{Lu})"
+NAMES = r" (?<=[^.?!: ] )" + MARK + r"*\p{Lu}[^ ]*"
+MEASURES = r" <num> (\n?)(?:" + "|".join(UNITS) + ")(?=" + MARK + "*(?: |$))"
+EDGES = r"(?<![^ ])" + MARK + r"++|(?<!" + MARK + ")" + MARK + r"++(?![^ ])"
 PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 # how a window reads its text: templates, wide templates, the words themselves
 PLAIN, WIDE, LITERAL = 0, 1, 2
 
 
-def _template(spaced: Column, name_start: str) -> Column:
-    named = F.regexp_replace(spaced, name_start + MARK + r"*\p{Lu}[^ ]*", "<name>")
-    counted = F.lower(F.regexp_replace(named, "(?<![^ ])" + NUMBER, "<num>"))
-    measured = F.regexp_replace(counted, "(?<=<num> )(?:" + "|".join(UNITS) + ")(?=" + MARK + "*(?: |$))", "<unit>")
-    return F.split(F.translate(measured, MARKS, ""), " ")
-
-
 def template_columns(df: DataFrame, text: str = "text", with_tokens: bool = True) -> DataFrame:
-    """Adds ``template``, ``wide`` and, if asked, ``tokens`` (the words without marks, case kept) and ``literal`` (these in lower
-    case, told from templates by a mark); all have one entry per word.
+    """Adds ``template``, ``wide`` and, if asked, ``tokens`` (the words without marks at their ends, case kept) and ``literal``
+    (these in lower case, told from templates by a mark); all have one entry per word.
 
-    Whole texts are rewritten by a few patterns rather than word by word; every pattern maps one word to one word.
+    Whole texts are rewritten by a few patterns rather than word by word; every pattern maps one word to one word. The wide
+    template is cut from the first one's text, which tells its sentence starts, and only where there are any.
     """
-    spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, " "))
-    out = df.withColumns({"template": _template(spaced, r"(?<=[^.?!: ] )"), "wide": _template(spaced, "(?<![^ ])")})
-    if not with_tokens:
-        return out
-    return with_literal(out.withColumn("tokens", F.transform(F.split(spaced, " "), lambda x: F.btrim(x, F.lit(MARKS)))))
-
-
-def with_literal(df: DataFrame) -> DataFrame:
-    return df.withColumn("literal", F.transform("tokens", lambda x: F.concat(F.lit("="), F.lower(x))))
-
-
-def window_hashes(names: Column, n: int) -> Column:
-    """Hashes of the windows of ``n`` entries of an array of token hashes, by position."""
-    starts = F.when(F.size(names) >= n, F.sequence(F.lit(0), F.size(names) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(names, i + k) for k in range(n)]))
+    kept = df.columns
+    single = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " "), " {2,}", " ")
+    named = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), "spaced"), STARTS, " \n"), NAMES, " <name>")
+    measured = F.regexp_replace(F.lower(F.regexp_replace(named, " " + NUMBER, " <num>")), MEASURES, " <num> $1<unit>")
+    entries = lambda c: F.split(F.substr(c, F.lit(2)), " ")
+    read = (df.withColumn("spaced", F.trim(single)).withColumn("marked", F.regexp_replace(measured, MARK + "+", "")).withColumn("starts", F.contains("marked", F.lit("\n")))
+            .withColumns({"template": entries(F.replace("marked", F.lit("\n"), F.lit(""))),
+                          "wide": F.when(F.col("starts"), entries(F.regexp_replace("marked", r"\n[^ ]*", "<name>")))}))
+    bare = F.regexp_replace("spaced", EDGES, "")
+    words = {"tokens": F.split(bare, " "), "literal": F.split(F.lower(F.concat(F.lit("="), F.replace(bare, F.lit(" "), F.lit(" =")))), " ")} if with_tokens else {}
+    return read.withColumns({"wide": F.coalesce("wide", "template"), "wider": F.col("starts"), **words}).select(*kept, "template", "wide", "wider", *words)
 
 
 def windows_of(df: DataFrame, keys: list[str], n: int, literal: bool = False) -> DataFrame:
     """(keys, at, reading, n, hash): the windows of ``n`` tokens of every row's ``template``, those that differ in ``wide``, and
-    if asked those of ``literal``."""
-    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    named = df.select(*keys, hashed("template").alias("names"), hashed("wide").alias("wider"), *([hashed("literal").alias("words")] if literal else []))
-    cut = named.select(*keys, window_hashes(F.col("names"), n).alias("plain_hashes"), window_hashes(F.col("wider"), n).alias("wide_hashes"),
-                       *([window_hashes(F.col("words"), n).alias("literal_hashes")] if literal else []))
-    other = F.zip_with("wide_hashes", "plain_hashes", lambda w, p: F.when(w != p, w))
-    readings = F.array(F.struct(F.lit(PLAIN).alias("reading"), F.col("plain_hashes").alias("hashes")), F.struct(F.lit(WIDE).alias("reading"), other.alias("hashes")),
-                       *([F.struct(F.lit(LITERAL).alias("reading"), F.col("literal_hashes").alias("hashes"))] if literal else []))
-    read = cut.select(*keys, F.explode(readings).alias("r"))
-    return (read.select(*keys, "r.reading", F.posexplode("r.hashes").alias("at", "hash")).filter("hash IS NOT NULL")
-            .select(*keys, "at", "reading", F.lit(n).alias("n"), "hash"))
+    if asked those of ``literal``.
+
+    One row per window and reading, cut and hashed after the rows are told apart, so that all of it is generated code.
+    """
+    count = F.size("template") - (n - 1)
+    readings = F.when(F.lit(literal), F.lit(3)).when(F.col("wider"), F.lit(2)).otherwise(F.lit(1))
+    # the outer form keeps the optimizer from a filter on the size, which would rewrite every text once more
+    entries = [c for c in ["template", "wide", "wider", *(["literal"] if literal else [])] if c not in keys]
+    rows = df.withColumn("n_windows", count).select(*keys, *entries, "n_windows", F.explode_outer(
+        F.when(F.col("n_windows") > 0, F.sequence(F.lit(0), F.col("n_windows") * readings - 1))).alias("i")).filter("i IS NOT NULL")
+    rows = rows.withColumn("reading", F.when(F.col("i") < F.col("n_windows"), F.lit(PLAIN)).when(F.col("i") < F.col("n_windows") * 2, F.lit(WIDE)).otherwise(F.lit(LITERAL)))
+    rows = rows.withColumn("at", F.col("i") - F.col("reading") * F.col("n_windows"))
+    entry = lambda c, k: F.get(F.col(c), F.col("at") + k)
+    differs = reduce(lambda x, y: x | y, [entry("template", k) != entry("wide", k) for k in range(n)])
+    hashed = lambda c: F.xxhash64(*[entry(c, k) for k in range(n)])
+    value = F.when(F.col("reading") == PLAIN, hashed("template"))
+    value = value.when(F.col("reading") == WIDE, hashed("wide")).otherwise(hashed("literal")) if literal else value.otherwise(hashed("wide"))
+    return rows.filter((F.col("reading") != WIDE) | (F.col("wider") & differs)).select(*keys, "at", "reading", F.lit(n).alias("n"), value.alias("hash"))
 
 
 def _literals(window: Column) -> Column:
