@@ -468,6 +468,7 @@ def best_paths(graph: RegionGraph, ids: list[str], k: int, least_difference: flo
     return out
 
 
+PATHS_OUT = 2048  # paths that a task hands over at once
 HYPOTHESIS_FIELDS = ("rank long, tracklet_ids array<string>, frame_start long, frame_end long, total_score double, confidence double, motion double, "
                      "gap_penalty double, edge_score double")
 
@@ -493,6 +494,7 @@ def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame
     linked = linked.select(*key, "tracklet_id", "first_frame", "last_frame", "confidence", "links").repartition(*key).sortWithinPartitions(*key, "first_frame", "tracklet_id")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, paths = [*key, *(n.split(" ")[0] for n in names)], []
         for region in whole_groups(batches, key):
             ids = region["tracklet_id"].tolist()
             place = {t: i for i, t in enumerate(ids)}
@@ -502,9 +504,14 @@ def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame
             graph = RegionGraph(region["confidence"].to_numpy(float), table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), *table.T[2:])
             found = best_paths(graph, ids, settings.hypotheses_per_region, settings.minimum_difference)
             first, last = region["first_frame"].tolist(), region["last_frame"].tolist()
-            yield pd.DataFrame([(region["source_id"].iloc[0], region["region_id"].iloc[0], rank, [ids[j] for j in p["path"]], first[p["path"][0]], last[p["path"][-1]],
-                                 p["score"], p["confidence"], p["motion"], p["gap_penalty"], p["edge_score"]) for rank, p in enumerate(found, 1)],
-                               columns=[*key, *(n.split(" ")[0] for n in names)])
+            source, name = region["source_id"].iloc[0], region["region_id"].iloc[0]
+            paths += [(source, name, rank, [ids[j] for j in p["path"]], first[p["path"][0]], last[p["path"][-1]],
+                       p["score"], p["confidence"], p["motion"], p["gap_penalty"], p["edge_score"]) for rank, p in enumerate(found, 1)]
+            if len(paths) >= PATHS_OUT:  # a frame per region would cost more than most searches
+                yield pd.DataFrame(paths, columns=columns)
+                paths = []
+        if paths:
+            yield pd.DataFrame(paths, columns=columns)
 
     schema = f"source_id {dict(tracklets.dtypes)['source_id']}, region_id string, {HYPOTHESIS_FIELDS}"
     return linked.mapInPandas(search, schema).unionByName(alone)
