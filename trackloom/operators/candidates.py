@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.chunks import chunk_of, numbered
 from trackloom.components import connected_components
-from trackloom.folds import fold
+from trackloom.folds import fold, whole_blocks
 from trackloom.session import lookup, materialize
 from trackloom.settings import AssociationSettings, LinkSettings
 
@@ -54,27 +55,25 @@ def extract_components(activations: DataFrame, image_width: float, image_height:
                        thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """Connected components of sparse activation maps (source_id, frame, x, y, value) at each threshold.
 
-    Only the labelling runs in Python, for one activation map at a time; statistics are aggregates.
+    Only the labelling runs in Python, for the maps of one Arrow batch at a time; statistics are aggregates.
     """
     table = F.array(*[F.struct(F.lit(t).alias("threshold")) for t in thresholds])
-    cells = activations.select("source_id", "frame", "x", "y", "value", F.inline(table)).filter(F.col("value") > F.col("threshold"))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, part in pdf.groupby("threshold"):
-            part = part.sort_values(["frame", "y", "x"])
-            parts.append(part.assign(component=_component_labels(part[["frame", "y", "x"]].to_numpy(np.int64))))
-        return pd.concat(parts)
-
-    # maps are bounded by their fixed pixel count; a few frames share a group to amortise its overhead
-    blocks = cells.withColumn("block", F.floor(F.col("frame") / 16))
-    schema = f"source_id {dict(cells.dtypes)['source_id']}, frame long, x long, y long, value double, threshold double, block long, component long"
-    casted = blocks.select("source_id", F.col("frame").cast("long"), F.col("x").cast("long"), F.col("y").cast("long"),
-                           F.col("value").cast("double"), "threshold", "block")
-    labelled = casted.groupBy("source_id", "block").applyInPandas(label, schema)
+    kind, place = dict(activations.dtypes)["source_id"], ["source_id", "frame", "threshold"]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, bounds in whole_blocks(batches, place):
+            number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))  # of the map within the block
+            labels = _component_labels(np.stack([number, block["y"].to_numpy(), block["x"].to_numpy()], axis=1))
+            yield from block.append_column("component", pa.array(labels, pa.int64())).to_batches()
+
+    # maps are dealt out whole and sorted; all maps of a batch are labelled at once
+    casted = activations.select("source_id", F.col("frame").cast("long").alias("frame"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"),
+                                F.col("value").cast("double").alias("value")).repartition("source_id", "frame")
+    cells = casted.select("*", F.inline(table)).filter(F.col("value") > F.col("threshold")).sortWithinPartitions(*place, "y", "x")
+    labelled = cells.mapInArrow(label, f"source_id {kind}, frame long, x long, y long, value double, threshold double, component long")
     weight = lambda c: F.sum((F.col(c) + 0.5) * F.col("value")) / F.sum("value")
     first_peak = F.max_by(F.struct("x", "y"), F.struct("value", -F.col("y"), -F.col("x")))
-    stats = labelled.groupBy("source_id", "frame", "threshold", "component", "block").agg(
+    stats = labelled.groupBy("source_id", "frame", "threshold", "component").agg(
         F.min("x").alias("bx"), F.min("y").alias("by"), (F.max("x") - F.min("x") + 1).alias("bw"), (F.max("y") - F.min("y") + 1).alias("bh"),
         F.count(F.lit(1)).alias("area"), F.max("value").alias("peak"), F.avg("value").alias("mean"), F.sum("value").alias("total"),
         weight("x").alias("wx"), weight("y").alias("wy"), first_peak.alias("top"))
