@@ -12,10 +12,10 @@ from trackloom.streaming import labels, segments
 
 
 def as_stream(spark, df, parts, *order):
-    """Write ``df`` as ``parts`` files by a hash of its rows and read them one per trigger."""
-    path = scratch_path(spark, "stream-in")
+    """Write ``df`` as ``parts`` files, or one per core, by a hash of its rows: (stream that reads half of them per trigger, stored rows)."""
+    path, parts = scratch_path(spark, "stream-in"), max(parts, spark.sparkContext.defaultParallelism)
     df.repartition(parts, *order).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, parts // 2)).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, parts // 2)).parquet(path), spark.read.schema(df.schema).parquet(path)
 
 
 def drained(spark, stream, name, mode="append"):
@@ -28,8 +28,9 @@ def drained(spark, stream, name, mode="append"):
 @query("stream_replay")
 def _(spark, sf):
     """Final state per key of the streamed log; files mix the revisions of a key in any order."""
-    rows = drained(spark, labels.stream_replay(as_stream(spark, events(spark, sf), 4, "revision_id")), "replay")
-    heads = rows.join(rows.select(F.col("head_id").alias("gone")).join(events(spark, sf).select(F.col("superseded_revision").alias("gone")), "gone", "left_semi").distinct(), F.col("head_id") == F.col("gone"), "left_anti")
+    stream, log = as_stream(spark, events(spark, sf), 4, "revision_id")
+    rows = drained(spark, labels.stream_replay(stream), "replay")
+    heads = rows.join(rows.select(F.col("head_id").alias("gone")).join(log.select(F.col("superseded_revision").alias("gone")), "gone", "left_semi").distinct(), F.col("head_id") == F.col("gone"), "left_anti")
     return heads.select("task", "source_id", "frame", "head_id", "head_kind", "active_id", "active_kind")
 
 

@@ -1,6 +1,6 @@
 """Structured Streaming: label replay and trailing activity.
 
-State is per key and small; a RocksDB state store and a checkpoint in the shared folder are set by
+State is small, per source or per shard of label keys; a RocksDB state store and a checkpoint in the shared folder are set by
 ``stream_options``.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trackloom.session import scratch_path
 
 REPLAY_OUTPUT = "task string, source_id long, frame long, revision_id long, head_id long, head_kind string, active_id long, active_kind string"
-REPLAY_STATE = "pending string, head_id long, head_kind string, below_id long, below_kind string"
+REPLAY_STATE = "entries string"
+REPLAY_SHARDS = 4096  # keys are dealt to this many entries of the state
 
 
 def stream_options(spark: SparkSession, name: str) -> dict[str, str]:
@@ -24,39 +25,50 @@ def stream_options(spark: SparkSession, name: str) -> dict[str, str]:
     return {"checkpointLocation": scratch_path(spark, f"stream-{name}")}
 
 
-def advance_label(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply a key's new revisions in chain order; ones whose parent has not arrived wait in the state."""
+def advance_labels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Apply the new revisions of a shard's keys, each key's in chain order; ones whose parent has not arrived wait in the state.
+
+    The state holds per key [waiting, head, head's kind, revision below it, its kind].
+    """
     import json
-    waiting, head, kind, below, below_kind = ({}, None, None, None, None)
-    if state.exists:
-        pending, head, kind, below, below_kind = state.get
-        waiting = {None if k == "" else int(k): v for k, v in json.loads(pending).items()}
+    entries, touched = json.loads(state.get[0]) if state.exists else {}, {}
     for pdf in batches:
-        for r, k, s in zip(pdf["revision_id"], pdf["label_kind"], pdf["superseded_revision"]):
-            parent = None if pd.isna(s) else int(s)
-            if int(r) != head:
-                waiting[parent] = [int(r), k]
+        for k, r, kind, parent in zip(pdf["label_key"], pdf["revision_id"], pdf["label_kind"], pdf["superseded_revision"]):
+            entry = touched.get(k)
+            if entry is None:
+                entry = touched[k] = entries.setdefault(k, [{}, None, None, None, None])
+            if int(r) != entry[1]:
+                entry[0]["" if pd.isna(parent) else parent] = [int(r), kind]
     rows = []
-    while head in waiting:
-        r, k = waiting.pop(head)
-        before, before_kind = (below, below_kind)
-        below, below_kind, head, kind = head, kind, r, k
-        if k != "undo":
-            active = (r, k)
-        else:
-            # what an undo brings back is the revision before the undone one
-            active = (before, before_kind) if before is not None and before_kind != "undo" else (None, None)
-        rows.append((*key, r, head, kind, *active))
-    state.update((json.dumps({"" if k is None else str(k): v for k, v in waiting.items()}), head, kind, below, below_kind))
+    for k, entry in touched.items():
+        waiting, head, kind, below, below_kind = entry
+        of_key = json.loads(k)
+        of_key = [of_key.get(c) for c in ("task", "source_id", "frame")]
+        while (place := "" if head is None else str(head)) in waiting:
+            r, new_kind = waiting.pop(place)
+            before, before_kind = (below, below_kind)
+            below, below_kind, head, kind = head, kind, r, new_kind
+            if kind != "undo":
+                active = (r, kind)
+            else:
+                # what an undo brings back is the revision before the undone one
+                active = (before, before_kind) if before is not None and before_kind != "undo" else (None, None)
+            rows.append((*of_key, r, head, kind, *active))
+        entry[1:] = [head, kind, below, below_kind]
+    state.update((json.dumps(entries),))
     yield pd.DataFrame(rows, columns=["task", "source_id", "frame", "revision_id", "head_id", "head_kind", "active_id", "active_kind"]).astype(
-        {c: "Int64" for c in ("revision_id", "head_id", "active_id")})
+        {c: "Int64" for c in ("source_id", "frame", "revision_id", "head_id", "active_id")})
+
 
+def stream_replay(events: DataFrame, shards: int = REPLAY_SHARDS) -> DataFrame:
+    """Head and active label of a key after each accepted revision; the last row of a key is its state now.
 
-def stream_replay(events: DataFrame) -> DataFrame:
-    """Head and active label of a key after each accepted revision; the last row of a key is its state now."""
-    rows = events.select("task", "source_id", "frame", "revision_id", "label_kind", "superseded_revision")
-    return rows.groupBy("task", "source_id", "frame").applyInPandasWithState(
-        advance_label, REPLAY_OUTPUT, REPLAY_STATE, "append", GroupStateTimeout.NoTimeout)
+    Python is called once per shard of keys and trigger, not once per key; a long log's keys spread over all shards.
+    """
+    key = F.to_json(F.struct("task", "source_id", "frame"))
+    rows = events.select(key.alias("label_key"), "revision_id", "label_kind", F.col("superseded_revision").cast("string").alias("superseded_revision"))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("label_key"), F.lit(shards))).groupBy("shard").applyInPandasWithState(
+        advance_labels, REPLAY_OUTPUT, REPLAY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_activity(events: DataFrame, window: str = "30 minutes", slide: str = "10 minutes", late: str = "1 hour") -> DataFrame:
