@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.chunks import chunk_of, numbered
-from trackloom.components import connected_components
+from trackloom.components import grouped_components
 from trackloom.folds import fold, whole_blocks
 from trackloom.session import lookup, materialize
 from trackloom.settings import AssociationSettings, LinkSettings
@@ -337,9 +337,9 @@ def tracklet_edges(tracklets: DataFrame, fps: float, width: float, height: float
 def association_regions(tracklets: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components of the edge graph, numbered per source by their earliest tracklet."""
     node = lambda c: F.concat_ws("|", F.col("source_id").cast("string"), F.col(c))
-    groups = connected_components(edges.select(node("tail_id").alias("a"), node("head_id").alias("b")))
+    groups = grouped_components(edges.select(F.col("source_id").alias("group_id"), node("tail_id").alias("a"), node("head_id").alias("b")))
     rows = tracklets.select("source_id", "tracklet_id", "first_frame", "last_frame", node("tracklet_id").alias("node"))
-    rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.join(groups.withColumnRenamed("group_id", "source_id"), ["source_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
     first = rows.groupBy("source_id", "component").agg(F.min(F.struct("first_frame", "last_frame", "tracklet_id")).alias("lead"))
     first = numbered(first.select("source_id", "component", "lead.*"), ["source_id"], chunk_of("first_frame", 1 << 16), ["first_frame", "last_frame", "tracklet_id"], "n")
     ids = first.select("source_id", "component", F.format_string("r%04d", F.col("n") - 1).alias("region_id"))

@@ -165,7 +165,7 @@ SPARSE = AssociationSettings(max_gap_seconds=0.1, max_speed_diagonals_per_second
 
 @query("association_regions")
 def _(spark, sf):
-    tracklets = ops.tracklet_summaries(grid_tracklets(spark, sf))
+    tracklets = materialize(ops.tracklet_summaries(grid_tracklets(spark, sf)), "tracklets")
     return ops.association_regions(tracklets, ops.tracklet_edges(tracklets, FPS, W, H, SPARSE))
 
 
