@@ -182,6 +182,36 @@ def test_large_family_in_blocks_equals_brute_force(spark, monkeypatch, words_of_
     assert len(set(expected.values())) > 3 and found == expected
 
 
+def test_a_large_family_compares_few_pairs_one_by_one(monkeypatch, words_of_many):
+    """Texts with repeats, most of them a little below the threshold to each other: the links are those of all pairs, found in few comparisons."""
+    rng, known = np.random.default_rng(3), prob_minhash.WordHashes()
+    base, texts = words_of_many(120).split(), []
+    for i in range(90):
+        w = list(base)
+        for at in rng.choice(120, rng.integers(1, 4), replace=False):
+            w[at] = f"new{i}_{at}"
+        texts.append(" ".join(w + w[:12]))
+    sets = [prob_minhash.weighted(t, known) for t in texts]
+    every = prob_minhash.Members(sets + [prob_minhash.weighted("", known)])
+    exact = [[prob_minhash.similarity(a, b) for b in sets] for a in sets]
+    for a, row in zip(sets, exact):
+        assert every.similarities(a, np.arange(91)) == pytest.approx(row + [0.0])
+    calls, real = [], prob_minhash.similarity
+    monkeypatch.setattr(prob_minhash, "similarity", lambda a, b: (calls.append(1), real(a, b))[1])
+    ids = list(range(90))
+    rows = pd.DataFrame({"leader": 0, "doc_id": ids, "label": ids, "largest": 0, "probe": [i > 0 for i in ids], "in_base": True,
+                         "sig": [s.tobytes() for s in prob_minhash.signatures(sets)], "leaders": [[0]] * 90, "text": texts})
+    found, up = prob_minhash._group_links(rows, 0.8, known), list(ids)
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+    for i, j in found:
+        assert exact[i][j] >= 0.8 and root(i) != root(j)
+        up[root(i)] = root(j)
+    near = [(i, j) for i in ids for j in ids[i + 1:] if exact[i][j] >= 0.8]
+    assert all(root(i) == root(j) for i, j in near) and 0 < len(found) < 89 and len(calls) < 400
+
+
 def test_similarity_and_signature(words_of_many):
     known = prob_minhash.WordHashes()
     a, b = prob_minhash.weighted("a b c d e f g h a b c d e x", known), prob_minhash.weighted("a b c d e f g h i", known)

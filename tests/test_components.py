@@ -52,3 +52,17 @@ def test_most_groups_never_reach_the_contraction(spark, monkeypatch):
     got = components.grouped_components(rows)
     assert got.count() == 22000 and got.select("component").distinct().count() == 2000
     assert seen and seen[0] < 2000
+
+
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_few_edges_take_no_rounds(spark, monkeypatch, block):
+    """Edges that fit a block are solved in it: nothing but the edges is stored. Repeats, loops and nulls give the same rows either way."""
+    stored, real = [], components.materialize
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    monkeypatch.setattr(components, "materialize", lambda df, name="stage": (stored.append(name), real(df, name))[1])
+    edges = [(i, i + 1) for i in range(40) if i % 9] + [(5, 3), (5, 3), (70, 70), (None, 80), (81, None), (None, None)]
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    expected = [(n, c) for _, n, c in smallest([(0, a, b) for a, b in edges if a is not None and b is not None])] + [(80, 80), (81, 81), (None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+    assert (len(stored) == 1) == (block == 1 << 18)
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -20,12 +20,16 @@ def _pairs(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (a, b); the component is its smallest node.
 
-    Large-star and small-star steps move every node to the smallest neighbour it knows; they converge in
-    about log-squared rounds however long the paths are, and no step lists the pairs of a neighbourhood.
+    Edges that fit one block (``BLOCK_EDGES``, a few megabytes) are solved in it. For more, large-star and small-star steps move
+    every node to the smallest neighbour it knows; they converge in about log-squared rounds however long the paths are, and no
+    step lists the pairs of a neighbourhood.
     """
-    spark = edges.sparkSession
+    edges = materialize(edges.select("a", "b"), "edges")
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    current = materialize(_pairs(edges.select("a", "b")), "edges")
+    if edges.count() <= BLOCK_EDGES:
+        kind = dict(nodes.dtypes)["node"]
+        return edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).repartition(1).mapInArrow(_in_one_block, f"node {kind}, component {kind}")
+    current = materialize(_pairs(edges), "edges")
     signature = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -64,21 +68,38 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = new
 
 
+def _in_one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges (a, b) of a task; a null is a node that links nothing."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        coded = pa.concat_arrays([table["a"].combine_chunks(), table["b"].combine_chunks()]).dictionary_encode(null_encoding="encode")
+        nodes, ends_of = _ranked(coded)
+        a, b = ends_of[:table.num_rows], ends_of[table.num_rows:]
+        known = len(nodes) - nodes.null_count  # nulls are ranked last
+        links = (a < known) & (b < known)
+        yield from pa.table({"node": nodes, "component": nodes.take(pa.array(least_labels(len(nodes), a[links], b[links])))}).to_batches()
+
+
+def _ranked(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a dictionary in order, and the place of every coded value among them."""
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+
+
 def _block_components(held: list[pa.RecordBatch]) -> pa.Table:
     """(group_id, node, component, open) of edges (group_id, a, b) sorted by group; the first and last group may go on outside, so they are open."""
     table = pa.Table.from_batches(held).combine_chunks()
     groups = table["group_id"].combine_chunks()
     is_open = pc.is_in(groups, value_set=pa.concat_arrays([groups.slice(0, 1), groups.slice(len(groups) - 1, 1)])).to_numpy(zero_copy_only=False)
     coded = pa.concat_arrays([table["a"].combine_chunks(), table["b"].combine_chunks()]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    ends_of = rank[coded.indices.to_numpy()]
+    nodes, ends_of = _ranked(coded)
     a, b = ends_of[:len(groups)], ends_of[len(groups):]
-    nodes = coded.dictionary.take(pa.array(order))
-    where = np.empty(len(order), np.int64)
+    where = np.empty(len(nodes), np.int64)
     where[b], where[a] = np.arange(len(groups)), np.arange(len(groups))
-    return pa.table({"group_id": groups.take(pa.array(where)), "node": nodes, "component": nodes.take(pa.array(least_labels(len(order), a, b))), "open": is_open[where]})
+    return pa.table({"group_id": groups.take(pa.array(where)), "node": nodes, "component": nodes.take(pa.array(least_labels(len(nodes), a, b))), "open": is_open[where]})
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

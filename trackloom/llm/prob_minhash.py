@@ -43,6 +43,7 @@ THRESHOLD = 0.8
 FLOOR = 0.62
 BLOCK = 1024
 SHARD_ROWS = 8192
+FEW = 4                 # partners that a probe compares one by one
 BATCH_WORDS = 1 << 16   # words that are signed at once; a longer text goes alone
 SLICE_ROWS = 256        # rows of an Arrow batch that are Python objects at a time
 
@@ -169,6 +170,51 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above_a[at] / wa[both] + below_b[at] / wb[both])).sum())
 
 
+class Members:
+    """The shingles of many texts as codes, to find the texts that one of them may be similar to in few passes."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = [len(x) for x, _ in sets]
+        shingles, codes = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+        self.shingles = np.append(shingles, U64(0))  # the last is where a search for an unknown one may end
+        self.values, ranks = np.unique(np.concatenate([w for _, w in sets]), return_inverse=True)
+        cuts = np.cumsum(sizes)[:-1]
+        self.codes, self.ranks = np.split(codes, cuts), np.split(ranks, cuts)
+        self.weight = np.zeros(len(self.shingles), np.int64)  # of the text that is compared: the rank of its weight, 0 for none
+
+    def similarities(self, a: tuple[np.ndarray, np.ndarray], of: np.ndarray) -> np.ndarray:
+        """``similarity`` of a text and each of the members ``of``, up to rounding.
+
+        Shingles with the same two weights count alike, so it takes only the number of each such pair of weights.
+        """
+        values = np.append(0, np.unique(a[1]))
+        spot = np.searchsorted(self.shingles[:-1], a[0])
+        there = self.shingles[spot] == a[0]
+        self.weight[spot[there]] = np.searchsorted(values, a[1][there])
+        codes = np.concatenate([self.codes[j] for j in of])
+        kind = self.weight[codes] * len(self.values) + np.concatenate([self.ranks[j] for j in of])
+        self.weight[spot] = 0
+        kinds = np.flatnonzero(np.bincount(kind))
+        wa, wb = values[kinds // len(self.values)], self.values[kinds % len(self.values)]
+        order = np.argsort(wa / wb, kind="stable")
+        kinds, wa, wb = kinds[order], wa[order], wb[order]
+        place = np.zeros(kinds.max(initial=0) + 1, np.int64)
+        place[kinds] = np.arange(len(kinds))
+        last = np.searchsorted(wa / wb, wa / wb, side="right") - 1  # equal ratios count together
+        both = wa > 0
+        bounds = np.concatenate([[0], np.cumsum([len(self.codes[j]) for j in of])])
+        out, step = [], max(1, (1 << 20) // max(1, len(kinds)))
+        for at in range(0, len(of), step):
+            ends = bounds[at:at + step + 1]
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            n = np.bincount(owner * len(kinds) + place[kind[ends[0]:ends[-1]]], minlength=(len(ends) - 1) * len(kinds)).reshape(len(ends) - 1, -1)
+            above_a = (a[1].sum() - np.cumsum(n * wa, axis=1))[:, last]
+            below_b = np.cumsum(n * wb, axis=1)[:, last]
+            whole = above_a[:, both] / wa[both] + below_b[:, both] / wb[both]
+            out.append((n[:, both] / np.maximum(whole, 1e-9)).sum(axis=1))
+        return np.concatenate(out)
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, recent = WordHashes(), OrderedDict()
 
@@ -223,12 +269,23 @@ def _group_links(rows: pd.DataFrame, threshold: float, known: WordHashes) -> lis
             sets[text] = (x, w, frozenset(x.tolist()) if w.max(initial=1) == 1 else None)
         return sets[text]
 
-    out = []
-    for i, label, own, text in zip(probes["doc_id"].tolist(), probes["label"].tolist(), probes["sig"], probe_texts):
+    likely = []
+    for i, label, own in zip(probes["doc_id"].tolist(), probes["label"].tolist(), probes["sig"]):
         agree = (sig == np.frombuffer(own, np.uint32)).sum(axis=1)
         # a pair of two probes is met from either side: once is enough
         at = np.flatnonzero((agree >= FLOOR * REGISTERS) & (labels != label) & (~minor | (ids > i)))
-        for j in at[np.argsort(-agree[at], kind="stable")].tolist():
+        likely.append(at[np.argsort(-agree[at], kind="stable")])
+    many = [at for at in likely if len(at) > FEW]
+    if many:
+        met = np.unique(np.concatenate(many))
+        members, place = Members([of(base_texts[j])[:2] for j in met.tolist()]), np.zeros(len(ids), np.int64)
+        place[met] = np.arange(len(met))
+    out = []
+    for i, label, text, at in zip(probes["doc_id"].tolist(), probes["label"].tolist(), probe_texts, likely):
+        if len(at) > FEW:
+            # what is clearly below the threshold goes; what stays is compared exactly
+            at = at[members.similarities(of(text)[:2], place[at]) >= threshold - 1e-6]
+        for j in at.tolist():
             other, other_label = int(ids[j]), int(labels[j])
             if root(label) == root(other_label) or not earlier[i].isdisjoint(earlier[other]):
                 continue
