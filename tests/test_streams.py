@@ -76,3 +76,60 @@ def test_a_gap_holds_back_until_its_deadline_and_a_late_frame_closes_it(spark, t
     # patience beyond the closing row: the gap stays open, nothing behind it is decided
     rows = replay(spark, str(tmp_path / "in2"), [first, [(-1, 0, 0, at(10 ** 6))]], "held", late="1 hour", patience_seconds=1e7, idle_seconds=1e8)
     assert {r[1:] for r in rows} == {s for s in expected(list(enumerate(bits[:900])), 899) if s[3] == "ended"}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_sources_of_a_shard_keep_their_own_frames_gaps_and_ends(spark, tmp_path, shards):
+    """Sources of different lengths and lost frames share keys of the state; one has no id, one id needs all 64 bits."""
+    ids, n = {None: 700, 0: 1500, 2 ** 53 + 1: 900, 2 ** 53: 40, 7: 1100}, 0
+    rng, batches, came = random.Random(shards), [[], [], []], {}
+    for k, (source, n) in enumerate(ids.items()):
+        bits = evidence_bits(n, 50 + k)
+        came[source] = [(f, bits[f]) for f in range(n) if f != 300 + k]
+        for f, b in came[source]:
+            batches[rng.randrange(3)].append((source, f, b, at(f)))
+    for b in batches:
+        rng.shuffle(b)
+    batches[2].append((7, None, 1, at(0)))
+    rows = replay(spark, str(tmp_path / "in"), [*batches, [(-1, 0, 0, at(10 ** 6))]], f"shards{shards}", late="1 hour", shards=shards)
+    for k, (source, n) in enumerate(ids.items()):
+        gap = {(300 + k, 300 + k, 301 + k, "gap")} if n > 300 + k else set()
+        got = [r[1:] for r in rows if r[0] == source]
+        assert len(got) == len(set(got)) and set(got) == gap | expected(came[source], came[source][-1][0]), source
+    assert {r[0] for r in rows} <= set(ids)
+
+
+class Kept(dict):
+    """A value or map of the state in memory, with the number of its calls."""
+    calls, value = 0, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_a_trigger_calls_the_state_once_per_shard_and_keeps_one_timer():
+    """200 sources of a shard, none with a frame that waits: one update of the value, one timer, one frame of rows."""
+    timers, value = set(), Kept()
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: value)
+        getMapState = staticmethod(lambda *a: Kept())
+        registerTimer, deleteTimer = timers.add, timers.remove
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    machine = segments.Segmenter(RallySettings(), 0, 0, 60000)
+    machine.init(Handle)
+    bits = evidence_bits(600, 4)
+    rows = pd.DataFrame([(s, f, bits[f], pd.Timestamp(at(f + s))) for f in range(600) for s in range(200)], columns=["source_id", "frame", "bits", "ts"])
+    out = list(machine.handleInputRows((5,), iter([rows[:50000], rows[50000:]]), Now))
+    ended = {r for r in expected(list(enumerate(bits)), 599) if r[3] == "ended"}
+    assert value.calls == 1 and len(timers) == 1 and 1 <= len(out) <= 2
+    assert sorted(map(tuple, pd.concat(out).to_numpy().tolist())) == sorted((s, *r) for s in range(200) for r in ended)

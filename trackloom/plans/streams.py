@@ -42,13 +42,13 @@ def _(spark, sf):
     """Intervals that ended within the stream and those it leaves open; a frame's event time is its place at 30 frames a second, from 2000 on."""
     evidence = rallies.with_evidence(tracks.preprocess_tracks(track_plans.normalized(spark, sf))).withColumn(
         "ts", F.timestamp_millis((F.lit(946684800000) + F.col("frame") * 1000 / 30).cast("long")))
-    path = scratch_path(spark, "stream-in")
-    evidence.repartition(4, "frame").write.parquet(path)
+    path, parts = scratch_path(spark, "stream-in"), max(4, spark.sparkContext.defaultParallelism)
+    evidence.repartition(parts, "frame").write.parquet(path)
     # a closing row far ahead moves the watermark past every source's end
     end = spark.read.parquet(path).agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast("long").alias("source_id"), F.lit(0).cast("long").alias("frame"), F.lit(0).alias("bits"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
     end.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(evidence.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream = spark.readStream.schema(evidence.schema).option("maxFilesPerTrigger", parts // 2).parquet(path)
     return drained(spark, segments.stream_segment(stream, late="1 day"), "segment")
 
 

@@ -1,21 +1,25 @@
-"""Streaming segmentation: the rally machine fed by a per-source stream of frame evidence."""
+"""Streaming segmentation: the rally machine fed by a stream of the sources' frame evidence."""
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from trackloom.operators.rallies import ENDING, LIVE, START_STATE, STARTING, rally_machine
 from trackloom.settings import RallySettings
 
 OUTPUT = "source_id long, start_frame long, end_frame long, at_frame long, kind string"
-PLACE = "entry string, due long, last_ms long, gap_ms long, end_ms long"
-BLOCK = 512  # frames that wait in one entry of the state
+BLOCK = 512  # frames of a source that wait in one entry of the state
+SEGMENT_SHARDS = 1024  # sources are dealt to this many keys of the state
+HELD_ROWS = 1 << 16  # new rows of a shard that a task holds at a time
+LEAST = -(1 << 63)
 
 
 def open_start(entry: str) -> int | None:
@@ -25,10 +29,24 @@ def open_start(entry: str) -> int | None:
     return more[0] if counts else None
 
 
+def gathered(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in frames of about ``HELD_ROWS``, each source's rows together and in the order they came."""
+    held = []
+    for pdf in rows:
+        held.append(pdf)
+        if sum(map(len, held)) >= HELD_ROWS:
+            yield pd.concat(held).sort_values("source_id", kind="stable")
+            held = []
+    if held:
+        yield pd.concat(held).sort_values("source_id", kind="stable")
+
+
 class Segmenter(StatefulProcessor):
-    """One source: the machine's state and next due frame in a value, frames that came early in a map of blocks.
+    """A shard of sources: of each the machine's state and next due frame in one value, frames that came early in a map of blocks.
 
-    Of the waiting frames a task holds those of one block and one Arrow batch at a time; the rest stays in the state store.
+    The value holds per source [machine's state, due frame, newest time, when a gap is given up, when silence ends its play,
+    blocks that wait]; the shard's only timer is the earliest of those times. Of the waiting frames a task holds those of one
+    block and ``HELD_ROWS`` new ones at a time; the rest stays in the state store. Sources without an id are shard -1.
     """
 
     def __init__(self, settings: RallySettings, first_frame: int, patience_ms: int, idle_ms: int):
@@ -37,56 +55,74 @@ class Segmenter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.machine = rally_machine(self.settings, "spans")
-        self.place = handle.getValueState("place", PLACE)
-        self.waiting = handle.getMapState("waiting", "block long", "frames array<bigint>, bits array<int>, ms array<bigint>")
+        self.places = handle.getValueState("places", "sources string, timer_ms long")
+        self.waiting = handle.getMapState("waiting", "source long, block long", "frames array<bigint>, bits array<int>, ms array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        self._load()
-        for pdf in rows:
-            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            self.last_ms = max(self.last_ms, int(ms.max()))
-            came = {int(f): (int(b), int(t)) for f, b, t in zip(pdf["frame"], pdf["bits"], ms) if f >= self.due}
-            yield from self._advance(key, came, timerValues.getCurrentWatermarkInMs(), False)
+        self._load(key)
+        now = timerValues.getCurrentWatermarkInMs()
+        for pdf in gathered(rows):
+            ids, frames, bits = (pdf[c].to_numpy() for c in ("source_id", "frame", "bits"))
+            ms = pdf["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                self._enter(int(ids[a]))
+                self.last_ms = max(self.last_ms, int(ms[a:b].max()))
+                yield from self._advance({int(f): (int(x), t) for f, x, t in zip(frames[a:b].tolist(), bits[a:b].tolist(), ms[a:b].tolist()) if f >= self.due}, now, False)
+                self._leave()
+        yield from self._told()
         self._save(None)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._load()
+        self._load(key)
         expired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        over = self.end_ms is not None and self.end_ms <= now
-        yield from self._advance(key, {}, now, over)
-        if over:
-            start, last = open_start(self.entry), self.due - 1
-            self.entry, self.last_ms = START_STATE, -1
-            if start is not None:
-                yield self._output(key, [max(start, self.first_frame)], [last], [last + 1], "open")
+        for source in [int(s) for s, (*_, gap_ms, end_ms, _) in self.sources.items() if any(t is not None and t <= now for t in (gap_ms, end_ms))]:
+            self._enter(source)
+            over = self.end_ms is not None and self.end_ms <= now
+            yield from self._advance({}, now, over)
+            if over:
+                start, last = open_start(self.entry), self.due - 1
+                self.entry, self.last_ms = START_STATE, -1
+                if start is not None:
+                    self._tell(max(start, self.first_frame), last, last + 1, "open")
+            self._leave()
+        yield from self._told()
         self._save(expired)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> None:
-        kept = self.place.get() if self.place.exists() else (START_STATE, self.first_frame, -1, None, None)
-        self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms = kept
-        self.blocks = {int(k[0]) for k in self.waiting.keys()} if self.waiting.exists() else set()
-        self.timers = {self.gap_ms, self.end_ms} - {None}
+    def _load(self, key: tuple) -> None:
+        sources, self.timer_ms = self.places.get() if self.places.exists() else ("{}", None)
+        self.sources, self.unnamed, self.rows = json.loads(sources), key[0] < 0, []
 
     def _save(self, expired: int | None) -> None:
+        wanted = min((t for place in self.sources.values() for t in place[3:5] if t is not None), default=None)
+        there = None if self.timer_ms == expired else self.timer_ms
+        if wanted != there:
+            if there is not None:
+                self.handle.deleteTimer(there)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.places.update((json.dumps(self.sources), wanted))
+
+    def _enter(self, source: int) -> None:
+        self.source = source
+        self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms, blocks = self.sources.get(str(source), (START_STATE, self.first_frame, -1, None, None, ()))
+        self.blocks = set(blocks)
+
+    def _leave(self) -> None:
         self.end_ms = self.last_ms + self.idle_ms if self.last_ms >= 0 else None
-        wanted, there = {self.gap_ms, self.end_ms} - {None}, self.timers - {expired}
-        for t in there - wanted:
-            self.handle.deleteTimer(t)
-        for t in wanted - there:
-            self.handle.registerTimer(t)
-        self.place.update((self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms))
+        self.sources[str(self.source)] = [self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms, sorted(self.blocks)]
 
     def _take(self, block: int) -> dict[int, tuple[int, int]]:
         """The waiting frames of a block, which leave the state."""
-        frames, bits, ms = self.waiting.getValue((block,))
-        self.waiting.removeKey((block,))
+        frames, bits, ms = self.waiting.getValue((self.source, block))
+        self.waiting.removeKey((self.source, block))
         self.blocks.discard(block)
         return {f: (b, t) for f, b, t in zip(frames, bits, ms) if f >= self.due}
 
-    def _advance(self, key: tuple, held: dict[int, tuple[int, int]], now: int, over: bool) -> Iterator[pd.DataFrame]:
+    def _advance(self, held: dict[int, tuple[int, int]], now: int, over: bool) -> Iterator[pd.DataFrame]:
         """Feed the machine all frames that are due; give up frames that the watermark says are lost."""
         order = list(held)
         heapq.heapify(order)
@@ -105,7 +141,7 @@ class Segmenter(StatefulProcessor):
                 ready.append((self.due, held.pop(self.due)[0]))
                 self.due += 1
                 if len(ready) == 16 * BLOCK:
-                    yield from self._feed(key, ready)
+                    yield from self._feed(ready)
                 continue
             while order and order[0] < self.due:
                 heapq.heappop(order)
@@ -118,9 +154,9 @@ class Segmenter(StatefulProcessor):
             if not over and deadline > now:
                 self.gap_ms = deadline
                 break
-            yield self._output(key, [self.due], [order[0] - 1], [order[0]], "gap")
+            self._tell(self.due, order[0] - 1, order[0], "gap")
             self.due = order[0]
-        yield from self._feed(key, ready)
+        yield from self._feed(ready)
         self._store(held)
 
     def _store(self, held: dict[int, tuple[int, int]]) -> None:
@@ -130,24 +166,29 @@ class Segmenter(StatefulProcessor):
         for block, rows in by_block.items():
             if block in self.blocks:
                 rows = self._take(block) | rows
-            self.waiting.updateValue((block,), (list(rows), [b for b, _ in rows.values()], [t for _, t in rows.values()]))
+            self.waiting.updateValue((self.source, block), (list(rows), [b for b, _ in rows.values()], [t for _, t in rows.values()]))
             self.blocks.add(block)
 
-    def _feed(self, key: tuple, ready: list) -> Iterator[pd.DataFrame]:
+    def _feed(self, ready: list) -> Iterator[pd.DataFrame]:
         if ready:
             rows, self.entry = self.machine(pd.DataFrame(ready, columns=["frame", "bits"]), self.entry)
             ready.clear()
-            if rows["at_frame"]:
-                yield self._output(key, [max(s, self.first_frame) for s in rows["start_frame"]], rows["end_frame"], rows["at_frame"], "ended")
+            for start, end, at in zip(rows["start_frame"], rows["end_frame"], rows["at_frame"]):
+                self._tell(max(start, self.first_frame), end, at, "ended")
+        if len(self.rows) >= HELD_ROWS:
+            yield from self._told()
+
+    def _tell(self, start: int, end: int, at: int, kind: str) -> None:
+        self.rows.append((None if self.unnamed else self.source, start, end, at, kind))
 
-    @staticmethod
-    def _output(key: tuple, starts: Iterable[int], ends: Iterable[int], at: Iterable[int], kind: str) -> pd.DataFrame:
-        return pd.DataFrame({"start_frame": starts, "end_frame": ends, "at_frame": at}).assign(source_id=key[0], kind=kind)[
-            ["source_id", "start_frame", "end_frame", "at_frame", "kind"]]
+    def _told(self) -> Iterator[pd.DataFrame]:
+        if self.rows:
+            yield pd.DataFrame(self.rows, columns=["source_id", "start_frame", "end_frame", "at_frame", "kind"])
+            self.rows = []
 
 
 def stream_segment(evidence: DataFrame, settings: RallySettings = RallySettings(), first_frame: int = 0, late: str = "1 minute",
-                   patience_seconds: float = 0.0, idle_seconds: float = 60.0) -> DataFrame:
+                   patience_seconds: float = 0.0, idle_seconds: float = 60.0, shards: int = SEGMENT_SHARDS) -> DataFrame:
     """Intervals as they end, and what the stream leaves open. ``evidence``: source_id, frame, bits (see ``with_evidence``), ts.
 
     Frames may arrive out of order within and across batches: they wait in the state until the frames before them are
@@ -155,7 +196,12 @@ def stream_segment(evidence: DataFrame, settings: RallySettings = RallySettings(
     (``late`` behind the newest ``ts``) passed the first frame after them by ``patience_seconds``, the machine goes on behind
     them; "open": play that was still on when the source had been silent for ``idle_seconds`` of event time, for review.
     A source that speaks again after that starts at rest and goes on with its next frame. Needs the RocksDB state store.
+    Sources are dealt to ``shards`` keys of the state: Python and the state store are called per shard and trigger, not per source.
     """
     processor = Segmenter(settings, first_frame, int(patience_seconds * 1000), int(idle_seconds * 1000))
-    return evidence.select("source_id", "frame", "bits", "ts").withWatermark("ts", late).groupBy("source_id").transformWithStateInPandas(
-        processor, OUTPUT, "Append", "eventTime")
+    unnamed = F.col("source_id").isNull()
+    # no nulls among whole numbers, which pandas would turn into floats; a row without a frame only tells that its source is there
+    rows = evidence.select(F.when(unnamed, F.lit(-1)).otherwise(F.pmod(F.xxhash64("source_id"), F.lit(shards))).cast("long").alias("shard"),
+                           F.coalesce(F.col("source_id").cast("long"), F.lit(0)).alias("source_id"),
+                           F.coalesce(F.col("frame").cast("long"), F.lit(LEAST)).alias("frame"), "bits", "ts")
+    return rows.withWatermark("ts", late).groupBy("shard").transformWithStateInPandas(processor, OUTPUT, "Append", "eventTime")
