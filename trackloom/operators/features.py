@@ -37,20 +37,39 @@ def pose_vectors(frames: DataFrame, poses: DataFrame, keypoints: int = KEYPOINTS
     return frames.join(found, ["source_id", "frame"], "left")
 
 
+def _fill_known(rows: DataFrame, column: str) -> DataFrame:
+    """``fill_pose_gaps``, but NULL in sources that have no valid row.
+
+    Windows see positions only; of a gap the two rows around it are looked up. Rows that need no other row's array join nothing.
+    """
+    rows = materialize(rows, "poses")
+    rest = [c for c in rows.columns if c != column]
+    at = F.when(F.col("here"), F.col("position"))
+    marked = with_chunk(rows.select(*rest, F.col(column).isNotNull().alias("here")), "position")
+    marked = carry(marked, last={"carried": at}, following={"coming": at}, frame="position")
+    down = by_chunk(order=[F.desc("position")]).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumns({"prev": F.coalesce(F.last(at, ignorenulls=True).over(running(by_chunk(order=["position"]))), F.col("carried")),
+                                 "next": F.coalesce(F.last(at, ignorenulls=True).over(down), F.col("coming"))})
+    # a gap at an end has one neighbour, which then stands for both
+    marked = materialize(marked.filter("NOT here").select(*rest, F.coalesce("prev", "next").alias("prev"), F.coalesce("next", "prev").alias("next")), "gaps")
+    own = rows.filter(F.col(column).isNotNull())
+    known = own.groupBy("source_id", "position").agg(F.first(column).alias("a"))
+    gaps = marked.filter("prev IS NOT NULL")
+    for end in ("prev", "next"):
+        ends = known.select(F.col("source_id").alias("known_id"), F.col("position").alias("known_at"), F.col("a").alias(f"{end}_a"))
+        gaps = gaps.join(ends, F.col("source_id").eqNullSafe(F.col("known_id")) & (F.col(end) == F.col("known_at"))).drop("known_id", "known_at")
+    mean = F.when(F.col("prev") == F.col("next"), F.col("prev_a")).otherwise(F.zip_with("prev_a", "next_a", lambda a, b: (a + b) / 2))
+    nothing = F.lit(None).cast(rows.schema[column].dataType)
+    return (own.select(*rest, column).unionByName(gaps.select(*rest, mean.alias(column)))
+            .unionByName(marked.filter("prev IS NULL").select(*rest, nothing.alias(column))))
+
+
 def fill_pose_gaps(rows: DataFrame, width: int, column: str = "pose") -> DataFrame:
     """Missing rows become the mean of the previous and next valid rows, or the only one there is; 0 if none.
 
     ``rows``: source_id, position, an array column of ``width`` numbers.
     """
-    rows = carry(with_chunk(rows, "position"), last={"carried": F.col(column)}, following={"ahead": F.col(column)}, frame="position")
-    w = by_chunk(order=["position"])
-    down = by_chunk(order=[F.desc("position")]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"prev": F.coalesce(F.last(column, ignorenulls=True).over(running(w)), F.col("carried")),
-                             "next": F.coalesce(F.last(column, ignorenulls=True).over(down), F.col("ahead"))})
-    both = F.zip_with("prev", "next", lambda a, b: (a + b) / 2)
-    empty = F.array_repeat(F.lit(0.0), width)
-    filled = F.coalesce(F.col(column), both, F.col("prev"), F.col("next"), empty)
-    return rows.withColumn(column, filled).drop("carried", "ahead", "prev", "next", "chunk_no")
+    return _fill_known(rows, column).withColumn(column, F.coalesce(column, F.array_repeat(F.lit(0.0), width))).select(*rows.columns)
 
 
 def pose_features(frames: DataFrame, poses: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
@@ -114,9 +133,10 @@ def _named(column: str, names: Sequence[str]) -> list[Column]:
 
 def feature_frame91(frames: DataFrame, poses: DataFrame, tracks: DataFrame, players: DataFrame, calibrations: DataFrame | None = None) -> DataFrame:
     """All 91 per-frame features in their fixed order; missing tracks and players are zero."""
-    rows = pose_features(frames, poses)
+    rows = _fill_known(pose_vectors(frames, poses), "pose")
     rows = rows.join(shuttle_features16(tracks), ["source_id", "frame"], "left").join(player_features9(players, calibrations), ["source_id", "frame"], "left")
-    return rows.select("source_id", "position", "frame", *_named("pose", POSE), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SHUTTLE + PLAYERS])
+    return rows.select("source_id", "position", "frame", *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(_named("pose", POSE), POSE)],
+                       *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SHUTTLE + PLAYERS])
 
 
 def clip_features76(pose_rows: DataFrame, kinematics: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from trackloom.operators import tracks
 from trackloom.plans import court as court_plans
 from trackloom.plans import tracks as track_plans
 from trackloom.plans.base import CTES, cte, oracle, query, r6, rounded
+from trackloom.session import materialize
 
 
 def pose_spine(spark, sf):
@@ -106,7 +107,7 @@ oracle("player_features9", f"SELECT source_id, frame, {r6(*ops.PLAYERS)} FROM f9
 @query("feature_frame91")
 def _(spark, sf):
     poses = fixtures.poses(spark, sf)
-    t = track_rows(spark, sf)
+    t = materialize(track_rows(spark, sf), "tracks")
     frames = t.select("source_id", F.col("frame").alias("position"), "frame")
     return rounded(ops.feature_frame91(frames, poses, t, player_rows(spark, sf), fixtures.calibrations(spark, sf)).drop("position"))
 
