@@ -6,6 +6,7 @@ from trackloom import fixtures
 from trackloom.chunks import numbered
 from trackloom.operators import players as ops
 from trackloom.plans.base import cte, oracle, query, r6, rounded
+from trackloom.session import materialize
 
 FPS, W, H = fixtures.FPS, fixtures.WIDTH, fixtures.HEIGHT
 
@@ -105,8 +106,8 @@ oracle("assign_slots", """SELECT source_id, frame, slot, CASE WHEN ok THEN track
 
 @query("track_handoff")
 def _(spark, sf):
-    seen, src = projected(spark, sf), sources(spark, sf)
-    scores = ops.rank_slot_candidates(seen, src)
+    seen, src = projected(spark, sf), materialize(sources(spark, sf), "sources")
+    scores = materialize(ops.rank_slot_candidates(seen, src), "scores")
     return rounded(ops.track_handoff(ops.choose_slots(scores, src), scores, seen, src).drop("bbox", "detection_confidence"))
 
 
