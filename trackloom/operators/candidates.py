@@ -205,6 +205,49 @@ def clear_winners(owner: np.ndarray, distance: np.ndarray, ratio: float) -> np.n
     return out
 
 
+FEW = 1 << 7  # pairs of one frame that are compared one by one
+
+
+def sure_links(at: list, xs: list, ys: list, radius: list, ratio: float) -> tuple[list[bool], list[tuple[int, int]]]:
+    """(whether a prediction has a candidate within its radius, (prediction, candidate) pairs that are clearly the nearest of both).
+
+    A frame of few pairs would pay more for arrays than for the pairs; its distances are the same (the C library's hypot).
+    """
+    if len(at) * len(xs) <= FEW:
+        try:
+            return _few_links(at, xs, ys, radius, ratio)
+        except OverflowError:
+            pass
+    track, cand, distance = near_pairs(np.array(at, float).reshape(-1, 2), np.column_stack([xs, ys]), np.array(radius, float))
+    gated = np.zeros(len(at), bool)
+    gated[track] = True
+    sure = clear_winners(track, distance, ratio) & clear_winners(cand, distance, ratio)
+    return gated.tolist(), list(zip(track[sure].tolist(), cand[sure].tolist()))
+
+
+def _few_links(at: list, xs: list, ys: list, radius: list, ratio: float) -> tuple[list[bool], list[tuple[int, int]]]:
+    inf = math.inf
+    nearest, best, second = [-1] * len(xs), [inf] * len(xs), [inf] * len(xs)  # of each candidate
+    gated, claims = [], []
+    for track, ((x, y), reach) in enumerate(zip(at, radius)):
+        mine, least, next_least = -1, inf, inf
+        for cand, u in enumerate(xs):
+            d = abs(complex(u - x, ys[cand] - y))
+            if d <= reach:
+                if mine < 0 or d < least:
+                    mine, least, next_least = cand, d, least
+                elif d < next_least:
+                    next_least = d
+                if nearest[cand] < 0 or d < best[cand]:
+                    nearest[cand], best[cand], second[cand] = track, d, best[cand]
+                elif d < second[cand]:
+                    second[cand] = d
+        gated.append(mine >= 0)
+        if mine >= 0 and least < next_least and least <= ratio * next_least:
+            claims.append((track, mine))
+    return gated, [(t, c) for t, c in claims if nearest[c] == t and best[c] < second[c] and best[c] <= ratio * second[c]]
+
+
 def link_machine(gate: float, settings: LinkSettings):
     """State: active tracklets as [start frame, start position, [frame, x, y] points (last two)].
 
@@ -214,40 +257,34 @@ def link_machine(gate: float, settings: LinkSettings):
     ratio, reach = settings.ambiguity_ratio, settings.max_missing_frames + 1
 
     def machine(pdf: pd.DataFrame, entry: str) -> tuple[dict, str]:
-        # rows: start frame, start candidate, frame, x, y, then frame, x, y of the point before (NaN without)
-        tracks = np.array([[a, b, *p[-1], *(p[-2] if len(p) > 1 else [np.nan] * 3)] for a, b, p in json.loads(entry)], float).reshape(-1, 8)
-        frames, cands = pdf["frame"].to_numpy(np.int64), pdf["cand"].to_numpy(np.int64)
-        places = pdf[["cx", "cy"]].to_numpy(float)
-        begins = np.flatnonzero(np.diff(frames, prepend=-1) != 0) if len(frames) else np.zeros(0, int)
-        owner = np.empty((len(frames), 5))  # start frame and candidate of the tracklet, then the point before
-        for a, b in zip(begins, [*begins[1:], len(frames)]):
-            frame, here = int(frames[a]), places[a:b]
-            tracks = tracks[frame - tracks[:, 2] <= reach]
-            span = frame - tracks[:, 2]
-            at = tracks[:, 3:5]
-            moving = ~np.isnan(tracks[:, 5])
-            lag = np.where(moving, tracks[:, 2] - tracks[:, 5], 1.0)
-            at = np.where(moving[:, None], at + (at - tracks[:, 6:8]) * span[:, None] / lag[:, None], at)
-            track, cand, distance = near_pairs(at, here, gate * span)
-            gated = np.zeros(len(tracks), bool)
-            gated[track] = True
-            sure = clear_winners(track, distance, ratio) & clear_winners(cand, distance, ratio)
-            track, cand = track[sure], cand[sure]
-            fresh = np.column_stack([np.full(b - a, frame), cands[a:b], np.full(b - a, frame), here, np.full((b - a, 3), np.nan)])
-            fresh[cand, :2], fresh[cand, 5:8] = tracks[track, :2], tracks[track, 2:5]
-            owner[a:b] = fresh[:, [0, 1, 5, 6, 7]]
-            tracks = np.concatenate([tracks[~gated], fresh])
+        # start frame, start candidate, frame, x, y, then frame, x, y of the point before (None without)
+        tracks = [(a, b, *p[-1], *(p[-2] if len(p) > 1 else (None, None, None))) for a, b, p in json.loads(entry)]
+        frames, cands = pdf["frame"].to_numpy(np.int64).tolist(), pdf["cand"].to_numpy(np.int64).tolist()
+        xs, ys = pdf["cx"].to_numpy(float).tolist(), pdf["cy"].to_numpy(float).tolist()
+        owners: list[tuple] = []  # start frame and candidate of the tracklet, then the point before
+        a = 0
+        while a < len(frames):
+            frame, b = frames[a], a + 1
+            while b < len(frames) and frames[b] == frame:
+                b += 1
+            tracks = [t for t in tracks if frame - t[2] <= reach]
+            at = [(x, y) if before is None else (x + (x - u) * (frame - last) / (last - before), y + (y - v) * (frame - last) / (last - before))
+                  for _, _, last, x, y, before, u, v in tracks]
+            gated, sure = sure_links(at, xs[a:b], ys[a:b], [gate * (frame - t[2]) for t in tracks], ratio)
+            fresh = [(frame, cands[i], frame, xs[i], ys[i], None, None, None) for i in range(a, b)]
+            for track, cand in sure:
+                t = tracks[track]
+                fresh[cand] = (*t[:2], *fresh[cand][2:5], *t[2:5])
+            owners += [(t[0], t[1], *t[5:]) for t in fresh]
+            tracks = [t for t, taken in zip(tracks, gated) if not taken] + fresh
+            a = b
         # a tracklet out of reach of the next frame can never continue: forget it
-        if len(frames):
-            tracks = tracks[frames[-1] + 1 - tracks[:, 2] <= reach]
-        known = ~np.isnan(owner[:, 2])
-        out = {"frame": frames.tolist(), "cand": cands.tolist(), "track_frame": owner[:, 0].astype(np.int64).tolist(), "track_cand": owner[:, 1].astype(np.int64).tolist(),
-               "prev_frame": [int(v) if k else None for v, k in zip(owner[:, 2], known)],
-               **{c: [float(v) if k else None for v, k in zip(owner[:, i], known)] for c, i in (("prev_x", 3), ("prev_y", 4))}}
+        if frames:
+            tracks = [t for t in tracks if frames[-1] + 1 - t[2] <= reach]
+        out = {"frame": frames, "cand": cands, **{c: [o[i] for o in owners] for i, c in enumerate(("track_frame", "track_cand", "prev_frame", "prev_x", "prev_y"))}}
         # the order of tracklets does not matter to later frames; a fixed one makes equal states equal texts
-        tracks = tracks[np.lexsort((tracks[:, 1], tracks[:, 0]))]
-        point = lambda r, i: [int(r[i]), float(r[i + 1]), float(r[i + 2])]
-        return out, json.dumps([[int(r[0]), int(r[1]), [*([point(r, 5)] if not np.isnan(r[5]) else []), point(r, 2)]] for r in tracks])
+        tracks.sort(key=lambda t: t[:2])
+        return out, json.dumps([[*t[:2], [*([t[5:]] if t[5] is not None else []), t[2:5]]] for t in tracks])
     return machine
 
 
@@ -425,6 +462,46 @@ class RegionGraph:
         yield -np.inf if not len(known) else float(min(0.0, known.min()) - 1.0)
 
 
+MANY_PATHS = 1 << 10  # a region of fewer paths has them all written out
+
+
+def listed_paths(confidence: list[float], ids: list[str], links: list[tuple], k: int, least_difference: float) -> list[dict] | None:
+    """``best_paths`` of a small region: all its paths in order, with no arrays. None if the region is not small, or its links do not lead ahead."""
+    ahead: list[list[tuple]] = [[] for _ in ids]
+    for link in links:
+        if link[1] <= link[0]:
+            return None
+        ahead[link[0]].append(link)
+    count, total = [1] * len(ids), 0  # paths that begin at a tracklet
+    for v in range(len(ids) - 1, -1, -1):
+        count[v] += sum(count[link[1]] for link in ahead[v])
+        total += count[v]
+        if total > MANY_PATHS:
+            return None
+    if not all(map(math.isfinite, confidence)) or not all(x is not None and math.isfinite(x) for link in links for x in link[2:]):
+        return None
+    level = [((v,), c, 0.0, 0.0, 0.0) for v, c in enumerate(confidence)]
+    paths, size = [], 0
+    while level:
+        size += 1
+        for path, c, m, g, e in level:
+            paths.append((-(c if size == 1 else (c / size + e / (size - 1)) / 2), -size, path, c, m, g, e))
+        level = [((*path, head), c + confidence[head], m + motion, g + gap, e + score) for path, c, m, g, e in level for _, head, motion, gap, score in ahead[path[-1]]]
+    paths.sort(key=lambda p: (p[0], p[1], [ids[v] for v in p[2]]))
+    kept: list[tuple] = []
+    for p in paths:
+        mine = frozenset(p[2])
+        if all(len(mine ^ other) / max(len(mine), len(other)) >= least_difference for other, _ in kept):
+            kept.append((mine, p))
+            if len(kept) == k:
+                break
+    out = []
+    for _, (score, size, path, c, m, g, e) in kept:
+        joints = max(1, -size - 1)
+        out.append({"path": path, "score": -score, "confidence": c / -size, "motion": m / joints, "gap_penalty": g / joints, "edge_score": e / joints})
+    return out
+
+
 def best_paths(graph: RegionGraph, ids: list[str], k: int, least_difference: float) -> list[dict]:
     """The k best paths of a region that differ enough from each other, taken greedily in the order of score, length and ids.
 
@@ -475,15 +552,16 @@ HYPOTHESIS_FIELDS = ("rank long, tracklet_ids array<string>, frame_start long, f
 def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame, settings: AssociationSettings = AssociationSettings()) -> DataFrame:
     """The best ``hypotheses_per_region`` paths of every region that differ enough from each other; exact, see ``best_paths``.
 
-    A region of one tracklet is its own answer. The others stream through the tasks in order of regions; a task holds one at a time:
-    some numbers per tracklet and per link, and the paths that can still reach the threshold.
+    A region of one tracklet is its own answer. The others stream through the tasks in order of regions; a task unpacks those of an Arrow
+    batch and searches one at a time: a small one by listing its paths, others by some numbers per tracklet and per link, and the paths
+    that can still reach the threshold.
     """
     if settings.hypotheses_per_region < 1:
         raise ValueError("at least one hypothesis per region")
     key = ["source_id", "region_id"]
     rows = tracklets.select("source_id", "tracklet_id", "first_frame", "last_frame", "confidence").join(regions, ["source_id", "tracklet_id"])
     rows = materialize(rows.join(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")), key), "members")
-    zero, names = F.lit(0.0), HYPOTHESIS_FIELDS.split(", ")
+    zero, names_out = F.lit(0.0), HYPOTHESIS_FIELDS.split(", ")
     alone = rows.filter("size = 1").select(*key, F.lit(1).cast("long").alias("rank"), F.array("tracklet_id").alias("tracklet_ids"), F.col("first_frame").alias("frame_start"),
                                            F.col("last_frame").alias("frame_end"), F.col("confidence").alias("total_score"), "confidence", zero.alias("motion"),
                                            zero.alias("gap_penalty"), zero.alias("edge_score"))
@@ -492,44 +570,43 @@ def decode_hypotheses(tracklets: DataFrame, edges: DataFrame, regions: DataFrame
     linked = rows.filter("size > 1").join(out, ["source_id", "tracklet_id"], "left")
     linked = linked.select(*key, "tracklet_id", "first_frame", "last_frame", "confidence", "links").repartition(*key).sortWithinPartitions(*key, "first_frame", "tracklet_id")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, paths = [*key, *(n.split(" ")[0] for n in names)], []
-        for region in whole_groups(batches, key):
-            ids = region["tracklet_id"].tolist()
-            place = {t: i for i, t in enumerate(ids)}
-            links = [(i, place[e["head_id"]], e["motion"], e["gap_penalty"], e["edge_score"])
-                     for i, ls in enumerate(region["links"]) if ls is not None for e in ls if e["head_id"] in place]
-            table = np.array(links, float).reshape(-1, 5)
-            graph = RegionGraph(region["confidence"].to_numpy(float), table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), *table.T[2:])
-            found = best_paths(graph, ids, settings.hypotheses_per_region, settings.minimum_difference)
-            first, last = region["first_frame"].tolist(), region["last_frame"].tolist()
-            source, name = region["source_id"].iloc[0], region["region_id"].iloc[0]
-            paths += [(source, name, rank, [ids[j] for j in p["path"]], first[p["path"][0]], last[p["path"][-1]],
-                       p["score"], p["confidence"], p["motion"], p["gap_penalty"], p["edge_score"]) for rank, p in enumerate(found, 1)]
-            if len(paths) >= PATHS_OUT:  # a frame per region would cost more than most searches
-                yield pd.DataFrame(paths, columns=columns)
-                paths = []
-        if paths:
-            yield pd.DataFrame(paths, columns=columns)
+    k, difference = settings.hypotheses_per_region, settings.minimum_difference
+
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), *[pa.float64()] * 5]
+
+    def told(block: pa.Table, at: list[int], paths: list[tuple]) -> list[pa.RecordBatch]:
+        """The paths found, each with the source and region of a row of the block."""
+        columns = {n.split(" ")[0]: pa.array(c, t) for n, c, t in zip(names_out, zip(*paths), kinds)}
+        return pa.table({**{c: block[c].take(pa.array(at, pa.int64())) for c in key}, **columns}).to_batches()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, bounds in whole_blocks(batches, key):
+            ids, first, last, confidence = (block[c].to_pylist() for c in ("tracklet_id", "first_frame", "last_frame", "confidence"))
+            table = block["links"].chunk(0)
+            begin, there = table.offsets.to_numpy().tolist(), table.is_valid().to_pylist()
+            ahead = list(zip(*(c.to_pylist() for c in table.values.flatten())))  # head, motion, gap penalty and score of every link
+            at, paths = [], []
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+                names = ids[a:b]
+                place = {t: i for i, t in enumerate(names)}
+                links = [(i, place[e[0]], *e[1:]) for i in range(b - a) if there[a + i] for e in ahead[begin[a + i]:begin[a + i + 1]] if e[0] in place]
+                sure = [math.nan if c is None else float(c) for c in confidence[a:b]]
+                found = listed_paths(sure, names, links, k, difference)
+                if found is None:
+                    numbers = np.array(links, float).reshape(-1, 5)
+                    graph = RegionGraph(np.array(sure), numbers[:, 0].astype(np.int64), numbers[:, 1].astype(np.int64), *numbers.T[2:])
+                    found = best_paths(graph, names, k, difference)
+                at += [a] * len(found)
+                paths += [(rank, [names[j] for j in p["path"]], first[a + p["path"][0]], last[a + p["path"][-1]],
+                           p["score"], p["confidence"], p["motion"], p["gap_penalty"], p["edge_score"]) for rank, p in enumerate(found, 1)]
+                if len(paths) >= PATHS_OUT:
+                    yield from told(block, at, paths)
+                    at, paths = [], []
+            if paths:
+                yield from told(block, at, paths)
 
     schema = f"source_id {dict(tracklets.dtypes)['source_id']}, region_id string, {HYPOTHESIS_FIELDS}"
-    return linked.mapInPandas(search, schema).unionByName(alone)
-
-
-def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows sorted by ``key``, one at a time, whichever batches they span."""
-    parts: list[pd.DataFrame] = []
-    for batch in batches:
-        values = list(batch[key].itertuples(index=False, name=None))
-        cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b and parts and values[a] != tuple(parts[0][key].iloc[0]):
-                yield pd.concat(parts, ignore_index=True)
-                parts = []
-            if a < b:
-                parts.append(batch.iloc[a:b])
-    if parts:
-        yield pd.concat(parts, ignore_index=True)
+    return linked.mapInArrow(search, schema).unionByName(alone)
 
 
 def hypothesis_points(hypotheses: DataFrame, linked: DataFrame) -> DataFrame:
