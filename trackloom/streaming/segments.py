@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from trackloom.settings import RallySettings
 OUTPUT = "source_id long, start_frame long, end_frame long, at_frame long, kind string"
 BLOCK = 512  # frames of a source that wait in one entry of the state
 SEGMENT_SHARDS = 1024  # sources are dealt to this many keys of the state
+GROUP = 16  # sources of a shard that share the entries of their waiting blocks
 HELD_ROWS = 1 << 16  # new rows of a shard that a task holds at a time
 LEAST = -(1 << 63)
 
@@ -29,6 +29,40 @@ def open_start(entry: str) -> int | None:
     return more[0] if counts else None
 
 
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # frames in order, each once, with their bits and times
+WIDTH = np.dtype([("source", "<i8"), ("frame", "<i8"), ("bits", "<i8"), ("ms", "<i8")])
+
+
+def merged(rows: Rows, more: Rows) -> Rows:
+    """Both in order of frames; of a frame that both have, the row of ``more`` stays."""
+    columns = [np.concatenate(pair) for pair in zip(rows, more)]
+    order = np.argsort(columns[0], kind="stable")
+    frames = columns[0][order]
+    order = order[np.append(frames[1:] != frames[:-1], True)] if len(frames) else order
+    return tuple(c[order] for c in columns)
+
+
+NO_ROWS: Rows = tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
+def packed(rows: dict[int, Rows]) -> bytes:
+    """The waiting rows of several sources as one piece of bytes."""
+    out = np.empty(sum(len(f) for f, _, _ in rows.values()), WIDTH)
+    at = 0
+    for source, columns in rows.items():
+        part = out[at:at + len(columns[0])]
+        part["source"], part["frame"], part["bits"], part["ms"] = source, *columns
+        at += len(part)
+    return out.tobytes()
+
+
+def unpacked(piece: bytes) -> dict[int, Rows]:
+    table = np.frombuffer(bytes(piece), WIDTH)
+    source = table["source"]
+    cuts = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist(), len(source)]
+    return {int(source[a]): tuple(table[c][a:b].copy() for c in ("frame", "bits", "ms")) for a, b in zip(cuts, cuts[1:]) if a < b}
+
+
 def gathered(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows in frames of about ``HELD_ROWS``, each source's rows together and in the order they came."""
     held = []
@@ -45,8 +79,10 @@ class Segmenter(StatefulProcessor):
     """A shard of sources: of each the machine's state and next due frame in one value, frames that came early in a map of blocks.
 
     The value holds per source [machine's state, due frame, newest time, when a gap is given up, when silence ends its play,
-    blocks that wait]; the shard's only timer is the earliest of those times. Of the waiting frames a task holds those of one
-    block and ``HELD_ROWS`` new ones at a time; the rest stays in the state store. Sources without an id are shard -1.
+    blocks that wait]; the shard's only timer is the earliest of those times. Sources are numbered as they come; ``GROUP`` of them
+    share an entry of the map per block, so that many short sources do not cost a call each. Of the waiting frames a task holds
+    some entries, ``HELD_ROWS`` in all or one more, and ``HELD_ROWS`` new ones at a time; the rest stays in the state store.
+    Sources without an id are shard -1.
     """
 
     def __init__(self, settings: RallySettings, first_frame: int, patience_ms: int, idle_ms: int):
@@ -56,7 +92,7 @@ class Segmenter(StatefulProcessor):
         self.handle = handle
         self.machine = rally_machine(self.settings, "spans")
         self.places = handle.getValueState("places", "sources string, timer_ms long")
-        self.waiting = handle.getMapState("waiting", "source long, block long", "frames array<bigint>, bits array<int>, ms array<bigint>")
+        self.waiting = handle.getMapState("waiting", "part long, block long", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         self._load(key)
@@ -65,10 +101,15 @@ class Segmenter(StatefulProcessor):
             ids, frames, bits = (pdf[c].to_numpy() for c in ("source_id", "frame", "bits"))
             ms = pdf["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
             cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts, cuts[1:]):
+            for source in ids[cuts[:-1]].tolist():
+                self.number.setdefault(source, len(self.number))
+            for a, b in sorted(zip(cuts, cuts[1:]), key=lambda cut: self.number[int(ids[cut[0]])]):
                 self._enter(int(ids[a]))
                 self.last_ms = max(self.last_ms, int(ms[a:b].max()))
-                yield from self._advance({int(f): (int(x), t) for f, x, t in zip(frames[a:b].tolist(), bits[a:b].tolist(), ms[a:b].tolist()) if f >= self.due}, now, False)
+                due = np.flatnonzero(frames[a:b] >= self.due) + a
+                if bits.dtype.kind == "f" and np.isnan(bits[due]).any():
+                    raise ValueError("a frame has no evidence bits")
+                yield from self._advance(merged(NO_ROWS, (frames[due], bits[due].astype(np.int64), ms[due])), now, False)
                 self._leave()
         yield from self._told()
         self._save(None)
@@ -76,10 +117,10 @@ class Segmenter(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load(key)
         expired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        for source in [int(s) for s, (*_, gap_ms, end_ms, _) in self.sources.items() if any(t is not None and t <= now for t in (gap_ms, end_ms))]:
+        for source in [s for s, (*_, gap_ms, end_ms, _) in self.sources.items() if any(t is not None and t <= now for t in (gap_ms, end_ms))]:
             self._enter(source)
             over = self.end_ms is not None and self.end_ms <= now
-            yield from self._advance({}, now, over)
+            yield from self._advance(NO_ROWS, now, over)
             if over:
                 start, last = open_start(self.entry), self.due - 1
                 self.entry, self.last_ms = START_STATE, -1
@@ -94,9 +135,15 @@ class Segmenter(StatefulProcessor):
 
     def _load(self, key: tuple) -> None:
         sources, self.timer_ms = self.places.get() if self.places.exists() else ("{}", None)
-        self.sources, self.unnamed, self.rows = json.loads(sources), key[0] < 0, []
+        self.sources, self.unnamed, self.rows = {int(s): place for s, place in json.loads(sources).items()}, key[0] < 0, []
+        self.number = {source: i for i, source in enumerate(self.sources)}
+        # entries of the map: those in the state store, those at hand and those at hand that differ from what is stored
+        self.stored = {(i // GROUP, block) for i, place in enumerate(self.sources.values()) for block in place[5]}
+        self.entries: dict[tuple[int, int], dict[int, Rows]] = {}
+        self.changed: set[tuple[int, int]] = set()
 
     def _save(self, expired: int | None) -> None:
+        self._flush()
         wanted = min((t for place in self.sources.values() for t in place[3:5] if t is not None), default=None)
         there = None if self.timer_ms == expired else self.timer_ms
         if wanted != there:
@@ -108,70 +155,87 @@ class Segmenter(StatefulProcessor):
 
     def _enter(self, source: int) -> None:
         self.source = source
-        self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms, blocks = self.sources.get(str(source), (START_STATE, self.first_frame, -1, None, None, ()))
+        self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms, blocks = self.sources.get(source, (START_STATE, self.first_frame, -1, None, None, ()))
         self.blocks = set(blocks)
 
     def _leave(self) -> None:
         self.end_ms = self.last_ms + self.idle_ms if self.last_ms >= 0 else None
-        self.sources[str(self.source)] = [self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms, sorted(self.blocks)]
-
-    def _take(self, block: int) -> dict[int, tuple[int, int]]:
+        self.sources[self.source] = [self.entry, self.due, self.last_ms, self.gap_ms, self.end_ms, sorted(self.blocks)]
+
+    def _entry(self, block: int) -> dict[int, Rows]:
+        """The waiting rows of the source's group in a block."""
+        key = (self.number[self.source] // GROUP, block)
+        if key not in self.entries:
+            if self.entries and (key[0] != next(iter(self.entries))[0] or sum(len(r[0]) for e in self.entries.values() for r in e.values()) >= HELD_ROWS):
+                self._flush()
+            self.entries[key] = unpacked(self.waiting.getValue(key)[0]) if key in self.stored else {}
+        return self.entries[key]
+
+    def _flush(self) -> None:
+        """Give the entries at hand back to the state store."""
+        for key in self.changed:
+            if self.entries[key]:
+                self.waiting.updateValue(key, (packed(self.entries[key]),))
+                self.stored.add(key)
+            elif key in self.stored:
+                self.waiting.removeKey(key)
+                self.stored.discard(key)
+        self.entries, self.changed = {}, set()
+
+    def _take(self, block: int) -> Rows:
         """The waiting frames of a block, which leave the state."""
-        frames, bits, ms = self.waiting.getValue((self.source, block))
-        self.waiting.removeKey((self.source, block))
+        rows = self._entry(block).pop(self.source)
+        self.changed.add((self.number[self.source] // GROUP, block))
         self.blocks.discard(block)
-        return {f: (b, t) for f, b, t in zip(frames, bits, ms) if f >= self.due}
-
-    def _advance(self, held: dict[int, tuple[int, int]], now: int, over: bool) -> Iterator[pd.DataFrame]:
-        """Feed the machine all frames that are due; give up frames that the watermark says are lost."""
-        order = list(held)
-        heapq.heapify(order)
+        first = int(np.searchsorted(rows[0], self.due))
+        return tuple(c[first:] for c in rows)
 
-        def hold(more: dict) -> None:
-            for f in more:
-                if f not in held:
-                    heapq.heappush(order, f)
-            held.update(more)
-
-        ready, self.gap_ms = [], None
+    def _advance(self, held: Rows, now: int, over: bool) -> Iterator[pd.DataFrame]:
+        """Feed the machine all frames that are due; give up frames that the watermark says are lost. ``held``: no frame before the one due."""
+        ready, waits, self.gap_ms = [], 0, None
         while True:
-            if self.due not in held and self.due // BLOCK in self.blocks:
-                hold(self._take(self.due // BLOCK))
-            if self.due in held:
-                ready.append((self.due, held.pop(self.due)[0]))
-                self.due += 1
-                if len(ready) == 16 * BLOCK:
+            frames = held[0]
+            if (not len(frames) or frames[0] != self.due) and self.due // BLOCK in self.blocks:
+                held = merged(held, self._take(self.due // BLOCK))
+                continue
+            if len(frames) and frames[0] == self.due:
+                steps = np.flatnonzero(np.diff(frames) != 1)
+                run = int(steps[0]) + 1 if len(steps) else len(frames)
+                ready.append((frames[:run], held[1][:run]))
+                held, self.due, waits = tuple(c[run:] for c in held), self.due + run, waits + run
+                if waits >= 16 * BLOCK:
                     yield from self._feed(ready)
+                    waits = 0
                 continue
-            while order and order[0] < self.due:
-                heapq.heappop(order)
-            if self.blocks and (not order or min(self.blocks) <= order[0] // BLOCK):
-                hold(self._take(min(self.blocks)))
+            if self.blocks and (not len(frames) or min(self.blocks) <= frames[0] // BLOCK):
+                held = merged(held, self._take(min(self.blocks)))
                 continue
-            if not order:
+            if not len(frames):
                 break
-            deadline = held[order[0]][1] + self.patience_ms
+            deadline, first = int(held[2][0]) + self.patience_ms, int(frames[0])
             if not over and deadline > now:
                 self.gap_ms = deadline
                 break
-            self._tell(self.due, order[0] - 1, order[0], "gap")
-            self.due = order[0]
+            self._tell(self.due, first - 1, first, "gap")
+            self.due = first
         yield from self._feed(ready)
         self._store(held)
 
-    def _store(self, held: dict[int, tuple[int, int]]) -> None:
-        by_block: dict[int, dict] = {}
-        for f, v in held.items():
-            by_block.setdefault(f // BLOCK, {})[f] = v
-        for block, rows in by_block.items():
-            if block in self.blocks:
-                rows = self._take(block) | rows
-            self.waiting.updateValue((self.source, block), (list(rows), [b for b, _ in rows.values()], [t for _, t in rows.values()]))
+    def _store(self, held: Rows) -> None:
+        blocks = held[0] // BLOCK
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            block, rows = int(blocks[a]), tuple(c[a:b] for c in held)
+            entry = self._entry(block)
+            entry[self.source] = merged(entry[self.source], rows) if block in self.blocks else rows
+            self.changed.add((self.number[self.source] // GROUP, block))
             self.blocks.add(block)
 
     def _feed(self, ready: list) -> Iterator[pd.DataFrame]:
         if ready:
-            rows, self.entry = self.machine(pd.DataFrame(ready, columns=["frame", "bits"]), self.entry)
+            rows, self.entry = self.machine(dict(zip(("frame", "bits"), map(np.concatenate, zip(*ready)))), self.entry)
             ready.clear()
             for start, end, at in zip(rows["start_frame"], rows["end_frame"], rows["at_frame"]):
                 self._tell(max(start, self.first_frame), end, at, "ended")
